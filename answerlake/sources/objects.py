@@ -32,9 +32,9 @@ def delete_objects(objects: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def scan_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files as rows of name and bytes."""
+    """Image files as rows of path, name and bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"),
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"),
                         F.col("length"), F.col("content"))
 
 

@@ -119,14 +119,14 @@ def append_query_log(spark, sf):
     return spark.read.parquet(path).drop("day")
 
 
-_TYPED = """answers AS (SELECT event_id::VARCHAR AS id, event_type, props AS answer,
+_TYPED = """answers AS (SELECT event_id::VARCHAR AS id, event_type, event_type || props AS answer,
   (CASE event_type WHEN 'view' THEN 1 WHEN 'signup' THEN 2 ELSE 0 END)::INTEGER AS answer_type FROM events)"""
 
 
 def _typed_answers(spark, sf):
     kind = F.col("event_type")
     return t.read(spark, sf, "events").select(
-        F.col("event_id").cast("string").alias("id"), F.col("props").alias("answer"),
+        F.col("event_id").cast("string").alias("id"), F.concat("event_type", "props").alias("answer"),
         F.when(kind == "view", 1).when(kind == "signup", 2).otherwise(0).alias("answer_type"))
 
 
@@ -191,14 +191,21 @@ def _image_folder(spark, sf):
     return path
 
 
-@query("scan_images")
+@query("scan_images", """SELECT item_id, (octet_length(encode(text)) + 1)::BIGINT AS length,
+  md5(text || chr(10)) AS digest FROM benchmark""")
 def scan_images(spark, sf):
-    return O.scan_images(spark, _image_folder(spark, sf))
+    item = F.regexp_extract("path", "item=([0-9]+)", 1).cast("long")
+    return O.scan_images(spark, _image_folder(spark, sf)).select(
+        item.alias("item_id"), "length", F.md5("content").alias("digest"))
 
 
-@query("mm_image_question_key")
+@query("mm_image_question_key", """SELECT item_id,
+  base64(encode(text || chr(10))) || 'what is in ' || item_id AS key FROM benchmark""")
 def mm_image_question_key(spark, sf):
-    images = O.scan_images(spark, _image_folder(spark, sf))
-    numbered = images.withColumn("question", F.concat(F.lit("what is in "), F.col("name"))).select(
-        "name", "question")
-    return O.image_question_key(numbered, images).select("name", F.length("key").alias("key_length"))
+    images = O.scan_images(spark, _image_folder(spark, sf)).withColumn(
+        "name", F.regexp_extract("path", "item=([0-9]+)", 1))
+    asked = t.read(spark, sf, "benchmark").select(
+        "item_id", F.col("item_id").cast("string").alias("name"),
+        F.concat(F.lit("what is in "), "item_id").alias("question"))
+    return O.image_question_key(asked, images).select(
+        "item_id", F.translate("key", "\r\n", "").alias("key"))
