@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlake import schema as S
-from answerlake.runtime import broadcast_if_small, number_rows, top_n
+from answerlake.runtime import SALTS, broadcast_if_small, number_rows, top_n
 
 KEY = ["model", "key"]
 
@@ -78,7 +78,7 @@ def decayed_frequency(log: DataFrame, every: int = S.DECAY_EVERY) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("segment", "total"))).alias("parts"))
 
     def carried(state, segment):
-        # a count is below 2^15 after a segment, so a second one clears it
+        # after a segment a count is at most ``every``, so a second one clears it
         gap = segment - state["segment"]
         return (F.when(gap == 0, state["total"])
                 .when(gap == 1, F.shiftright(state["total"], SEGMENT)).otherwise(F.lit(0).cast("long")))
@@ -130,19 +130,27 @@ def retain_segmented(log: DataFrame, n: int, window_share: float = 0.01,
     Window: latest puts. Protected: keys read at least once, by decayed
     frequency. Probation: the next keys by decayed frequency. Ties go to the
     later access. Each segment can only hold keys near the top of its own order,
-    so the segments are cut from at most three times ``n`` candidates a tenant.
+    so every hash slice of a tenant is first cut to at most three times ``n``
+    candidates.
     """
     window, probation, protected = segment_sizes(n, window_share)
     keys = (key_statistics(log).join(decayed_frequency(log, every), KEY, "left")
             .withColumn("frequency", F.coalesce("frequency", F.lit(0).cast("long")))
             .select(*KEY, "gets", "frequency", "last_access", "last_put"))
     frequent = [F.desc("frequency"), F.desc("last_access")]
-    first = lambda df, order, m: top_n(df, ["model"], order, m, ["key"]).drop("position")
-    candidates = (first(keys.where(F.col("last_put").isNotNull()), [F.desc("last_put")], window)
-                  .union(first(keys.where("gets > 0"), frequent, window + protected))
-                  .union(first(keys, frequent, n)).distinct())
-    by = Window.partitionBy("model")
-    put_place = F.row_number().over(by.orderBy(F.col("last_put").desc_nulls_last()))
+    sliced = keys.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    slice_ = Window.partitionBy("model", "_salt")
+    by_put = [F.col("last_put").desc_nulls_last()]
+    was_read = F.col("gets") > 0
+    candidates = (sliced
+                  .withColumn("_put", F.row_number().over(slice_.orderBy(*by_put)))
+                  .withColumn("_all", F.row_number().over(slice_.orderBy(*frequent)))
+                  .withColumn("_read", F.row_number().over(
+                      slice_.orderBy(was_read.desc(), *frequent)))
+                  .where((F.col("_put") <= window) | (F.col("_all") <= n)
+                         | (was_read & (F.col("_read") <= window + protected)))
+                  .drop("_salt", "_put", "_all", "_read"))
+    put_place = F.row_number().over(Window.partitionBy("model").orderBy(*by_put))
     marked = candidates.withColumn("segment", F.when(
         F.col("last_put").isNotNull() & (put_place <= window), "window"))
 
