@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerlake.operators.vector_join import _by_dim, knn
+from answerlake.runtime import cut_lineage
 
 PROBES = 10
 MAX_CELLS = 4096
@@ -66,8 +67,10 @@ def knn_ivf(requests: DataFrame, entries: DataFrame, k: int = 1, metric: str = "
     """Nearest ``k`` among the entries in the ``probes`` cells nearest to a request."""
     by = list(by)
     centers = fit_cells(entries, cells) if centers is None else centers
-    q = _probe(requests.select(*by, "request_id", "embedding"), centers, probes)
-    e = _probe(entries.select(*by, "id", "embedding"), centers, 1)
+    # written once: tiles are counted before they are joined
+    q = cut_lineage(_probe(requests.select(*by, "request_id", "embedding"), centers, probes),
+                    "request-cells")
+    e = cut_lineage(_probe(entries.select(*by, "id", "embedding"), centers, 1), "entry-cells")
     return _merge(knn(q, e, k, metric, by=[*by, "cell"], method="tiles"), by, k, metric)
 
 

@@ -7,13 +7,15 @@ from answerlake.functions.ranking import Gate
 from answerlake.functions.text import length_class
 
 
-def score_gate(candidates: DataFrame, gate: Gate, request_id: str = "request_id") -> DataFrame:
+def score_gate(candidates: DataFrame, gate: Gate, request_id: str = "request_id",
+               by=()) -> DataFrame:
     """Candidates of requests whose best rank reaches the short threshold.
 
     Adds ``rank``. This runs before entries are fetched and needs only scores.
+    Naming the search's group columns in ``by`` reuses its partitioning.
     """
     short, _ = gate.cuts()
-    best = Window.partitionBy(request_id)
+    best = Window.partitionBy(*by, request_id)
     return (candidates.withColumn("rank", gate.rank(F.col("score")))
             .withColumn("_best", F.max("rank").over(best))
             .where(F.col("_best") >= short).drop("_best"))

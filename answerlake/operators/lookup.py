@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlake.runtime import salted_join
+from answerlake.runtime import BROADCAST_ROWS, cut_lineage, salted_join
 
 
 def latest_per_key(rows: DataFrame, keys: list, seq: str) -> DataFrame:
@@ -17,25 +17,40 @@ def latest_per_key(rows: DataFrame, keys: list, seq: str) -> DataFrame:
 def exact_lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """Entry whose question equals the request's key, in the same tenant.
 
-    Equal questions keep the smallest id. Requests may repeat one key often, so
-    they are salted.
+    Equal questions keep the smallest id. Few different keys are broadcast, so
+    only matching entries are aggregated; the hits are then joined salted, as
+    one key may make up much of the requests.
     """
-    stored = (entries.groupBy("model", F.col("question").alias("key"))
-              .agg(F.min(F.struct("id", "answer")).alias("e"))
-              .select("model", "key", F.col("e.id").alias("hit_id"),
-                      F.col("e.answer").alias("answer")))
-    return salted_join(requests, stored, ["model", "key"], "left", spread=["request_id"])
+    on = ["model", "key"]
+    wanted = requests.select(*on).distinct()
+    stored = keep_wanted(entries.select("model", F.col("question").alias("key"), "id", "answer"),
+                         wanted, on)
+    hits = (stored.groupBy(*on).agg(F.min(F.struct("id", "answer")).alias("e"))
+            .join(wanted, on, "left_semi")
+            .select(*on, F.col("e.id").alias("hit_id"), F.col("e.answer").alias("answer")))
+    return salted_join(requests, hits, on, "left", spread=["request_id"])
+
+
+def keep_wanted(rows: DataFrame, wanted: DataFrame, on: list) -> DataFrame:
+    """Rows whose key is wanted, when the keys are few enough to broadcast; else
+    all rows, left to a later join."""
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(wanted), on, "left_semi")
+    return rows
 
 
 def scalar_fetch(candidates: DataFrame, entries: DataFrame, id_col: str = "id",
-                 columns=("question", "answer")) -> DataFrame:
+                 columns=("question", "answer"), bounded: bool = False) -> DataFrame:
     """Entry columns for candidate ids; ids without a live entry are dropped.
 
-    The entry table is first cut to the ids in use, then joined salted: one
-    entry may answer a third of all requests.
+    ``bounded`` candidates (known to fit the broadcast bound) are broadcast to
+    the entry scan. Otherwise the entry table is cut to the ids in use and
+    joined salted: one entry may answer a third of all requests.
     """
-    wanted = candidates.select(id_col).distinct()
     live = entries.where(~F.col("is_deleted")).select(id_col, *columns)
+    if bounded:
+        return live.join(F.broadcast(candidates), id_col)
+    wanted = candidates.select(id_col).distinct()
     return salted_join(candidates, live.join(wanted, id_col, "left_semi"), [id_col], "inner",
                        spread=["request_id"])
 
@@ -50,10 +65,11 @@ def two_tier_lookup(requests: DataFrame, entries: DataFrame, next_tier) -> DataF
 
     ``next_tier`` returns (request_id, hit_id, answer) rows for its hits.
     """
-    first = exact_lookup(requests, entries)
+    first = cut_lineage(exact_lookup(requests, entries).select("request_id", "hit_id", "answer"),
+                        "first-tier")
     hits = first.where(F.col("hit_id").isNotNull())
     misses = requests.join(hits.select("request_id"), "request_id", "left_anti")
     second = next_tier(misses).select("request_id", "hit_id", "answer",
                                       F.lit("second").alias("tier"))
-    return (hits.select("request_id", "hit_id", "answer", F.lit("first").alias("tier"))
-            .unionByName(second))
+    return hits.select("request_id", "hit_id", "answer", F.lit("first").alias("tier")).unionByName(
+        second)

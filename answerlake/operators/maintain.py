@@ -62,17 +62,29 @@ def rejected_vectors(rows: DataFrame) -> DataFrame:
     return rows.where(l2_normalize(F.col("embedding")).isNull())
 
 
+def fresh_entries(entries: DataFrame, rows: DataFrame, **options) -> DataFrame:
+    """The entries of ``rows`` whose id the table does not hold; append these.
+
+    Few new ids are broadcast to the scan of the table's ids; vectors take no
+    part in the check.
+    """
+    from answerlake.operators.lookup import keep_wanted
+    if "id" not in rows.columns:
+        rows = assign_ids(rows)
+    known = keep_wanted(entries.select("id"), rows.select("id").distinct(), ["id"])
+    return (new_entries(rows, **options).dropDuplicates(["id"])
+            .join(known, "id", "left_anti").select(*S.ENTRY.names))
+
+
 def insert_entries(entries: DataFrame, rows: DataFrame, **options) -> DataFrame:
     """The table with the new rows; ids already there are kept as they are."""
-    fresh = new_entries(rows, **options).dropDuplicates(["id"])
-    return entries.select(*S.ENTRY.names).unionByName(
-        fresh.join(entries.select("id"), "id", "left_anti").select(*S.ENTRY.names))
+    return entries.select(*S.ENTRY.names).unionByName(fresh_entries(entries, rows, **options))
 
 
 def apply_hit_counts(entries: DataFrame, responses: DataFrame, at: Column = None) -> DataFrame:
     """Add the hits of a response batch to each returned entry's counter."""
-    hits = (responses.where("cache_hit").groupBy(F.col("hit_id").alias("id"))
-            .agg(F.count(F.lit(1)).alias("_hits")))
+    hits = broadcast_if_small(responses.where("cache_hit").groupBy(F.col("hit_id").alias("id"))
+                              .agg(F.count(F.lit(1)).alias("_hits")))
     hit = F.col("_hits").isNotNull()
     return (entries.join(hits, "id", "left")
             .withColumn("hit_count", F.col("hit_count") + F.coalesce("_hits", F.lit(0)))
@@ -83,7 +95,7 @@ def apply_hit_counts(entries: DataFrame, responses: DataFrame, at: Column = None
 
 def soft_delete(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """Mark the given ids deleted."""
-    marked = ids.select("id").distinct().withColumn("_marked", F.lit(True))
+    marked = broadcast_if_small(ids.select("id").distinct()).withColumn("_marked", F.lit(True))
     return (entries.join(marked, "id", "left")
             .withColumn("is_deleted", F.col("is_deleted") | F.coalesce("_marked", F.lit(False)))
             .drop("_marked").select(*entries.columns))
@@ -91,7 +103,8 @@ def soft_delete(entries: DataFrame, ids: DataFrame) -> DataFrame:
 
 def hard_delete(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """Drop the given ids outright."""
-    return entries.join(ids.select("id").distinct(), "id", "left_anti").select(*entries.columns)
+    gone = broadcast_if_small(ids.select("id").distinct())
+    return entries.join(gone, "id", "left_anti").select(*entries.columns)
 
 
 def truncate_model(entries: DataFrame, log: DataFrame, models: list) -> tuple:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerlake.operators.vector_join import TILE_ROWS, _by_dim, tile_matches
-from answerlake.runtime import salted_join
+from answerlake.runtime import cut_lineage, salted_join
 
 PIVOTS = 64
 MAX_PIVOTS = 1024
@@ -77,19 +77,22 @@ def range_join(requests: DataFrame, entries: DataFrame, radius: float, by=("mode
     points = _pivots(e, pivots)
     stored = _distinct_vectors(e, by, "_id", "_e")
     asked = _distinct_vectors(q, by, "_id", "_q").drop("copies")
-    # float rounding of the distance is absorbed in the reach of the cells
-    cells_q = _with_cells(asked, points, radius)
-    cells_e = _with_cells(stored.drop("copies"), points)
+    # written once: tiles are counted before they are joined
+    cells_q = cut_lineage(_with_cells(asked, points, radius), "request-cells")
+    cells_e = cut_lineage(_with_cells(stored, points), "entry-cells")
+    stored = cells_e.select(*by, "_e", "copies")
+    cells_e = cells_e.drop("copies")
     found = tile_matches(cells_q, cells_e, [*by, "_cell"], radius, tile_rows=tile_rows).drop("_cell")
     members = q.where(F.col("_v").isNotNull()).join(
         asked.select(*by, "_v", "_q"), [*by, "_v"]).select(*by, "_q", F.col("_id").alias(request_id))
-    per_entry = found.join(stored.select(*by, "_e", "copies"), [*by, "_e"])
+    per_entry = salted_join(found, stored, [*by, "_e"], "inner", spread=["_q"])
     return (salted_join(members, per_entry, [*by, "_q"], "inner", spread=[request_id])
             .select(*by, request_id, F.col("_e").alias(entry_id), "copies", "score"))
 
 
 def semantic_dups(entries: DataFrame, radius: float, by=("model",), entry_id: str = "id",
-                  vector: str = "embedding", tile_rows: int = TILE_ROWS) -> DataFrame:
+                  vector: str = "embedding", pivots: int = PIVOTS,
+                  tile_rows: int = TILE_ROWS) -> DataFrame:
     """Entries with an earlier (smaller id) entry within squared distance
     ``radius``, with the smallest such id.
 
@@ -98,11 +101,13 @@ def semantic_dups(entries: DataFrame, radius: float, by=("model",), entry_id: st
     """
     by = list(by)
     e = entries.select(*by, F.col(entry_id).alias("_id"), F.col(vector).alias("_v"))
-    distinct = _distinct_vectors(e, by, "_id", "_e").drop("copies")
-    # fresh column identities for the second role of the same frame
-    others = distinct.select(*[F.col(c).alias(c) for c in distinct.columns])
-    near = tile_matches(distinct.withColumnRenamed("_e", "_q"), others, by, radius,
-                        first_smaller=True, tile_rows=tile_rows)
+    points = _pivots(e, pivots)
+    distinct = cut_lineage(_distinct_vectors(e, by, "_id", "_e").drop("copies"), "vectors")
+    own = cut_lineage(_with_cells(distinct, points), "entry-cells")
+    reach = cut_lineage(_with_cells(distinct.withColumnRenamed("_e", "_q"), points, radius),
+                        "reached-cells")
+    near = tile_matches(reach, own, [*by, "_cell"], radius, first_smaller=True,
+                        tile_rows=tile_rows)
     firsts = near.groupBy(*by, "_q").agg(F.min("_e").alias("first"))
     # A copy starts at its vector's smallest id; that row itself only has what
     # its neighbours offer.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlake import schema as S
-from answerlake.runtime import SALTS, broadcast_if_small, number_rows, top_n
+from answerlake.runtime import SALTS, number_rows, top_n
 
 KEY = ["model", "key"]
 
@@ -66,16 +66,16 @@ def decayed_frequency(log: DataFrame, every: int = S.DECAY_EVERY) -> DataFrame:
     in order.
     """
     puts = log.where("op = 'put'").select("model", "key", "seq")
-    placed = number_rows(puts, ["model"], "seq", "place")
-    block = F.floor((F.col("place") - 1) / every).cast("long")
-    ends = broadcast_if_small(puts.groupBy("model").agg(
-        F.floor(F.count(F.lit(1)) / every).cast("long").alias("done")))
-    segments = (placed.select(*KEY, F.floor(block / SEGMENT).cast("long").alias("segment"),
-                              F.expr(f"shiftleft(1L, cast(floor((place - 1) / {every}) % {SEGMENT} as int))")
-                              .alias("weight"))
-                .groupBy(*KEY, "segment").agg(F.sum("weight").alias("total")))
+    placed = number_rows(puts, ["model"], "seq", "place", "puts")
+    segments = (placed.select(*KEY, F.expr(f"(place - 1) div {every}").alias("block"),
+                              F.expr(f"puts div {every}").alias("done"))
+                .select(*KEY, "done", F.expr(f"block div {SEGMENT}").alias("segment"),
+                        F.expr(f"shiftleft(1L, cast(block % {SEGMENT} as int))").alias("weight"))
+                .groupBy(*KEY, "segment").agg(F.sum("weight").alias("total"),
+                                              F.max("done").alias("done")))
     per_key = segments.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("segment", "total"))).alias("parts"))
+        F.array_sort(F.collect_list(F.struct("segment", "total"))).alias("parts"),
+        F.max("done").alias("done"))
 
     def carried(state, segment):
         # after a segment a count is at most ``every``, so a second one clears it
@@ -86,8 +86,8 @@ def decayed_frequency(log: DataFrame, every: int = S.DECAY_EVERY) -> DataFrame:
     start = F.struct(F.lit(0).cast("long").alias("segment"), F.lit(0).cast("long").alias("total"))
     folded = F.aggregate("parts", start, lambda s, p: F.struct(
         p["segment"].alias("segment"), (carried(s, p["segment"]) + p["total"]).alias("total")))
-    last = F.floor(F.col("done") / SEGMENT).cast("long")
-    return (per_key.join(ends, "model").withColumn("state", folded)
+    last = F.expr(f"done div {SEGMENT}")
+    return (per_key.withColumn("state", folded)
             .withColumn("left", carried(F.col("state"), last))
             .select(*KEY, F.expr(f"shiftright(left, cast(done % {SEGMENT} as int))").alias("frequency")))
 
@@ -110,7 +110,7 @@ def sketch_estimates(keys: DataFrame, sketch: DataFrame, width: int = S.SKETCH_W
                      depth: int = S.SKETCH_DEPTH) -> DataFrame:
     """Estimated puts of each key: the least of its buckets (0 when empty)."""
     asked = _buckets(keys.select(*KEY).distinct(), width, depth)
-    found = asked.join(broadcast_if_small(sketch), ["model", "depth", "bucket"], "left")
+    found = asked.join(sketch, ["model", "depth", "bucket"], "left")
     return found.groupBy(*KEY).agg(F.min(F.coalesce("count", F.lit(0))).alias("estimate"))
 
 
@@ -176,8 +176,8 @@ def retain_recency_frequency(log: DataFrame, n: int, target: int) -> DataFrame:
         raise ValueError("the target lies in 0..n")
     keys = (log.groupBy(*KEY).agg(F.count(F.lit(1)).alias("accesses"), F.max("seq").alias("last"))
             .select(*KEY, "last", F.when(F.col("accesses") == 1, 1).otherwise(2).alias("list")))
-    sizes = broadcast_if_small(keys.groupBy("model").agg(
-        F.count_if(F.col("list") == 1).alias("n1"), F.count_if(F.col("list") == 2).alias("n2")))
+    sizes = keys.groupBy("model").agg(
+        F.count_if(F.col("list") == 1).alias("n1"), F.count_if(F.col("list") == 2).alias("n2"))
     # a list keeps at most n keys and n ghosts
     ordered = top_n(keys, ["model", "list"], [F.desc("last")], 2 * n, ["key"])
     keep2 = F.least("n2", n - F.least("n1", F.lit(target)))

@@ -126,10 +126,10 @@ def _first_smaller(q, e, qids, eids, radius, metric):
 
 
 def _reduce(left, right, reducer, arg, metric):
-    """Arrow (request id, entry id, cost) of one tile."""
+    """(request ids, entry ids, score) of one tile, a part per dimension."""
     qs, es = _by_dim(*left), _by_dim(*right)
     out = []
-    for dim in set(qs) & set(es):
+    for dim in sorted(set(qs) & set(es)):
         (qids, q), (eids, e) = qs[dim], es[dim]
         order = np.argsort(eids, kind="stable")
         eids, e = eids[order], _prepare(e[order], metric)
@@ -144,6 +144,31 @@ def _reduce(left, right, reducer, arg, metric):
     return out
 
 
+class _Best:
+    """The ``k`` best entries so far of a fixed set of requests."""
+
+    def __init__(self, ids, matrix, k, metric):
+        self.ids, self.q, self.k, self.metric = ids, _prepare(matrix, metric), k, metric
+        self.rows, self.entries, self.cost = np.empty(0, int), np.empty(0, object), np.empty(0)
+
+    def add(self, eids, e):
+        order = np.argsort(eids, kind="stable")
+        eids = eids[order]
+        qi, ei, cost = _nearest(self.q, _prepare(e[order], self.metric), self.k, self.metric)
+        rows = np.concatenate([self.rows, qi])
+        entries = np.concatenate([self.entries, eids[ei].astype(object)])
+        cost = np.concatenate([self.cost, cost])
+        order = np.lexsort((np.unique(entries, return_inverse=True)[1], cost, rows))
+        rows, entries, cost = rows[order], entries[order], cost[order]
+        first = np.searchsorted(rows, np.arange(len(self.ids)))
+        keep = np.arange(len(rows)) - first[rows] < self.k
+        self.rows, self.entries, self.cost = rows[keep], entries[keep], cost[keep]
+
+    def result(self):
+        score = -self.cost if self.metric == "cosine" else self.cost
+        return self.ids[self.rows], self.entries, score
+
+
 # --- physical forms ---------------------------------------------------------
 
 def _side(df, by, id_col, vec_col, new_id):
@@ -204,51 +229,42 @@ def _scan_join(batch: pa.Table, q: DataFrame, e: DataFrame, by: list, k: int,
 
     def groups(table):
         keys = table.select(by).to_pandas()
-        return {k if isinstance(k, tuple) else (k,): pa.array(ix)
-                for k, ix in keys.groupby(by, sort=False).indices.items()}
+        return {key if isinstance(key, tuple) else (key,): pa.array(rows)
+                for key, rows in keys.groupby(by, sort=False).indices.items()}
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
         types = [to_arrow_type(t) for _, t in fields]
         requests = shared.value
-        asked = {key: requests.take(ix) for key, ix in groups(requests).items()}
-        best = {}  # (group, dimension) -> candidates so far, at most k a request
-
-        def trim(parts):
-            q, ids, score = (np.concatenate(c) for c in zip(*parts))
-            cost = -score if metric == "cosine" else score
-            order = np.lexsort((np.unique(ids, return_inverse=True)[1], cost,
-                                np.unique(q, return_inverse=True)[1]))
-            q, ids, score = q[order], ids[order], score[order]
-            start = np.concatenate([[True], q[1:] != q[:-1]])
-            first = np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
-            keep = np.arange(len(q)) - first < k
-            return q[keep], ids[keep], score[keep]
-
+        best = {}
+        for key, rows in groups(requests).items():
+            asked = requests.take(rows)
+            best[key] = {dim: _Best(ids, m, k, metric)
+                         for dim, (ids, m) in _by_dim(asked["_q"], asked["_v"]).items()}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            for key, ix in groups(table).items():
-                if key not in asked:
-                    continue
-                part = table.take(ix)
-                ask = asked[key]
-                for found in _reduce((ask["_q"], ask["_v"]), (part["_e"], part["_v"]),
-                                     "nearest", k, metric):
-                    old = best.get(key)
-                    best[key] = trim([old, found]) if old is not None else found
-        for key, (qids, eids, score) in best.items():
-            cols = [pa.array([v] * len(qids), t) for v, t in zip(key, types)]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(qids, types[-3]), pa.array(eids, types[-2]),
-                 pa.array(score, types[-1])], names=[n for n, _ in fields])
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                for key, rows in groups(table).items():
+                    if key in best:
+                        part = table.take(rows)
+                        for dim, (ids, m) in _by_dim(part["_e"], part["_v"]).items():
+                            if dim in best[key]:
+                                best[key][dim].add(ids, m)
+        for key, dims in best.items():
+            for found in dims.values():
+                qids, eids, score = found.result()
+                cols = [pa.array([v] * len(qids), t) for v, t in zip(key, types)]
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.array(qids, types[-3]), pa.array(eids, types[-2]),
+                     pa.array(score, types[-1])], names=[n for n, _ in fields])
 
     return e.mapInArrow(run, schema)
 
 
-def _small_batch(q: DataFrame):
+def small_batch(requests: DataFrame, by=("model",), request_id: str = "request_id",
+                vector: str = "embedding"):
     """The request side as one Arrow table, or None when over the bound."""
+    q = _side(requests, list(by), request_id, vector, "_q")
     batch = q.limit(SCAN_REQUESTS + 1).toArrow()
     if batch.num_rows <= SCAN_REQUESTS and batch.nbytes <= SCAN_BYTES:
         return batch
@@ -259,21 +275,24 @@ def _small_batch(q: DataFrame):
 
 def knn(requests: DataFrame, entries: DataFrame, k: int = 1, metric: str = "l2",
         by=("model",), request_id: str = "request_id", entry_id: str = "id",
-        vector: str = "embedding", method: str = "auto",
-        tile_rows: int = TILE_ROWS) -> DataFrame:
+        vector: str = "embedding", method: str = "auto", tile_rows: int = TILE_ROWS,
+        batch=None) -> DataFrame:
     """Exact ``k`` nearest entries of each request inside its group.
 
     Returns ``by..., request_id, entry_id, score, position``; score is the
     squared distance or the cosine; ties go to the smaller entry id. ``method``
     is ``scan``, ``tiles`` or ``auto`` (scan only for a request batch counted
-    and found small).
+    and found small; ``batch`` is that batch when the caller has it).
     """
     if k < 1:
         raise ValueError("k must be positive")
     by = list(by)
     q = _side(requests, by, request_id, vector, "_q")
     e = _side(entries, by, entry_id, vector, "_e")
-    batch = None if method == "tiles" else _small_batch(q)
+    if method == "tiles":
+        batch = None
+    elif batch is None:
+        batch = small_batch(requests, by, request_id, vector)
     if method == "scan" and batch is None:
         raise ValueError("request batch too large to broadcast")
     if batch is not None:

@@ -7,7 +7,8 @@ from answerlake import schema as S
 from answerlake.functions.ranking import COSINE, Gate
 from answerlake.operators.gate import length_gate, pick_all, pick_first, pick_random, score_gate
 from answerlake.operators.lookup import scalar_fetch
-from answerlake.operators.vector_join import knn
+from answerlake.operators.vector_join import knn, small_batch
+from answerlake.runtime import BROADCAST_ROWS, cut_lineage
 
 
 def build_response(requests: DataFrame, picked: DataFrame, extra=()) -> DataFrame:
@@ -33,18 +34,31 @@ def build_response(requests: DataFrame, picked: DataFrame, extra=()) -> DataFram
 
 
 def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k: int = 1,
-                 by=("model",), pick: str = "first", seed=0, extra=(), **search) -> DataFrame:
+                 by=("model",), pick: str = "first", seed=0, extra=(), method: str = "auto",
+                 **search) -> DataFrame:
     """Answer (request_id, model, key, embedding) rows from the live entries.
 
     Only ids and vectors take part in the search; question and answer are
-    fetched for the requests that pass the gate.
+    fetched for the requests that pass the gate. A small request batch is
+    broadcast throughout and entries are never shuffled. For a large one the
+    gated candidates are written out, so the search runs once, and their count
+    decides how entries are fetched.
     """
     live = entries.where(~F.col("is_deleted"))
-    near = knn(requests, live, k, gate.metric, by, **search)
-    gated = score_gate(near.select("request_id", "id", "score"), gate)
-    fetched = scalar_fetch(gated, entries, columns=("question", "answer", *extra))
-    keyed = fetched.join(requests.select("request_id", "key"), "request_id")
-    kept = length_gate(keyed, gate)
+    batch = None if method == "tiles" else small_batch(requests, by)
+    if batch is None and method == "scan":
+        raise ValueError("request batch too large to broadcast")
+    near = knn(requests, live, k, gate.metric, by, batch=batch,
+               method="tiles" if batch is None else "scan", **search)
+    gated = score_gate(near.select(*by, "request_id", "id", "score"), gate, by=by).drop(*by)
+    keys = requests.select("request_id", "key")
+    if batch is not None and batch.num_rows * k <= BROADCAST_ROWS:
+        bounded = True
+    else:
+        gated = cut_lineage(gated, "candidates")
+        bounded = gated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    fetched = scalar_fetch(gated, entries, columns=("question", "answer", *extra), bounded=bounded)
+    kept = length_gate(fetched.join(keys, "request_id"), gate)
     if pick == "all":
         return pick_all(kept)
     chosen = pick_random(kept, seed) if pick == "random" else pick_first(kept)

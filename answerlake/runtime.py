@@ -74,9 +74,11 @@ def top_n(df: DataFrame, by: list, order: list, n, spread: list,
             .where(F.col(position) <= n))
 
 
-def number_rows(df: DataFrame, by: list, seq: str, out: str, width: int = 65_536) -> DataFrame:
+def number_rows(df: DataFrame, by: list, seq: str, out: str, total: str = None,
+                width: int = 65_536) -> DataFrame:
     """1-based position of each row in its group, ordered by the unique integer
-    ``seq``, without sorting a whole group in one task.
+    ``seq``, without sorting a whole group in one task; ``total`` names a column
+    for the size of the group.
 
     Rows are numbered inside blocks of ``width`` consecutive ``seq`` values (so
     no block exceeds ``width`` rows) and shifted by the rows of earlier blocks.
@@ -86,7 +88,8 @@ def number_rows(df: DataFrame, by: list, seq: str, out: str, width: int = 65_536
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *by, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        *by, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        *([F.sum("_n").over(Window.partitionBy(*by)).alias(total)] if total else []))
     inside = Window.partitionBy(*by, "_block").orderBy(seq)
     return (blocked.withColumn("_in", F.row_number().over(inside))
             .join(offsets, [*by, "_block"])

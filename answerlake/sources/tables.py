@@ -58,6 +58,15 @@ def access_rows(stored: DataFrame = None, fetched: DataFrame = None,
     return out
 
 
+def append_access_log(rows: DataFrame, path: str, start: int = 0) -> None:
+    """Append accesses with an ascending unique ``seq`` from ``start`` on, in the
+    order of ``at``. The sort is range-partitioned, the numbers need no single
+    task; pass the log's last number plus one to continue it."""
+    ordered = rows.orderBy("at", "model", "key", "op")
+    (ordered.withColumn("seq", F.monotonically_increasing_id() + F.lit(start).cast("long"))
+     .write.mode("append").parquet(path))
+
+
 def jdbc_slices(column: str = "id") -> list:
     """256 disjoint predicates over hexadecimal ids, for a parallel JDBC read."""
     return [f"{column} LIKE '{i:02x}%'" for i in range(256)]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from answerlake.operators.maintain import new_entries
+from answerlake.operators.maintain import fresh_entries
 from answerlake.plans.cache_lookup import cache_lookup
 
 
@@ -53,8 +53,7 @@ def stream_insert(rows: DataFrame, path: str, checkpoint: str, embed, at=None) -
     before, in this or an earlier batch, add nothing.
     """
     def insert(batch, batch_id):
-        fresh = new_entries(embed(batch), at=at).dropDuplicates(["id"])
-        return fresh.join(_earlier(batch.sparkSession, path, batch_id), "id", "left_anti")
+        return fresh_entries(_earlier(batch.sparkSession, path, batch_id), embed(batch), at=at)
     return _each_batch(rows, insert, path, checkpoint)
 
 
@@ -92,7 +91,11 @@ def hit_rate_windows(log: DataFrame, window: str = "1 hour", slide: str = None,
 
 def session_windows(turns: DataFrame, user: str = "user_id", gap: str = "30 minutes",
                     delay: str = "10 minutes") -> DataFrame:
-    """Dialogue sessions: one user's turns until a pause of ``gap``."""
+    """Dialogue sessions: one user's turns until a pause of ``gap``. On a stream,
+    rows are merged to sessions before the shuffle, for users with many rows."""
+    if turns.isStreaming:
+        turns.sparkSession.conf.set(
+            "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     rows = _timed(turns, delay)
     return (rows.groupBy(F.session_window("ts", gap).alias("w"), user)
             .agg(F.count(F.lit(1)).alias("turns"))

@@ -14,9 +14,6 @@ def query(name, sql=None):
 
 
 def load():
-    import importlib
-    import os
-    for m in ("sources", "shaping", "embedding", "search", "evaluation", "maintenance", "retention", "analytics", "streams"):
-        if os.path.exists(os.path.join(os.path.dirname(__file__), m + ".py")):
-            importlib.import_module("registry." + m)
+    from registry import (analytics, embedding, evaluation, maintenance, retention,  # noqa: F401
+                          search, shaping, sources, streams)
     return QUERIES, ORACLES

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from answerlake.operators.lookup import latest_per_key  # noqa: F401
-from answerlake.runtime import shared_dir
+from answerlake.runtime import number_rows, shared_dir
 from answerlake.sources import objects as O
 from answerlake.sources import requests as Q
 from answerlake.sources import tables as TB
@@ -150,19 +150,21 @@ def object_table(spark, sf):
     return O.delete_objects(objects, gone)
 
 
-@query("append_access_log", f"""WITH {t.LOG}
-SELECT model, answer AS key, 'get' AS op, ts AS at FROM query_log WHERE cache_hit
-UNION ALL SELECT model, query, 'put', ts FROM query_log WHERE NOT cache_hit AND error_code = 0
-UNION ALL SELECT model, query, 'put', ts FROM query_log WHERE error_code <> 0""")
+@query("append_access_log", f"""WITH {t.LOG}, accesses AS (
+  SELECT model, answer AS key, 'get' AS op, ts AS "at" FROM query_log WHERE cache_hit
+  UNION ALL SELECT model, query, 'put', ts FROM query_log WHERE NOT cache_hit AND error_code = 0
+  UNION ALL SELECT model, query, 'put', ts FROM query_log WHERE error_code <> 0)
+SELECT *, row_number() OVER (ORDER BY "at", model, key, op) AS place FROM accesses""")
 def append_access_log(spark, sf):
+    """The log's order is checked through the position of each ``seq``."""
     log = t.query_log(spark, sf)
     rows = lambda cond, col: log.where(cond).select("model", F.col(col).alias("id"), F.col("ts").alias("at"))
     out = TB.access_rows(stored=rows("not cache_hit and error_code = 0", "query"),
                          fetched=rows("cache_hit", "answer"),
                          reloaded=rows("error_code <> 0", "query"))
     path = shared_dir(spark, "access")
-    out.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    TB.append_access_log(out, path)
+    return number_rows(spark.read.parquet(path), [], "seq", "place").drop("seq")
 
 
 @query("normalize_answers", """SELECT event_id, unnest(CASE event_type
