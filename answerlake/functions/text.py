@@ -76,6 +76,10 @@ def mm_collection(model: Column, kind: Column) -> Column:
     return F.concat(F.lit("multi_cache_"), model, F.lit("_"), mm_type(kind))
 
 
+BLANK = " \t\n\r"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case tokens between white space."""
-    return F.filter(F.split(F.lower(text), "[ \\t\\n\\r]+"), lambda t: t != "")
+    parts = F.split(F.btrim(F.lower(text), F.lit(BLANK)), f"[{BLANK}]+")
+    return F.array_remove(parts, "")

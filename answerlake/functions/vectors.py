@@ -28,11 +28,19 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value computed once; a plain expression inside a lambda
+    would be computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def l2_normalize(v: Column) -> Column:
     """Unit vector, null for a zero vector."""
-    size = norm(v)
-    return F.when(size > 0, F.transform(as_double(v), lambda x: x / size))
+    sized = let(as_double(v), lambda u: F.struct(u.alias("v"), norm(u).alias("n")))
+    return let(sized, lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])))
 
 
 def mix(a: Column, b: Column, wa: Column, wb: Column) -> Column:
-    return F.zip_with(as_double(a), as_double(b), lambda x, y: wa * x + wb * y)
+    weights = F.struct(wa.alias("a"), wb.alias("b"))
+    return let(weights, lambda w: F.zip_with(
+        as_double(a), as_double(b), lambda x, y: w["a"] * x + w["b"] * y))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerlake.runtime import broadcast_if_small, salted_join
+from answerlake.runtime import broadcast_if_small, hot_join
 
 
 def report_totals(op_times: DataFrame, log: DataFrame) -> DataFrame:
@@ -83,9 +83,7 @@ def cold_entries(entries: DataFrame, log: DataFrame) -> DataFrame:
 def hit_query_recall(log: DataFrame, entries: DataFrame) -> DataFrame:
     """Logged hits beside the entry they returned; entries may be hot."""
     hits = log.where("cache_hit").select("log_id", "query", F.col("hit_id").alias("id"))
-    stored = entries.select("id", "question", "answer").join(
-        hits.select("id").distinct(), "id", "left_semi")
-    return salted_join(hits, stored, ["id"], "inner", spread=["log_id"])
+    return hot_join(hits, entries.select("id", "question", "answer"), ["id"], spread=["log_id"])
 
 
 def hit_rate_over_time(log: DataFrame, hours: int = 24) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlake.runtime import BROADCAST_ROWS, cut_lineage, salted_join
+from answerlake.runtime import cut_lineage, few_rows, hot_join
 
 
 def latest_per_key(rows: DataFrame, keys: list, seq: str) -> DataFrame:
@@ -17,24 +17,22 @@ def latest_per_key(rows: DataFrame, keys: list, seq: str) -> DataFrame:
 def exact_lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """Entry whose question equals the request's key, in the same tenant.
 
-    Equal questions keep the smallest id. Few different keys are broadcast, so
-    only matching entries are aggregated; the hits are then joined salted, as
-    one key may make up much of the requests.
+    Equal questions keep the smallest id; they are aggregated before the
+    shuffle. One key may make up much of the requests.
     """
     on = ["model", "key"]
     wanted = requests.select(*on).distinct()
     stored = keep_wanted(entries.select("model", F.col("question").alias("key"), "id", "answer"),
                          wanted, on)
     hits = (stored.groupBy(*on).agg(F.min(F.struct("id", "answer")).alias("e"))
-            .join(wanted, on, "left_semi")
             .select(*on, F.col("e.id").alias("hit_id"), F.col("e.answer").alias("answer")))
-    return salted_join(requests, hits, on, "left", spread=["request_id"])
+    return hot_join(requests, hits, on, "left", spread=["request_id"])
 
 
 def keep_wanted(rows: DataFrame, wanted: DataFrame, on: list) -> DataFrame:
     """Rows whose key is wanted, when the keys are few enough to broadcast; else
     all rows, left to a later join."""
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if few_rows(wanted):
         return rows.join(F.broadcast(wanted), on, "left_semi")
     return rows
 
@@ -44,15 +42,12 @@ def scalar_fetch(candidates: DataFrame, entries: DataFrame, id_col: str = "id",
     """Entry columns for candidate ids; ids without a live entry are dropped.
 
     ``bounded`` candidates (known to fit the broadcast bound) are broadcast to
-    the entry scan. Otherwise the entry table is cut to the ids in use and
-    joined salted: one entry may answer a third of all requests.
+    the entry scan; otherwise one entry may answer a third of all requests.
     """
     live = entries.where(~F.col("is_deleted")).select(id_col, *columns)
     if bounded:
         return live.join(F.broadcast(candidates), id_col)
-    wanted = candidates.select(id_col).distinct()
-    return salted_join(candidates, live.join(wanted, id_col, "left_semi"), [id_col], "inner",
-                       spread=["request_id"])
+    return hot_join(candidates, live, [id_col], "inner", spread=["request_id"])
 
 
 def existing_ids(ids: DataFrame, entries: DataFrame, id_col: str = "id") -> DataFrame:

@@ -8,7 +8,7 @@ from answerlake.functions.ranking import COSINE, Gate
 from answerlake.operators.gate import length_gate, pick_all, pick_first, pick_random, score_gate
 from answerlake.operators.lookup import scalar_fetch
 from answerlake.operators.vector_join import knn, small_batch
-from answerlake.runtime import BROADCAST_ROWS, cut_lineage
+from answerlake.runtime import BROADCAST_ROWS, cut_lineage, few_rows
 
 
 def build_response(requests: DataFrame, picked: DataFrame, extra=()) -> DataFrame:
@@ -56,7 +56,7 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k
         bounded = True
     else:
         gated = cut_lineage(gated, "candidates")
-        bounded = gated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        bounded = few_rows(gated)
     fetched = scalar_fetch(gated, entries, columns=("question", "answer", *extra), bounded=bounded)
     kept = length_gate(fetched.join(keys, "request_id"), gate)
     if pick == "all":

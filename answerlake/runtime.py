@@ -33,20 +33,23 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame was counted to have at most ``max_rows`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that the rows fit the bound.
 
     Above the bound the frame is returned as it is, so the join shuffles and
     adaptive execution splits skewed partitions.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if few_rows(df, max_rows) else df
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list, how: str = "inner",
                 spread: list = None, salts: int = 8) -> DataFrame:
-    """Equi-join whose left keys may be hot (``how``: inner or left).
+    """Shuffle join whose left keys may be hot (``how``: inner or left).
 
     Left rows of one key are spread over ``salts`` partitions by the ``spread``
     columns; the right side is repeated once per salt.
@@ -54,10 +57,25 @@ def salted_join(left: DataFrame, right: DataFrame, on: list, how: str = "inner",
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*(spread or left.columns)),
                                              F.lit(salts)).cast("int"))
     repeated = right.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def hot_join(left: DataFrame, right: DataFrame, on: list, how: str = "inner",
+             spread: list = None) -> DataFrame:
+    """Join to a table with at most one row per key, from rows that may repeat a
+    key often.
+
+    Few different keys: they are broadcast to cut the table, and what is left,
+    as few, is broadcast to the rows; nothing is shuffled. Many: salted join.
+    """
+    wanted = left.select(*on).distinct()
+    if few_rows(wanted):
+        found = right.join(F.broadcast(wanted), on, "left_semi")
+        return left.join(F.broadcast(found), on, how)
+    return salted_join(left, right.join(wanted, on, "left_semi"), on, how, spread)
+
+
 def top_n(df: DataFrame, by: list, order: list, n, spread: list,
           position: str = "position", salts: int = SALTS) -> DataFrame:
     """First ``n`` rows of each group in ``order``; exact for hot groups.

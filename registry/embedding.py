@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from answerlake.functions import vectors as V
 from answerlake.functions.text import tokens
 from answerlake.operators import embed as E
+from answerlake.runtime import cut_lineage
 from registry import query
 from registry import tables as t
 
@@ -29,8 +30,9 @@ def unit(text):
 
 
 def token_vectors(docs):
+    """The token table, written once as a stored table would be."""
     words = docs.select(F.explode(tokens(F.col("text"))).alias("token")).distinct()
-    return words.withColumn("vec", unit(F.col("token")))
+    return cut_lineage(words.withColumn("vec", unit(F.col("token"))), "token-vectors")
 
 
 def sql_tokens(source, key):
