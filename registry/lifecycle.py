@@ -10,7 +10,7 @@ from answerlake.sources.requests import parse_requests
 from registry import query
 from registry import tables as t
 from registry.embedding import DIM, sql_tokens, unit
-from registry.maintenance import AT
+from registry.maintenance import at
 from registry.shaping import _CODES
 from registry.sources import request_lines
 
@@ -27,12 +27,12 @@ def _outcome(spark, sf):
 
     model = t.normalize_model(t.tenant(F.col("conv_id")))
     stored = embed(t.pairs(spark, sf).select(model.alias("model"), "key", "answer"))
-    entries = cut_lineage(M.new_entries(stored.withColumnRenamed("key", "question"), at=AT)
+    entries = cut_lineage(M.new_entries(stored.withColumnRenamed("key", "question"), at=at())
                           .dropDuplicates(["id"]), "entries")
     collections = (entries.where("model <> 'images_test'").groupBy("model", "mm_type").agg(F.lit(1))
                    .select("model", "mm_type", F.lit(DIM).alias("dim"), F.lit("l2").alias("metric")))
     return handle_requests(parse_requests(request_lines(spark, sf)), entries, collections, embed,
-                           DIM, at=AT)
+                           DIM, at=at())
 
 
 _BATCH = f"""WITH {_CODES},

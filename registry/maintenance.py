@@ -10,7 +10,12 @@ from registry import query
 from registry import tables as t
 from registry.embedding import DIM, sql_tokens, token_vectors
 
-AT = F.expr("timestamp_ntz'2024-02-01 00:00:00'")
+
+
+def at():
+    return F.expr("timestamp_ntz'2024-02-01 00:00:00'")
+
+
 _SQL_AT = "TIMESTAMP '2024-02-01 00:00:00'"
 
 
@@ -30,7 +35,7 @@ _ID = "sha256('team_a_1' || chr(31) || key || chr(31) || answer)"
 SELECT id, model, question, answer, answer_type, hit_count, is_deleted, len(embedding)::INTEGER AS dim FROM entries
 UNION ALL SELECT DISTINCT {_ID}, 'team_a_1', key, answer, 0::INTEGER, 0::BIGINT, false, {DIM}::INTEGER FROM pairs""")
 def insert_entries(spark, sf):
-    grown = M.insert_entries(t.entries(spark, sf), fresh_rows(spark, sf), at=AT)
+    grown = M.insert_entries(t.entries(spark, sf), fresh_rows(spark, sf), at=at())
     return grown.select("id", "model", "question", "answer", "answer_type", "hit_count",
                         "is_deleted", F.size("embedding").alias("dim"))
 
@@ -83,7 +88,7 @@ def mm_insert(spark, sf):
                     F.when((label < 7) & (label != 1), F.col("embedding")).alias("image_vec"),
                     F.when(label > 2, F.reverse("embedding")).alias("text_vec"))
     good, _ = E.mm_concat(rows)
-    return M.new_entries(good, at=AT).select("id", "mm_type", "image_url", "image_id",
+    return M.new_entries(good, at=at()).select("id", "mm_type", "image_url", "image_id",
                                              F.size("embedding").alias("dim"))
 
 
@@ -98,7 +103,7 @@ SELECT e.id, (hit_count + coalesce(n, 0))::BIGINT AS hit_count,
   CASE WHEN n IS NULL THEN gmt_modified ELSE {_SQL_AT} END AS gmt_modified
 FROM entries e LEFT JOIN hits h ON e.id = h.id""")
 def apply_hit_counts(spark, sf):
-    return M.apply_hit_counts(t.entries(spark, sf), responses(spark, sf), AT).select(
+    return M.apply_hit_counts(t.entries(spark, sf), responses(spark, sf), at()).select(
         "id", "hit_count", "gmt_modified")
 
 

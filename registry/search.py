@@ -7,7 +7,9 @@ from answerlake.operators.range_join import range_join, semantic_dups
 from registry import query
 from registry import tables as t
 
-SCORE = F.round("score", 6).alias("score")
+
+def score():
+    return F.round("score", 6).alias("score")
 
 
 def live(spark, sf):
@@ -20,7 +22,7 @@ SELECT model, request_id, id, position, round(score, 6) AS score FROM near"""
 
 
 def _knn(df):
-    return df.select("model", "request_id", "id", "position", SCORE)
+    return df.select("model", "request_id", "id", "position", score())
 
 
 @query("knn_l2", _knn_sql(5))
@@ -46,7 +48,7 @@ def knn_blocked(spark, sf):
 @query("knn_mm", _knn_sql(2, by=("model", "mm_type")).replace("SELECT model,", "SELECT model, mm_type,"))
 def knn_mm(spark, sf):
     near = vj.knn(t.planted(spark, sf), live(spark, sf), k=2, by=("model", "mm_type"))
-    return near.select("model", "mm_type", "request_id", "id", "position", SCORE)
+    return near.select("model", "mm_type", "request_id", "id", "position", score())
 
 
 @query("knn_two", f"""WITH {t.ENTRIES}, {t.PLANTED}, {t.knn_sql(2)}
@@ -148,13 +150,13 @@ WHERE NOT e.is_deleted AND pow(list_distance(p.embedding, e.embedding::DOUBLE[])
 @query("range_join_exact", _RANGE.format(r=0.1))
 def range_join_exact(spark, sf):
     return (range_join(t.planted(spark, sf), live(spark, sf), radius=0.1)
-            .select("model", "request_id", "id", "copies", SCORE))
+            .select("model", "request_id", "id", "copies", score()))
 
 
 @query("range_join_wide", _RANGE.format(r=1.3))
 def range_join_wide(spark, sf):
     return (range_join(t.planted(spark, sf), live(spark, sf), radius=1.3)
-            .select("model", "request_id", "id", "copies", SCORE))
+            .select("model", "request_id", "id", "copies", score()))
 
 
 @query("semantic_dups", f"""WITH {t.ENTRIES},

@@ -7,7 +7,7 @@ from answerlake.streaming import jobs as J
 from registry import query
 from registry import tables as t
 from registry.evaluation import _lookup_sql
-from registry.maintenance import _ID, AT, fresh_rows
+from registry.maintenance import _ID, at, fresh_rows
 from registry.embedding import DIM
 
 _FILES = 4
@@ -49,7 +49,7 @@ def stream_lookup(spark, sf):
 def stream_insert(spark, sf):
     rows = fresh_rows(spark, sf).select("model", "question", "answer", "embedding")
     twice = as_stream(rows.unionByName(rows), "chat", per_batch=2)
-    path = _run(lambda p, c: J.stream_insert(twice, p, c, lambda batch: batch, at=AT), spark, "entries")
+    path = _run(lambda p, c: J.stream_insert(twice, p, c, lambda batch: batch, at=at()), spark, "entries")
     return spark.read.parquet(path).select("id", "model", "question", "answer",
                                            F.size("embedding").alias("dim"))
 
