@@ -25,7 +25,7 @@ from answerlake.runtime import broadcast_if_small
 TILE_ROWS = 4096
 SCAN_REQUESTS = 10_000
 SCAN_BYTES = 64 << 20
-CHUNK = 512
+CHUNK = 256
 PAIR_SLICE = 65_536
 
 
@@ -54,12 +54,22 @@ def _prepare(m, metric):
 
 
 def _costs(q, e, metric):
-    """Approximate costs by one matrix product, with their error bound."""
+    """Approximate costs by one single-precision matrix product, with a bound of
+    their error. Squared distances lack the request's own norm, which does not
+    change their order. Callers settle everything within the bound exactly."""
+    ee = (e * e).sum(1)
+    scale = (q * q).sum(1).max(initial=0) + ee.max(initial=0)
+    kind = np.float32 if 1e-30 < scale < 1e30 else np.float64
+    tol = np.finfo(kind).eps * (q.shape[1] + 16) * scale
     if metric == "cosine":
-        return -(q @ e.T), 1e-9
-    qq, ee = (q * q).sum(1), (e * e).sum(1)
-    scale = 1.0 + qq.max(initial=0) + ee.max(initial=0)
-    return qq[:, None] + ee[None, :] - 2.0 * (q @ e.T), 1e-10 * scale
+        return -q.astype(kind) @ e.astype(kind).T, tol
+    left = np.hstack([-2 * q, np.ones((len(q), 1))]).astype(kind)
+    return left @ np.hstack([e, ee[:, None]]).astype(kind).T, tol
+
+
+def _pairs(mask):
+    """Row and column of the set cells."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
 
 
 def _exact(q, e, qi, ei, metric):
@@ -72,23 +82,48 @@ def _exact(q, e, qi, ei, metric):
     return out
 
 
+def _groups_of_copies(m):
+    """For each row the number of its group of equal rows, and the first rows."""
+    rows = np.ascontiguousarray(m).view(np.dtype((np.void, m.itemsize * m.shape[1]))).ravel()
+    _, first, group = np.unique(rows, return_index=True, return_inverse=True)
+    return group.ravel(), first
+
+
+def _first_copies(m, k):
+    """Rows of ``m`` without those that ``k`` equal rows precede: no request can
+    have them among its ``k`` nearest."""
+    group, first = _groups_of_copies(m)
+    if len(first) == len(m):
+        return np.arange(len(m))
+    order = np.argsort(group, kind="stable")
+    start = np.searchsorted(group[order], np.arange(len(first)))
+    place = np.empty(len(m), int)
+    place[order] = np.arange(len(m)) - start[group[order]]
+    return np.flatnonzero(place < k)
+
+
 def _nearest(q, e, k, metric):
-    """(request row, entry row, cost) of the k best, ties by entry row."""
+    """(request row, entry row, cost) of the k best, ties by entry row; every
+    request row has min(k, entries) results."""
+    kept = _first_copies(e, k)
+    e = e[kept]
     parts = []
     for at in range(0, len(q), CHUNK):
         block = q[at:at + CHUNK]
         cost, tol = _costs(block, e, metric)
-        if k < e.shape[0]:
+        if k == 1:
+            cut = cost.min(axis=1, keepdims=True) + 2 * tol
+        elif k < e.shape[0]:
             cut = np.partition(cost, k - 1, axis=1)[:, k - 1:k] + 2 * tol
         else:
             cut = np.full((len(block), 1), np.inf)
-        qi, ei = np.nonzero(cost <= cut)
+        qi, ei = _pairs(cost <= cut)
         exact = _exact(block, e, qi, ei, metric)
         order = np.lexsort((ei, exact, qi))
         qi, ei, exact = qi[order], ei[order], exact[order]
         first = np.searchsorted(qi, np.arange(len(block)))
         keep = np.arange(len(qi)) - first[qi] < k
-        parts.append((qi[keep] + at, ei[keep], exact[keep]))
+        parts.append((qi[keep] + at, kept[ei[keep]], exact[keep]))
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
@@ -97,8 +132,10 @@ def _matches(q, e, radius, metric):
     for at in range(0, len(q), CHUNK):
         block = q[at:at + CHUNK]
         cost, tol = _costs(block, e, metric)
+        if metric == "l2":
+            cost = cost + (block * block).sum(1)[:, None]
         hit = cost <= radius - tol
-        qi, ei = np.nonzero(np.abs(cost - radius) <= tol)
+        qi, ei = _pairs(np.abs(cost - radius) <= tol)
         if len(qi):
             hit[qi, ei] = _exact(block, e, qi, ei, metric) <= radius
         yield at, block, hit
@@ -107,7 +144,7 @@ def _matches(q, e, radius, metric):
 def _within(q, e, radius, metric):
     parts = []
     for at, block, hit in _matches(q, e, radius, metric):
-        qi, ei = np.nonzero(hit)
+        qi, ei = _pairs(hit)
         parts.append((qi + at, ei, _exact(block, e, qi, ei, metric)))
     return tuple(np.concatenate(p) for p in zip(*parts))
 
@@ -131,12 +168,15 @@ def _reduce(left, right, reducer, arg, metric):
     out = []
     for dim in sorted(set(qs) & set(es)):
         (qids, q), (eids, e) = qs[dim], es[dim]
+        if reducer == "nearest":
+            best = _Best(qids, q, arg, metric)
+            best.add(eids, e)
+            out.append(best.result())
+            continue
         order = np.argsort(eids, kind="stable")
         eids, e = eids[order], _prepare(e[order], metric)
         q = _prepare(q, metric)
-        if reducer == "nearest":
-            qi, ei, cost = _nearest(q, e, arg, metric)
-        elif reducer == "within":
+        if reducer == "within":
             qi, ei, cost = _within(q, e, arg, metric)
         else:
             qi, ei, cost = _first_smaller(q, e, qids, eids, arg, metric)
@@ -145,28 +185,32 @@ def _reduce(left, right, reducer, arg, metric):
 
 
 class _Best:
-    """The ``k`` best entries so far of a fixed set of requests."""
+    """The ``k`` best entries so far of a fixed set of requests; equal request
+    vectors are searched once."""
 
     def __init__(self, ids, matrix, k, metric):
-        self.ids, self.q, self.k, self.metric = ids, _prepare(matrix, metric), k, metric
-        self.rows, self.entries, self.cost = np.empty(0, int), np.empty(0, object), np.empty(0)
+        self.group, first = _groups_of_copies(matrix)
+        self.ids, self.q, self.k, self.metric = ids, _prepare(matrix[first], metric), k, metric
+        self.entries = np.empty((len(first), 0), object)
+        self.cost = np.empty((len(first), 0))
 
     def add(self, eids, e):
         order = np.argsort(eids, kind="stable")
         eids = eids[order]
-        qi, ei, cost = _nearest(self.q, _prepare(e[order], self.metric), self.k, self.metric)
-        rows = np.concatenate([self.rows, qi])
-        entries = np.concatenate([self.entries, eids[ei].astype(object)])
-        cost = np.concatenate([self.cost, cost])
-        order = np.lexsort((np.unique(entries, return_inverse=True)[1], cost, rows))
-        rows, entries, cost = rows[order], entries[order], cost[order]
-        first = np.searchsorted(rows, np.arange(len(self.ids)))
-        keep = np.arange(len(rows)) - first[rows] < self.k
-        self.rows, self.entries, self.cost = rows[keep], entries[keep], cost[keep]
+        _, ei, cost = _nearest(self.q, _prepare(e[order], self.metric), self.k, self.metric)
+        shape = (len(self.q), -1)
+        entries = np.hstack([self.entries, eids[ei].astype(object).reshape(shape)])
+        cost = np.hstack([self.cost, cost.reshape(shape)])
+        ranks = np.unique(entries, return_inverse=True)[1].reshape(entries.shape)
+        order = np.lexsort((ranks, cost), axis=1)[:, :self.k]
+        self.entries = np.take_along_axis(entries, order, axis=1)
+        self.cost = np.take_along_axis(cost, order, axis=1)
 
     def result(self):
-        score = -self.cost if self.metric == "cosine" else self.cost
-        return self.ids[self.rows], self.entries, score
+        """(request ids, entry ids, score), flat."""
+        entries, cost = self.entries[self.group], self.cost[self.group]
+        score = -cost if self.metric == "cosine" else cost
+        return np.repeat(self.ids, cost.shape[1]), entries.ravel(), score.ravel()
 
 
 # --- physical forms ---------------------------------------------------------
