@@ -38,6 +38,17 @@ class Gate:
         return tuple(scale_threshold(F.lit(float(t)), 0.0, self.max_distance, self.cache_factor)
                      for t in (self.threshold, self.threshold_long))
 
+    def max_cost(self):
+        """Squared distance (or negative cosine) beyond which no candidate can
+        pass, None when any might."""
+        if self.metric == "cosine":
+            return -float(self.threshold)
+        cuts = [min(max(self.max_distance * t * self.cache_factor, 0.0), self.max_distance)
+                for t in (self.threshold, self.threshold_long)]
+        if self.positive or min(cuts) <= 0:
+            return None
+        return self.max_distance - min(cuts)
+
 
 COSINE = Gate(metric="cosine", threshold=0.9, threshold_long=0.9)
 

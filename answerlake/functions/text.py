@@ -73,7 +73,7 @@ def mm_type(kind: Column) -> Column:
 
 def mm_collection(model: Column, kind: Column) -> Column:
     """Null when the kind is unknown."""
-    return F.concat(F.lit("multi_cache_"), model, F.lit("_"), mm_type(kind))
+    return F.concat(F.lit(S.MM_COLLECTION), model, F.lit("_"), mm_type(kind))
 
 
 BLANK = " \t\n\r"

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from answerlake.runtime import broadcast_if_small
 
-TILE_ROWS = 4096
+TILE_ROWS = 16_384
 SCAN_REQUESTS = 10_000
 SCAN_BYTES = 64 << 20
 CHUNK = 256
@@ -169,9 +169,10 @@ def _reduce(left, right, reducer, arg, metric):
     for dim in sorted(set(qs) & set(es)):
         (qids, q), (eids, e) = qs[dim], es[dim]
         if reducer == "nearest":
-            best = _Best(qids, q, arg, metric)
+            k, max_cost = arg
+            best = _Best(qids, q, k, metric)
             best.add(eids, e)
-            out.append(best.result())
+            out.append(best.result(max_cost))
             continue
         order = np.argsort(eids, kind="stable")
         eids, e = eids[order], _prepare(e[order], metric)
@@ -206,11 +207,14 @@ class _Best:
         self.entries = np.take_along_axis(entries, order, axis=1)
         self.cost = np.take_along_axis(cost, order, axis=1)
 
-    def result(self):
+    def result(self, max_cost=None):
         """(request ids, entry ids, score), flat."""
         entries, cost = self.entries[self.group], self.cost[self.group]
-        score = -cost if self.metric == "cosine" else cost
-        return np.repeat(self.ids, cost.shape[1]), entries.ravel(), score.ravel()
+        ids, entries, cost = np.repeat(self.ids, cost.shape[1]), entries.ravel(), cost.ravel()
+        if max_cost is not None:
+            good = cost <= max_cost + 1e-9
+            ids, entries, cost = ids[good], entries[good], cost[good]
+        return ids, entries, -cost if self.metric == "cosine" else cost
 
 
 # --- physical forms ---------------------------------------------------------
@@ -260,7 +264,7 @@ def _tile_join(q: DataFrame, e: DataFrame, by: list, reducer: str, arg, metric:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
-def _scan_join(batch: pa.Table, q: DataFrame, e: DataFrame, by: list, k: int,
+def _scan_join(batch: pa.Table, q: DataFrame, e: DataFrame, by: list, k: int, max_cost,
                metric: str) -> DataFrame:
     """Nearest only: ``batch`` is broadcast, entries stay where they are."""
     shared = e.sparkSession.sparkContext.broadcast(batch)
@@ -296,7 +300,7 @@ def _scan_join(batch: pa.Table, q: DataFrame, e: DataFrame, by: list, k: int,
                                 best[key][dim].add(ids, m)
         for key, dims in best.items():
             for found in dims.values():
-                qids, eids, score = found.result()
+                qids, eids, score = found.result(max_cost)
                 cols = [pa.array([v] * len(qids), t) for v, t in zip(key, types)]
                 yield pa.RecordBatch.from_arrays(
                     [*cols, pa.array(qids, types[-3]), pa.array(eids, types[-2]),
@@ -320,13 +324,15 @@ def small_batch(requests: DataFrame, by=("model",), request_id: str = "request_i
 def knn(requests: DataFrame, entries: DataFrame, k: int = 1, metric: str = "l2",
         by=("model",), request_id: str = "request_id", entry_id: str = "id",
         vector: str = "embedding", method: str = "auto", tile_rows: int = TILE_ROWS,
-        batch=None) -> DataFrame:
+        batch=None, max_cost: float = None) -> DataFrame:
     """Exact ``k`` nearest entries of each request inside its group.
 
     Returns ``by..., request_id, entry_id, score, position``; score is the
     squared distance or the cosine; ties go to the smaller entry id. ``method``
     is ``scan``, ``tiles`` or ``auto`` (scan only for a request batch counted
     and found small; ``batch`` is that batch when the caller has it).
+    With ``max_cost`` (squared distance, or the negative cosine) tasks return no
+    candidate worse than it, up to rounding; filter the result again.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -340,9 +346,9 @@ def knn(requests: DataFrame, entries: DataFrame, k: int = 1, metric: str = "l2",
     if method == "scan" and batch is None:
         raise ValueError("request batch too large to broadcast")
     if batch is not None:
-        found = _scan_join(batch, q, e, by, k, metric)
+        found = _scan_join(batch, q, e, by, k, max_cost, metric)
     else:
-        found = _tile_join(q, e, by, "nearest", k, metric, tile_rows)
+        found = _tile_join(q, e, by, "nearest", (k, max_cost), metric, tile_rows)
     cost = -F.col("score") if metric == "cosine" else F.col("score")
     if k == 1:
         best = (found.groupBy(*by, "_q")

@@ -38,8 +38,9 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k
                  **search) -> DataFrame:
     """Answer (request_id, model, key, embedding) rows from the live entries.
 
-    Only ids and vectors take part in the search; question and answer are
-    fetched for the requests that pass the gate. A small request batch is
+    Only ids and vectors take part in the search, and tasks return only
+    candidates that can pass the gate; question and answer are fetched for those
+    that do. A small request batch is
     broadcast throughout and entries are never shuffled. For a large one the
     gated candidates are written out, so the search runs once, and their count
     decides how entries are fetched.
@@ -49,7 +50,7 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k
     if batch is None and method == "scan":
         raise ValueError("request batch too large to broadcast")
     near = knn(requests, live, k, gate.metric, by, batch=batch,
-               method="tiles" if batch is None else "scan", **search)
+               method="tiles" if batch is None else "scan", max_cost=gate.max_cost(), **search)
     gated = score_gate(near.select(*by, "request_id", "id", "score"), gate, by=by).drop(*by)
     keys = requests.select("request_id", "key")
     if batch is not None and batch.num_rows * k <= BROADCAST_ROWS:

@@ -1,5 +1,6 @@
 """A whole request batch: check, route, answer, and the tables after it."""
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,12 +20,21 @@ from answerlake.sources.requests import explode_chat_info
 
 @dataclass(frozen=True)
 class Outcome:
-    """Responses of a batch, its log rows, and the tables after it."""
+    """Responses of a batch, its log rows, the tables after it, and the wall
+    times (seconds) of its embedding and search steps."""
 
     responses: DataFrame
     log: DataFrame
     entries: DataFrame
     collections: DataFrame
+    times: dict
+
+
+def op_times(spark, times: dict, at: Column) -> DataFrame:
+    """The wall times of a batch as rows (ts, op, seconds), one per step."""
+    rows = spark.createDataFrame([(op, float(s)) for op, s in times.items()],
+                                 "op string, seconds double")
+    return rows.select(at.alias("ts"), "op", "seconds")
 
 
 RESPONSE = ["request_id", "error_code", "error_desc", "cache_hit", "hit_id", "rank", "hit_query",
@@ -73,8 +83,11 @@ def handle_requests(requests: DataFrame, entries: DataFrame, collections: DataFr
     asked = embed(keyed.where(F.col("key").isNotNull()).select("request_id", "model", "key"))
     if normalize:
         asked = asked.withColumn("embedding", l2_normalize(F.col("embedding")))
+    start = time.perf_counter()
     asked = cut_lineage(asked, "queries")
+    embedded = time.perf_counter()
     found = cut_lineage(cache_lookup(asked, entries, gate, **search), "responses")
+    times = {"embedding": embedded - start, "search": time.perf_counter() - embedded}
     answered = found.withColumn("status", F.lit(""))
 
     pairs = explode_chat_info(routed["insert"].select("request_id", "model", "chat_info"))
@@ -111,7 +124,10 @@ def handle_requests(requests: DataFrame, entries: DataFrame, collections: DataFr
                   routed["rejected"].select("request_id", "model"), "request_id")
                   .withColumn("query", F.lit(""))))
     log = logged.select("request_id", at.alias("ts"), "error_code", "error_desc", "cache_hit",
-                        "model", "query", "hit_query", "answer", F.lit(0.0).alias("delta_time"))
+                        "model", "query", "hit_query", "answer",
+                        # every request of a batch waits for the whole batch
+                        F.when(F.col("error_code") == S.BAD_TYPE, 0.0)
+                        .otherwise(round(sum(times.values()), 2)).alias("delta_time"))
 
     after = _delete(M.apply_hit_counts(entries, found, at), routed["remove"])
-    return Outcome(responses, log, after.unionByName(fresh.select(*after.columns)), known)
+    return Outcome(responses, log, after.unionByName(fresh.select(*after.columns)), known, times)

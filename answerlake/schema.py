@@ -25,7 +25,7 @@ REQUEST = T.StructType([
     T.StructField("_corrupt_record", T.StringType()),
 ])
 
-MM_REQUEST = T.StructType([
+MM_QUERY = T.StructType([
     T.StructField("text", T.ArrayType(T.StringType())),
     T.StructField("imageRaw", T.StringType()),
     T.StructField("imageUrl", T.StringType()),
@@ -33,6 +33,23 @@ MM_REQUEST = T.StructType([
     T.StructField("multiType", T.StringType()),
 ])
 
+MM_CHAT = T.StructType([
+    T.StructField("query", MM_QUERY),
+    T.StructField("answer", T.StringType()),
+])
+
+MM_REQUEST = T.StructType([
+    T.StructField("UUID", T.StringType()),
+    T.StructField("request_type", T.StringType()),
+    T.StructField("type", T.StringType()),
+    T.StructField("scope", SCOPE),
+    T.StructField("query", MM_QUERY),
+    T.StructField("chat_info", T.ArrayType(MM_CHAT)),
+    T.StructField("remove_type", T.StringType()),
+    T.StructField("id_list", T.ArrayType(T.StringType())),
+    T.StructField("_corrupt_record", T.StringType()),
+])
+
 ENTRY = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("model", T.StringType()),
@@ -63,7 +80,8 @@ QUERY_LOG = T.StructType([
 ])
 
 # Fixed values of the protocol: verbs, removal kinds, blocked tenants, answer
-# types, key delimiters, length limits, image/text kinds, response codes.
+# types, key delimiters, length limits, image/text kinds, collection names,
+# response codes, purge limits, sketch size and decay.
 VERBS = ("query", "insert", "remove", "register")
 REMOVE_TYPES = ("delete_by_id", "truncate_by_model")
 BLACKLIST = ("DI_COPILOT_SECOND", "DI_COPILOT_LAB", "DI_COPILOT_THIRD")
@@ -73,6 +91,7 @@ SHORT_TEXT, SHORT_MM_TEXT = 256, 50
 TOKEN_WINDOW = 510
 MM_TYPES = {"IMG_TEXT": "mm", "mm": "mm", "IMG": "image", "image": "image",
             "TEXT": "text", "text": "text"}
+MM_COLLECTION = "multi_cache_"
 OK, BAD_TYPE, BAD_PARAMS, QUERY_BLOCKED, INSERT_BLOCKED = 0, 102, 103, 105, 305
 QUERY_FAILED, QUERY_ERROR = 201, 202
 INSERT_FAILED, INSERT_REJECTED, INSERT_ERROR = 301, 302, 303

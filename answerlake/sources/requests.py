@@ -20,6 +20,27 @@ def parse_requests(lines: DataFrame, value: str = "value") -> DataFrame:
         F.when(broken, S.BAD_REQUEST).otherwise(S.OK).alias("error_code"))
 
 
+def parse_mm_requests(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Multimodal request lines to typed columns; broken lines carry error 301.
+
+    ``kind`` is the kind named by a register request; ``part`` is the query of a
+    query request or of the last pair of an insert request.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = lines.withColumn("_r", F.from_json(value, S.MM_REQUEST, options))
+    broken = F.col("_r").isNull() | F.col("_r._corrupt_record").isNotNull()
+    last = F.try_element_at(F.col("_r.chat_info"), F.lit(-1))
+    keep = [c for c in lines.columns if c != value]
+    return parsed.select(
+        *keep, F.col("_r.UUID").alias("request_id"), F.col("_r.request_type").alias("type"),
+        F.col("_r.scope.model").alias("raw_model"), F.col("_r.type").alias("kind"),
+        F.when(F.col("_r.request_type") == "insert", last["query"])
+        .otherwise(F.col("_r.query")).alias("part"),
+        last["answer"].alias("answer"), F.col("_r.remove_type").alias("remove_type"),
+        F.col("_r.id_list").alias("id_list"),
+        F.when(broken, S.INSERT_FAILED).otherwise(S.OK).alias("error_code"))
+
+
 def read_requests(spark, path: str) -> DataFrame:
     """Request lines from text files, parsed with the declared schema."""
     return parse_requests(spark.read.text(path))

@@ -157,20 +157,22 @@ _TOK = lambda c: f"list_distinct(list_filter(regexp_split_to_array(lower({c}), '
 @query("rerank", f"""WITH {t.PAIRS},
 cand AS (SELECT 'r' || p.conv_id || ':' || p.turn AS request_id, p.question AS key,
     u.conv_id || ':' || u.turn AS id, u.text AS question
-  FROM pairs p JOIN conversations u ON u.conv_id = p.conv_id AND u.role = 'user'),
+  FROM pairs p JOIN conversations u ON u.conv_id = p.conv_id AND u.turn IN (p.turn - 1, p.turn + 1)),
 tok AS (SELECT *, {_TOK('key')} AS a, {_TOK('question')} AS b FROM cand),
 scored AS (SELECT request_id, id, key, len(list_intersect(a, b)) /
     (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE AS rank FROM tok)
 SELECT request_id, id, round(rank, 6) AS rank FROM scored
 WHERE rank >= CASE WHEN length(key) <= 256 THEN 0.04 ELSE 0.2 END""")
 def rerank(spark, sf):
-    """Messages of the same conversation, re-scored by token overlap."""
+    """The messages before and after a question, re-scored by token overlap."""
     gate = R.Gate(threshold=0.01, threshold_long=0.05)
-    users = t.read(spark, sf, "conversations").where(F.col("role") == "user")
-    p = t.pairs(spark, sf).select("conv_id", F.concat(F.lit("r"), F.concat_ws(":", "conv_id", "turn"))
-                                  .alias("request_id"), F.col("question").alias("key"))
-    cand = p.join(users.select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("id"),
-                               F.col("text").alias("question")), "conv_id")
+    turns = t.read(spark, sf, "conversations")
+    asked = t.pairs(spark, sf).select(
+        "conv_id", F.concat(F.lit("r"), F.concat_ws(":", "conv_id", "turn")).alias("request_id"),
+        F.col("question").alias("key"), F.explode(F.array(F.col("turn") - 1, F.col("turn") + 1))
+        .alias("turn"))
+    cand = asked.join(turns.select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("id"),
+                                   F.col("text").alias("question")), ["conv_id", "turn"])
     kept = G.rerank(cand, R.token_overlap(F.col("key"), F.col("question")), gate)
     return kept.select("request_id", "id", F.round("rank", 6).alias("rank"))
 

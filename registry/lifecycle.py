@@ -4,14 +4,15 @@ from pyspark.sql import functions as F
 
 from answerlake.operators import embed as E
 from answerlake.operators import maintain as M
+from answerlake.plans.mm_requests import answer_mm, mm_entries
 from answerlake.plans.requests import handle_requests
 from answerlake.runtime import cut_lineage
-from answerlake.sources.requests import parse_requests
+from answerlake.sources.requests import parse_mm_requests, parse_requests
 from registry import query
 from registry import tables as t
 from registry.embedding import DIM, sql_tokens, unit
 from registry.maintenance import at
-from registry.shaping import _CODES
+from registry.shaping import _CODES, MM, mm_requests
 from registry.sources import request_lines
 
 
@@ -92,3 +93,77 @@ SELECT DISTINCT model FROM stored WHERE model <> 'images_test'
 UNION SELECT model FROM lines WHERE type IN ('register', 'insert') AND error_code = 0""")
 def collections_after(spark, sf):
     return _outcome(spark, sf).collections.select("model")
+
+
+# --- multimodal: every benchmark text is inserted and asked for ---
+
+def _mm_lines(spark, sf, verb):
+    """JSON lines of one verb; every ninth is broken."""
+    r = mm_requests(spark, sf)
+    part = F.struct("text", "imageRaw", "imageUrl", F.concat(F.lit("img"), "item_id").alias("imageId"),
+                    "multiType")
+    body = {"query": part.alias("query"),
+            "insert": F.array(F.struct(part.alias("query"), F.concat(F.lit("a"), "item_id").alias("answer")))
+            .alias("chat_info")}[verb]
+    line = F.to_json(F.struct(F.col("item_id").cast("string").alias("UUID"),
+                              F.lit(verb).alias("request_type"),
+                              F.struct("model").alias("scope"), body))
+    return r.select(F.when(F.col("item_id") % 9 == 4, F.concat(F.lit("["), line)).otherwise(line).alias("value"))
+
+
+def _mm_parsed(spark, sf, verb):
+    good = parse_mm_requests(_mm_lines(spark, sf, verb)).where("error_code = 0")
+    return good.withColumn("model", t.normalize_model(F.col("raw_model")))
+
+
+def _mm_embed(rows):
+    """Hash vectors of the image and of the key; an empty key has none."""
+    return (rows.withColumn("image_vec", F.when(F.col("image").isNotNull(), unit(F.col("image"))))
+            .withColumn("text_vec", F.when(F.col("key") != "", unit(F.col("key")))))
+
+
+_MM = f"""WITH {MM},
+good AS (SELECT *, CASE WHEN url THEN 'http://img/' || item_id WHEN raw THEN 'raw' || item_id END AS image
+  FROM mm_requests WHERE item_id % 9 <> 4),
+inserts AS (SELECT item_id, model, key, image, image AS used, CASE WHEN url THEN 'http://img/' || item_id ELSE '' END AS image_url,
+    url AND raw OR (NOT url AND NOT raw AND key = '') AS bad FROM good),
+asks AS (SELECT item_id, model, key, CASE WHEN kind = 'IMG_TEXT' THEN image END AS used, kind,
+    (kind = 'IMG_TEXT' AND (url = raw)) OR kind = 'OTHER' OR (kind = 'TEXT' AND key = '') AS bad FROM good),
+dim AS (SELECT d::INTEGER AS d FROM range(0, {DIM}) r(d)),
+texts AS (SELECT DISTINCT key AS x FROM good UNION SELECT DISTINCT image FROM good),
+vec AS (SELECT x, list(('0x' || substr(md5(x || ':' || d), 1, 4))::INTEGER / 65535.0::DOUBLE * 2 - 1 ORDER BY d) AS v
+  FROM texts, dim WHERE x IS NOT NULL AND x <> '' GROUP BY x),
+stored AS (SELECT i.*, CASE WHEN i.used IS NOT NULL AND key <> '' THEN 'mm' WHEN i.used IS NOT NULL THEN 'image' ELSE 'text' END AS mm_type,
+    list_concat(coalesce(a.v, []), coalesce(b.v, [])) AS v
+  FROM inserts i LEFT JOIN vec a ON i.used = a.x LEFT JOIN vec b ON i.key = b.x WHERE NOT bad),
+asked AS (SELECT i.*, CASE kind WHEN 'IMG_TEXT' THEN 'mm' ELSE 'text' END AS mm_type,
+    list_concat(coalesce(a.v, []), coalesce(b.v, [])) AS v
+  FROM asks i LEFT JOIN vec a ON i.used = a.x LEFT JOIN vec b ON i.key = b.x WHERE NOT bad),
+stored_unit AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))::FLOAT[]::DOUBLE[] AS u FROM stored),
+asked_unit AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM asked),
+best AS (SELECT q.item_id, 4 - least(min(pow(list_distance(q.u, s.u), 2)), 4) AS rank,
+    arg_min(s.image_url, list_distance(q.u, s.u)) AS image_url, arg_min(s.item_id, list_distance(q.u, s.u)) AS hit
+  FROM asked_unit q JOIN stored_unit s ON q.model = s.model AND q.mm_type = s.mm_type AND len(q.u) = len(s.u)
+  GROUP BY q.item_id)"""
+
+
+@query("mm_entries", f"""{_MM}
+SELECT model, key AS question, 'a' || item_id AS answer, mm_type, image_url, 'img' || item_id AS image_id,
+  len(v)::INTEGER AS dim FROM stored""")
+def mm_inserted(spark, sf):
+    rows, _ = mm_entries(_mm_parsed(spark, sf, "insert"), _mm_embed, at())
+    return rows.select("model", "question", "answer", "mm_type", "image_url", "image_id",
+                       F.size("embedding").alias("dim"))
+
+
+@query("answer_mm", f"""{_MM}
+SELECT a.item_id::VARCHAR AS request_id, (CASE WHEN a.bad THEN 201 ELSE 0 END)::INTEGER AS error_code,
+  coalesce(b.rank >= 3.8, false) AS cache_hit, CASE WHEN b.rank >= 3.8 THEN round(b.rank, 5) END AS rank,
+  CASE WHEN b.rank >= 3.8 THEN b.image_url ELSE '' END AS image_url,
+  CASE WHEN b.rank >= 3.8 THEN 'a' || b.hit ELSE '' END AS answer
+FROM asks a LEFT JOIN best b ON a.item_id = b.item_id""")
+def answered_mm(spark, sf):
+    rows, _ = mm_entries(_mm_parsed(spark, sf, "insert"), _mm_embed, at())
+    out = answer_mm(_mm_parsed(spark, sf, "query"), cut_lineage(rows, "mm-entries"), _mm_embed)
+    return out.select("request_id", "error_code", "cache_hit", F.round("rank", 5).alias("rank"),
+                      "image_url", "answer")
