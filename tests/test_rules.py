@@ -253,3 +253,31 @@ def test_request_batch(spark):
     assert sorted(r.request_id for r in out.log.collect()) == ["1", "2", "7"]
     assert {r.model for r in out.collections.collect()} == {"t", "m_1", "new"}
     assert S.BLACKLIST
+
+
+@pytest.mark.parametrize("method", ["scan", "tiles"])
+@pytest.mark.parametrize("short, long", [(0.9, 0.95), (0.9, 0.8), (0.0, 0.5), (0.97, 0.97)])
+def test_gates_of_several_candidates(spark, method, short, long):
+    """Five candidates a request: first the best against the short threshold, then
+    each against that of the key's length."""
+    rng = np.random.default_rng(4)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    stored = unit(rng.normal(size=(60, 3))).astype(np.float32)
+    asked = unit(rng.normal(size=(40, 3)))
+    e = spark.createDataFrame([(f"e{i:02d}", "m", f"q{i}", f"a{i}", v.tolist(), False) for i, v in enumerate(stored)],
+                              "id string, model string, question string, answer string, "
+                              "embedding array<float>, is_deleted boolean")
+    q = spark.createDataFrame([(f"r{i:02d}", "m", "k" * (300 if i % 2 else 9), v.tolist()) for i, v in enumerate(asked)],
+                              "request_id string, model string, key string, embedding array<double>")
+    want = {}
+    for i, v in enumerate(asked):
+        d2 = ((stored.astype(np.float64) - v) ** 2).sum(1)
+        near = sorted((d, f"e{j:02d}") for j, d in enumerate(d2))[:5]
+        rank = [(4 - min(d, 4), n) for d, n in near]
+        if max(r for r, _ in rank) >= 4 * short:
+            good = [n for r, n in rank if r >= 4 * (long if i % 2 else short)]
+            if good:
+                want[f"r{i:02d}"] = good
+    got = {r.request_id: r.ids for r in cache_lookup(
+        q, e, Gate(threshold=short, threshold_long=long), k=5, pick="all", method=method).collect()}
+    assert got == want
