@@ -13,7 +13,7 @@ from answerlake.functions.text import tokens
 from answerlake.functions.vectors import as_double
 from answerlake.runtime import broadcast_if_small, few_rows, salted_join
 
-VECTOR_BYTES = 64 << 20
+VECTOR_ROWS, VECTOR_BYTES = 2_000_000, 64 << 20
 
 
 def embed_with(df: DataFrame, text_col: str, load: Callable, dim: int,
@@ -43,16 +43,15 @@ def _weighted_mean(rows: DataFrame, by: list, weight: Column, total: Column, dim
     return rows.groupBy(*by).agg(F.array(*sums).alias(out))
 
 
-def _with_vectors(words: DataFrame, by: list, token_vectors: DataFrame, dim: int,
-                  vec: str = "vec") -> DataFrame:
+def _with_vectors(words: DataFrame, by: list, token_vectors: DataFrame) -> DataFrame:
     """Rows (by..., n, vec) for the tokens of a text.
 
-    A token table counted to fit the byte bound is broadcast: a text's tokens
+    A token table measured to fit the byte bound is broadcast: a text's tokens
     stay in one task and their sums need one small shuffle. A larger one is
     joined by shuffle, each token once per group and salted, since one frequent
     token may stand in every text.
     """
-    if few_rows(token_vectors, VECTOR_BYTES // (8 * dim + 64)):
+    if few_rows(token_vectors, VECTOR_ROWS, VECTOR_BYTES):
         return words.withColumn("n", F.lit(1)).join(F.broadcast(token_vectors), "token")
     counts = words.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("n"))
     return salted_join(counts, token_vectors, ["token"], "inner", spread=by)
@@ -62,7 +61,7 @@ def embed_token_mean(docs: DataFrame, id_col: str, text_col: str, token_vectors:
                      dim: int, out: str = "embedding") -> DataFrame:
     """Mean of the vectors of a text's tokens (token_vectors: token, vec)."""
     words = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
-    rows = _with_vectors(words, [id_col], token_vectors, dim)
+    rows = _with_vectors(words, [id_col], token_vectors)
     return _weighted_mean(rows, [id_col], F.col("n"), F.sum("n"), dim, out)
 
 
@@ -80,7 +79,7 @@ def embed_long_windowed(docs: DataFrame, id_col: str, text_col: str, token_vecto
     window means. Texts of one window are simply averaged."""
     placed = docs.select(id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "token"))
     words = placed.select(id_col, F.expr(f"pos div {window}").alias("window"), "token")
-    rows = _with_vectors(words, [id_col, "window"], token_vectors, dim)
+    rows = _with_vectors(words, [id_col, "window"], token_vectors)
     windows = _weighted_mean(rows, [id_col, "window"], F.col("n"), F.sum("n"), dim, "vec")
     return _weighted_mean(windows, [id_col], F.lit(1), F.count(F.lit(1)), dim, out)
 

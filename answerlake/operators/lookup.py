@@ -21,12 +21,13 @@ def exact_lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
     shuffle. One key may make up much of the requests.
     """
     on = ["model", "key"]
-    wanted = requests.select(*on).distinct()
-    stored = keep_wanted(entries.select("model", F.col("question").alias("key"), "id", "answer"),
-                         wanted, on)
-    hits = (stored.groupBy(*on).agg(F.min(F.struct("id", "answer")).alias("e"))
-            .select(*on, F.col("e.id").alias("hit_id"), F.col("e.answer").alias("answer")))
-    return hot_join(requests, hits, on, "left", spread=["request_id"])
+    stored = entries.select("model", F.col("question").alias("key"), "id", "answer")
+
+    def smallest_id(rows):
+        return (rows.groupBy(*on).agg(F.min(F.struct("id", "answer")).alias("e"))
+                .select(*on, F.col("e.id").alias("hit_id"), F.col("e.answer").alias("answer")))
+
+    return hot_join(requests, stored, on, "left", spread=["request_id"], reduce=smallest_id)
 
 
 def keep_wanted(rows: DataFrame, wanted: DataFrame, on: list) -> DataFrame:

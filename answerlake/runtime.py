@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 64
 
 
@@ -33,13 +35,34 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def few_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a frame was counted to have at most ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _row_bytes(df: DataFrame):
+    """Approximate bytes of a row: texts by length, number arrays by elements."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = F.octet_length(c)
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
+            size = F.size(c) * 8
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            size = F.octet_length(F.to_json(F.struct(c)))
+        else:
+            size = F.lit(0)
+        total = total + F.coalesce(size, F.lit(0)) + 8
+    return total
+
+
+def few_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = None) -> bool:
+    """Whether a frame was measured to have at most ``max_rows`` rows and
+    ``max_bytes`` bytes."""
+    max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
+    rows, size = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df).cast("long")), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the rows fit the bound.
+    """Hint a broadcast only after measuring that the rows fit the bound.
 
     Above the bound the frame is returned as it is, so the join shuffles and
     adaptive execution splits skewed partitions.
@@ -62,18 +85,21 @@ def salted_join(left: DataFrame, right: DataFrame, on: list, how: str = "inner",
 
 
 def hot_join(left: DataFrame, right: DataFrame, on: list, how: str = "inner",
-             spread: list = None) -> DataFrame:
-    """Join to a table with at most one row per key, from rows that may repeat a
-    key often.
+             spread: list = None, reduce=lambda rows: rows) -> DataFrame:
+    """Join to a table that, after ``reduce``, has at most one row per key, from
+    rows that may repeat a key often.
 
-    Few different keys: they are broadcast to cut the table, and what is left,
-    as few, is broadcast to the rows; nothing is shuffled. Many: salted join.
+    Few different keys: they are broadcast to cut the table, and what is found
+    is written once and, if measured small too, broadcast to the rows, so
+    nothing is shuffled. Otherwise the join is salted.
     """
     wanted = left.select(*on).distinct()
     if few_rows(wanted):
-        found = right.join(F.broadcast(wanted), on, "left_semi")
-        return left.join(F.broadcast(found), on, how)
-    return salted_join(left, right.join(wanted, on, "left_semi"), on, how, spread)
+        found = cut_lineage(reduce(right.join(F.broadcast(wanted), on, "left_semi")), "found")
+        if few_rows(found):
+            return left.join(F.broadcast(found), on, how)
+        return salted_join(left, found, on, how, spread)
+    return salted_join(left, reduce(right).join(wanted, on, "left_semi"), on, how, spread)
 
 
 def top_n(df: DataFrame, by: list, order: list, n, spread: list,
