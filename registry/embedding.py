@@ -29,10 +29,21 @@ def unit(text):
         F.concat(text, F.lit(":"), d)), 1, 4), 16, 10).cast("double") / 65535.0 * 2 - 1)
 
 
-def token_vectors(docs):
-    """The token table, written once as a stored table would be."""
-    words = docs.select(F.explode(tokens(F.col("text"))).alias("token")).distinct()
-    return cut_lineage(words.withColumn("vec", unit(F.col("token"))), "token-vectors")
+_TOKEN_TABLES = {}
+
+
+def token_vectors(docs, name=None):
+    """The token table of a corpus. A named one is built once a session and
+    reused, as the stored table of an embedding model would be."""
+    spark = docs.sparkSession
+    key = (spark.sparkContext.applicationId, name)
+    if name is None or key not in _TOKEN_TABLES:
+        words = docs.select(F.explode(tokens(F.col("text"))).alias("token")).distinct()
+        table = cut_lineage(words.withColumn("vec", unit(F.col("token"))), "token-vectors")
+        if name is None:
+            return table
+        _TOKEN_TABLES[key] = table
+    return _TOKEN_TABLES[key]
 
 
 def sql_tokens(source, key):
@@ -62,7 +73,7 @@ SELECT w.doc_id, d.pos, round(avg(d.x), 6) AS x FROM words w JOIN dims d USING (
        .replace("w JOIN dims d USING (token)", "w JOIN dims d ON w.token = d.token"))
 def embed_token_mean(spark, sf):
     docs = t.read(spark, sf, "documents")
-    return _rows(E.embed_token_mean(docs, "doc_id", "text", token_vectors(docs), DIM), "doc_id")
+    return _rows(E.embed_token_mean(docs, "doc_id", "text", token_vectors(docs, f"{sf}/documents"), DIM), "doc_id")
 
 
 @query("embed_masked_mean", f"""WITH {sql_tokens('conversations', 'conv_id')},
@@ -83,7 +94,7 @@ windows AS (SELECT w.doc_id, w.pos // 510 AS win, d.pos, avg(d.x) AS x
 SELECT doc_id, pos, round(avg(x), 6) AS x FROM windows GROUP BY ALL""")
 def embed_long_windowed(spark, sf):
     docs = t.read(spark, sf, "documents")
-    return _rows(E.embed_long_windowed(docs, "doc_id", "text", token_vectors(docs), DIM), "doc_id")
+    return _rows(E.embed_long_windowed(docs, "doc_id", "text", token_vectors(docs, f"{sf}/documents"), DIM), "doc_id")
 
 
 @query("embed_identity", "SELECT conv_id, turn, text AS embedding FROM conversations")
