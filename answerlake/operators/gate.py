@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlake.functions.ranking import Gate
-from answerlake.functions.text import length_class
 
 
 def score_gate(candidates: DataFrame, gate: Gate, request_id: str = "request_id",
@@ -21,11 +20,14 @@ def score_gate(candidates: DataFrame, gate: Gate, request_id: str = "request_id"
             .where(F.col("_best") >= short).drop("_best"))
 
 
-def length_gate(candidates: DataFrame, gate: Gate, key: str = "key") -> DataFrame:
-    """Candidates whose own rank reaches the threshold of the request's length class."""
+def length_gate(candidates: DataFrame, gate: Gate, key: str = "key",
+                length: str = None) -> DataFrame:
+    """Candidates whose own rank reaches the threshold of the request's length
+    class; ``length`` names a column that already holds the key's length."""
     short, long = gate.cuts()
-    cut = F.when(length_class(F.col(key), gate.short_text) == "short", short).otherwise(long)
-    return candidates.where(F.col("rank") >= cut)
+    size = F.col(length) if length else F.char_length(F.col(key))
+    return candidates.where(
+        F.col("rank") >= F.when(size <= gate.short_text, short).otherwise(long))
 
 
 def rerank(candidates: DataFrame, scorer: Column, gate: Gate, key: str = "key") -> DataFrame:

@@ -39,8 +39,8 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k
     """Answer (request_id, model, key, embedding) rows from the live entries.
 
     Only ids and vectors take part in the search, and tasks return only
-    candidates that can pass the gate; question and answer are fetched for those
-    that do. A small request batch is
+    candidates that can pass the gate; question and answer are fetched for the
+    candidates picked. A small request batch is
     broadcast throughout and entries are never shuffled. For a large one the
     gated candidates are written out, so the search runs once, and their count
     decides how entries are fetched.
@@ -52,18 +52,22 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k
     near = knn(requests, live, k, gate.metric, by, batch=batch,
                method="tiles" if batch is None else "scan", max_cost=gate.max_cost(), **search)
     gated = score_gate(near.select(*by, "request_id", "id", "score"), gate, by=by).drop(*by)
-    keys = requests.select("request_id", "key")
-    if batch is not None and batch.num_rows * k <= BROADCAST_ROWS:
-        bounded = True
-    else:
-        gated = cut_lineage(gated, "candidates")
-        bounded = few_rows(gated)
-    fetched = scalar_fetch(gated, entries, columns=("question", "answer", *extra), bounded=bounded)
-    kept = length_gate(fetched.join(keys, "request_id"), gate)
+    lengths = requests.select("request_id", F.char_length("key").alias("_length"))
+    bounded = batch is not None and batch.num_rows * k <= BROADCAST_ROWS
+    # ids and scores of a bounded batch; entry text is never broadcast
+    gated = lengths.join(F.broadcast(gated) if bounded else gated, "request_id")
+    kept = length_gate(gated, gate, length="_length").drop("_length")
+    if pick == "random":
+        kept = pick_random(kept, seed)
+    elif pick != "all" and k > 1:
+        kept = pick_first(kept)
+    if not bounded:
+        kept = cut_lineage(kept, "candidates")
+        bounded = few_rows(kept)
+    fetched = scalar_fetch(kept, entries, columns=("question", "answer", *extra), bounded=bounded)
     if pick == "all":
-        return pick_all(kept)
-    chosen = pick_random(kept, seed) if pick == "random" else pick_first(kept)
-    return build_response(requests, chosen, extra)
+        return pick_all(fetched)
+    return build_response(requests, fetched, extra)
 
 
 def cache_lookup_cosine(requests: DataFrame, entries: DataFrame, gate: Gate = COSINE,
