@@ -42,3 +42,21 @@ def pairs_from_conversations(turns: DataFrame, conv: str = "conv_id") -> DataFra
     return asked.join(answers, [conv, "turn"]).select(
         conv, "turn", F.concat("role", F.lit(": "), "text").alias("key"),
         F.col("text").alias("question"), "answer")
+
+
+def dialog_pairs(turns: DataFrame, history: int, conv: str = "conv_id") -> DataFrame:
+    """User turns followed by an assistant turn, as (query, answer), where
+    ``query`` also holds up to ``history`` earlier messages of the dialogue.
+
+    Every message is sent to the turns it belongs to, so a group holds at most
+    ``history + 1`` messages and long conversations stay spread.
+    """
+    targets = turns.select(
+        conv, F.explode(F.sequence(F.col("turn"), F.col("turn") + history)).alias("target"),
+        F.struct("turn", "role", F.col("text").alias("content")).alias("message"))
+    pairs = pairs_from_conversations(turns, conv).select(conv, F.col("turn").alias("target"), "answer")
+    return (targets.join(pairs, [conv, "target"])
+            .groupBy(conv, F.col("target").alias("turn"))
+            .agg(F.array_sort(F.collect_list("message")).alias("m"), F.first("answer").alias("answer"))
+            .select(conv, "turn", F.transform("m", lambda x: F.struct(
+                x["role"].alias("role"), x["content"].alias("content"))).alias("query"), "answer"))

@@ -38,7 +38,7 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, radius=None) -> DataFrame:
             table = pa.Table.from_batches([batch])
             cells = [[0]] * table.num_rows
             for rows, m in _by_dim(pa.array(np.arange(table.num_rows)), table["_v"]).values():
-                if m.shape[1] != p.shape[1]:
+                if not len(p) or m.shape[1] != p.shape[1]:
                     continue
                 d = np.sqrt(np.maximum((m * m).sum(1)[:, None] + pp - 2 * (m @ p.T), 0))
                 near = d.min(axis=1, keepdims=True)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerlake import schema as S
 
@@ -25,7 +26,7 @@ def write_entries(entries: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 def read_log(spark: SparkSession, path: str, since=None) -> DataFrame:
     """Query log; ``since`` (a date) prunes the daily folders."""
-    fields = S.QUERY_LOG.add("day", "date") if "day" not in S.QUERY_LOG.names else S.QUERY_LOG
+    fields = T.StructType([*S.QUERY_LOG.fields, T.StructField("day", T.DateType())])
     log = spark.read.schema(fields).parquet(path)
     return log if since is None else log.where(F.col("day") >= F.lit(since).cast("date"))
 

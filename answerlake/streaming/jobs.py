@@ -13,18 +13,21 @@ from answerlake.operators.maintain import fresh_entries
 from answerlake.plans.cache_lookup import cache_lookup
 
 
-def _start(writer, checkpoint: str) -> StreamingQuery:
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _start(writer, checkpoint: str, trigger: dict = None) -> StreamingQuery:
+    """Use up the input and stop, or run under the given trigger."""
+    trigger = trigger or {"availableNow": True}
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _each_batch(stream: DataFrame, run, path: str, checkpoint: str, mode: str = "append"):
+def _each_batch(stream: DataFrame, run, path: str, checkpoint: str, trigger: dict = None,
+                mode: str = "append"):
     def write(batch: DataFrame, batch_id: int):
         run(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    return _start(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint)
+    return _start(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint, trigger)
 
 
 def stream_lookup(requests: DataFrame, entries, path: str, checkpoint: str,
-                  **options) -> StreamingQuery:
+                  trigger: dict = None, **options) -> StreamingQuery:
     """Answer a stream of (request_id, model, key, embedding).
 
     ``entries()`` gives the entry table; it is called for every batch, so a
@@ -32,7 +35,7 @@ def stream_lookup(requests: DataFrame, entries, path: str, checkpoint: str,
     top-k, which streams only offer inside a batch.
     """
     return _each_batch(requests, lambda batch, _: cache_lookup(batch, entries(), **options),
-                       path, checkpoint)
+                       path, checkpoint, trigger)
 
 
 def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
@@ -46,7 +49,8 @@ def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     return written.where(F.col("batch") != batch_id).select("id")
 
 
-def stream_insert(rows: DataFrame, path: str, checkpoint: str, embed, at=None) -> StreamingQuery:
+def stream_insert(rows: DataFrame, path: str, checkpoint: str, embed, at=None,
+                  trigger: dict = None) -> StreamingQuery:
     """Append the entries of a (model, question, answer) stream.
 
     ``embed(batch)`` adds the vectors. Ids are content hashes, so rows seen
@@ -54,14 +58,15 @@ def stream_insert(rows: DataFrame, path: str, checkpoint: str, embed, at=None) -
     """
     def insert(batch, batch_id):
         return fresh_entries(_earlier(batch.sparkSession, path, batch_id), embed(batch), at=at)
-    return _each_batch(rows, insert, path, checkpoint)
+    return _each_batch(rows, insert, path, checkpoint, trigger)
 
 
-def stream_log(responses: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_log(responses: DataFrame, path: str, checkpoint: str,
+               trigger: dict = None) -> StreamingQuery:
     """Append responses to the query log under daily folders."""
     rows = responses.withColumn("day", F.to_date("ts"))
     return _start(rows.writeStream.format("parquet").outputMode("append")
-                  .partitionBy("day").option("path", path), checkpoint)
+                  .partitionBy("day").option("path", path), checkpoint, trigger)
 
 
 def _timed(rows: DataFrame, delay: str) -> DataFrame:
@@ -103,17 +108,19 @@ def session_windows(turns: DataFrame, user: str = "user_id", gap: str = "30 minu
                     _local("w.end").alias("session_end"), "turns"))
 
 
-def append_windows(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def append_windows(windows: DataFrame, path: str, checkpoint: str,
+                   trigger: dict = None) -> StreamingQuery:
     """Write closed windows or sessions to a folder."""
     return _start(windows.writeStream.format("parquet").outputMode("append")
-                  .option("path", path), checkpoint)
+                  .option("path", path), checkpoint, trigger)
 
 
-def stream_hit_counts(responses: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_hit_counts(responses: DataFrame, path: str, checkpoint: str,
+                      trigger: dict = None) -> StreamingQuery:
     """Running hits per entry: each batch writes the counters it changed."""
     counts = (responses.where("cache_hit").groupBy(F.col("hit_id").alias("id"))
               .agg(F.count(F.lit(1)).alias("hit_count")))
-    return _each_batch(counts, lambda batch, _: batch, path, checkpoint, mode="update")
+    return _each_batch(counts, lambda batch, _: batch, path, checkpoint, trigger, "update")
 
 
 def current_hit_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -129,6 +136,6 @@ def dedup_requests(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def stream_dedup_requests(requests: DataFrame, path: str, checkpoint: str,
-                          delay: str = "1 hour") -> StreamingQuery:
+                          delay: str = "1 hour", trigger: dict = None) -> StreamingQuery:
     return _start(dedup_requests(requests, delay).writeStream.format("parquet")
-                  .outputMode("append").option("path", path), checkpoint)
+                  .outputMode("append").option("path", path), checkpoint, trigger)

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from answerlake.operators.lookup import latest_per_key  # noqa: F401
+from answerlake.functions.text import multi_splicing
+from answerlake.operators.conversations import dialog_pairs
 from answerlake.runtime import number_rows, shared_dir
 from answerlake.sources import objects as O
 from answerlake.sources import requests as Q
@@ -99,6 +100,15 @@ def pairs_from_conversations(spark, sf):
     return t.pairs(spark, sf)
 
 
+@query("pairs_with_history", f"""WITH {t.PAIRS}
+SELECT p.conv_id, p.turn, string_agg(c.role || '###' || c.text, '|||' ORDER BY c.turn) AS key, any_value(p.answer) AS answer
+FROM pairs p JOIN conversations c ON p.conv_id = c.conv_id AND c.turn BETWEEN p.turn - 2 AND p.turn
+GROUP BY p.conv_id, p.turn""")
+def pairs_with_history(spark, sf):
+    pairs = dialog_pairs(t.read(spark, sf, "conversations"), 2)
+    return pairs.select("conv_id", "turn", multi_splicing(F.col("query")).alias("key"), "answer")
+
+
 @query("decode_vectors", """SELECT vec_id, unnest(embedding) AS value,
   (generate_subscripts(embedding, 1) - 1)::INTEGER AS pos FROM embeddings""")
 def decode_vectors(spark, sf):
