@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from answerlake.functions.vectors import as_double
 from answerlake.runtime import broadcast_if_small, few_rows, salted_join
 
 VECTOR_ROWS, VECTOR_BYTES = 2_000_000, 64 << 20
+WIDE = 64  # dimensions from which sums are made in Arrow batches first
 
 
 def embed_with(df: DataFrame, text_col: str, load: Callable, dim: int,
@@ -43,6 +45,44 @@ def _weighted_mean(rows: DataFrame, by: list, weight: Column, total: Column, dim
     return rows.groupBy(*by).agg(F.array(*sums).alias(out))
 
 
+def _batch_sums(rows: DataFrame, by: list, vec: str) -> DataFrame:
+    """Rows (by..., n, vec) with ``vec`` already weighted by ``n`` and summed per
+    group inside each Arrow batch; for wide vectors, before the SQL aggregate."""
+    rows = rows.select(*by, F.col("n").cast("double").alias("n"),
+                       F.col(vec).cast("array<double>").alias(vec))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            group = table.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup()
+            order = np.argsort(group.to_numpy(), kind="stable")
+            first = np.flatnonzero(np.diff(group.to_numpy()[order], prepend=-1))
+            n = table["n"].to_numpy()[order]
+            flat = table[vec].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            m = flat.reshape(table.num_rows, -1)[order] * n[:, None]
+            sums = np.add.reduceat(m, first, axis=0)
+            offsets = np.arange(len(first) + 1, dtype=np.int32) * sums.shape[1]
+            out = table.select(by).take(order[first])
+            out = out.append_column("n", pa.array(np.add.reduceat(n, first)))
+            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))
+            yield from out.append_column(vec, vectors).to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _token_mean(rows: DataFrame, by: list, dim: int, out: str) -> DataFrame:
+    """Mean of (by..., n, vec) rows, weighted by n."""
+    if dim > WIDE:
+        # one sum per (group, dimension): hundreds of aggregates at once are slow
+        cells = _batch_sums(rows, by, "vec").select(*by, "n", F.posexplode("vec").alias("pos", "x"))
+        means = cells.groupBy(*by, "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
+        return (means.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias(out))
+                .withColumn(out, F.col(f"{out}.x")))
+    return _weighted_mean(rows, by, F.col("n"), F.sum("n"), dim, out)
+
+
 def _with_vectors(words: DataFrame, by: list, token_vectors: DataFrame) -> DataFrame:
     """Rows (by..., n, vec) for the tokens of a text.
 
@@ -62,7 +102,7 @@ def embed_token_mean(docs: DataFrame, id_col: str, text_col: str, token_vectors:
     """Mean of the vectors of a text's tokens (token_vectors: token, vec)."""
     words = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
     rows = _with_vectors(words, [id_col], token_vectors)
-    return _weighted_mean(rows, [id_col], F.col("n"), F.sum("n"), dim, out)
+    return _token_mean(rows, [id_col], dim, out)
 
 
 def embed_masked_mean(rows: DataFrame, by: str, dim: int, vec: str = "vec", mask: str = "mask",
@@ -80,7 +120,7 @@ def embed_long_windowed(docs: DataFrame, id_col: str, text_col: str, token_vecto
     placed = docs.select(id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "token"))
     words = placed.select(id_col, F.expr(f"pos div {window}").alias("window"), "token")
     rows = _with_vectors(words, [id_col, "window"], token_vectors)
-    windows = _weighted_mean(rows, [id_col, "window"], F.col("n"), F.sum("n"), dim, "vec")
+    windows = _token_mean(rows, [id_col, "window"], dim, "vec")
     return _weighted_mean(windows, [id_col], F.lit(1), F.count(F.lit(1)), dim, out)
 
 

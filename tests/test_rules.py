@@ -189,9 +189,11 @@ def test_embed_with_loads_once_per_task(spark):
         E.embed_with(df, "t", load, 3).collect()
 
 
+@pytest.mark.parametrize("wide", [64, 1])
 @pytest.mark.parametrize("limit", [1 << 30, 0])
-def test_token_mean_by_broadcast_and_by_shuffle(spark, monkeypatch, limit):
+def test_token_mean_by_broadcast_and_by_shuffle(spark, monkeypatch, limit, wide):
     monkeypatch.setattr(E, "VECTOR_BYTES", limit)
+    monkeypatch.setattr(E, "WIDE", wide)
     docs = spark.createDataFrame([(1, "the cat the"), (2, " The\ndog "), (3, "")], "id long, text string")
     vec = spark.createDataFrame([("the", [1.0, 0.0]), ("cat", [4.0, 3.0]), ("dog", [0.0, 1.0])],
                                 "token string, vec array<double>")
