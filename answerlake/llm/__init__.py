@@ -15,5 +15,5 @@ def query(name, sql=None):
 
 
 def load():
-    from answerlake.llm import decontaminate, jaccard_join, mixing, quality  # noqa: F401
+    from answerlake.llm import decontaminate, jaccard_join, mixing, quality, token_shards  # noqa: F401
     return QUERIES, ORACLES
