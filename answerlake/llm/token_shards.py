@@ -44,7 +44,7 @@ CHUNK_CACHE, BATCH = 300_000, 4096
 
 # The encoder's pattern never joins a character to white space after it, so a text is
 # the sum of these chunks: a word with the blank before it, or a run of white space.
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _chunk = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
