@@ -15,6 +15,8 @@ where the product can reach the threshold:
 3. A node is entered under the n-grams of its prefix: of n, the first n - ceil(0.9 n)
    + 1. Linked nodes share one there. The sizes of two nodes and the positions of the
    n-gram in both bound the overlap from above; below the bound a pair is discarded.
+   A pair must also pass a bound from parity bitmaps: of two sets' bitmaps no more bits
+   differ than there are n-grams in one set only.
 4. In each block (n-gram, size class) the node with the earliest position is the hub;
    every node's overlap is accumulated with the hub that it meets most often.
 5. In each block, nodes outside the first node's component are paired with all nodes of
@@ -37,10 +39,11 @@ from pyspark.sql import functions as F
 
 from answerlake.llm import query
 from answerlake.llm.common import LOWER, col, per_text, table, utf8
-from answerlake.runtime import cut_lineage
+from answerlake.runtime import broadcast_if_small, cut_lineage
 
 WIDTH, THRESHOLD = 3, 90
-FREQUENT, MAX_FREQUENT, CHUNK = 32, 500_000, 1 << 22
+FREQUENT, MAX_FREQUENT, CHUNK = 8, 500_000, 1 << 22
+MIN_BITS, MAX_BITS = 256, 1 << 16
 WORD_CACHE = 400_000
 
 
@@ -83,33 +86,39 @@ def _signed(grams: np.ndarray) -> np.ndarray:
     return grams.view(np.int64)
 
 
-def _sizes(width):
-    def fn():
-        shingle = Shingler(width)
-
-        def apply(texts):
-            sets = [shingle(t) for t in texts]
-            return {"n": pa.array([len(s) for s in sets], pa.int64()),
-                    "node": pa.array([_node(s) for s in sets], pa.binary())}
-        return apply
-    return fn
+def _parity(grams: np.ndarray) -> np.ndarray:
+    """A bitmap of about two bits an n-gram, each bit the parity of the n-grams on it."""
+    bits = min(max(MIN_BITS, 1 << int(2 * len(grams) - 1).bit_length()), MAX_BITS)
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _repeats(width):
-    """Batches (text) to the n-grams that repeat among a chunk's different sets."""
+def _first_pass(width):
+    """Batches (doc, text) to a row per document, and rows of n-grams that repeat among
+    the different sets of a chunk."""
     def work(batches):
-        shingle, seen, sets, held = Shingler(width), set(), [], 0
+        shingle, seen, sets, held, kind = Shingler(width), set(), [], 0, None
+
+        def rows(doc, n, node, parity, gram, times):
+            return pa.RecordBatch.from_arrays(
+                [doc, pa.array(n, pa.int64()), pa.array(node, pa.binary()),
+                 pa.array(parity, pa.list_(pa.int64())), pa.array(gram, pa.int64()),
+                 pa.array(times, pa.int64())], names=["doc", "n", "node", "parity", "gram", "times"])
 
         def counted():
             grams, n = np.unique(np.concatenate(sets), return_counts=True)
             often = n > 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(_signed(grams[often])), pa.array(n[often])], names=["gram", "n"])
+            none = [None] * int(often.sum())
+            return rows(pa.array(none, kind), none, none, none, _signed(grams[often]), n[often])
 
         for batch in batches:
-            for text in utf8(batch.column(0)):
+            kind, n, nodes, parity = batch.column(0).type, [], [], []
+            for text in utf8(batch.column(1)):
                 grams = shingle(text)
                 node = _node(grams)
+                n.append(len(grams))
+                nodes.append(node)
+                parity.append(_parity(grams) if node else None)
                 if node is None or node in seen:
                     continue
                 seen.add(node)
@@ -118,6 +127,8 @@ def _repeats(width):
                 if held >= CHUNK:
                     yield counted()
                     seen, sets, held = set(), [], 0
+            none = [None] * len(n)
+            yield rows(batch.column(0), n, nodes, parity, none, none)
         if sets:
             yield counted()
     return work
@@ -178,13 +189,38 @@ def _admitted(n_a, place_a, n_b, place_b, threshold):
             & ((100 + threshold) * least >= threshold * (F.col(n_a) + F.col(n_b))))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose overlap reaches the threshold."""
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
+def _near(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that the parity bitmaps admit."""
+    both = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("x")), "a")
+            .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("y")), "b"))
+    # the larger bitmap is folded once to the size of the smaller
+    half = F.least(F.size("x"), F.size("y"))
+    fold = lambda z: F.when(F.size(z) == half, F.col(z)).otherwise(F.zip_with(
+        F.slice(z, 1, half), F.slice(z, half + 1, half), lambda p, q: p.bitwiseXOR(q)))
+    odd = F.aggregate(F.zip_with(fold("x"), fold("y"), lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+                      F.lit(0), lambda n, m: n + m)
+    fits = F.greatest(F.size("x"), F.size("y")) <= 2 * half
+    # intersection >= t/(100+t) * (n_a + n_b), so at most (100-t)/(100+t) of both are in one only
+    return both.where(~fits | ((100 + threshold) * odd <= (100 - threshold) * (F.col("n_a") + F.col("n_b")))) \
+        .select("a", "b")
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str,
+            width: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose overlap reaches the threshold, counted on their whole sets."""
+    near = cut_lineage(_near(pairs, nodes, threshold), "near")
+    used = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    wanted = cut_lineage(nodes.join(used, "node").select("doc").distinct(), "wanted")
+    given = docs.select(col(key).alias("doc"), col(text).alias("text"))
+    found = per_text(given.join(broadcast_if_small(wanted), given["doc"].eqNullSafe(wanted["doc"]), "left_semi"),
+                     "text", _sets(width), "node binary, grams array<long>")
+    sets = cut_lineage(found.join(broadcast_if_small(cut_lineage(used, "used")), "node", "left_semi")
+                       .dropDuplicates(["node"]), "sets")
+    both = (near.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b"))
     overlap = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - overlap
-    return both.where(100 * overlap >= threshold * union).select("a", "b")
+    return cut_lineage(both.where(100 * overlap >= threshold * union).select("a", "b"), "links")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -211,26 +247,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _frequent(texts: DataFrame, width: int):
+def _frequent(repeats: DataFrame):
     """The most frequent n-grams as sorted hashes, and ranks that grow with their counts."""
-    rows = (texts.mapInArrow(_repeats(width), "gram long, n long").groupBy("gram")
-            .agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    rows = (repeats.groupBy("gram").agg(F.sum("times").alias("n")).where(F.col("n") >= FREQUENT)
             .orderBy(F.col("n").desc(), "gram").limit(MAX_FREQUENT).toArrow())
     grams = rows["gram"].to_numpy().view(np.uint64)
     rank = np.log2(rows["n"].to_numpy()).astype(np.int64)
     order = np.argsort(grams)
-    return texts.sparkSession.sparkContext.broadcast((grams[order], rank[order]))
+    return repeats.sparkSession.sparkContext.broadcast((grams[order], rank[order]))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                        width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: key, n_shingles, component_id."""
-    rows = cut_lineage(per_text(docs, text, _sizes(width), "n long, node binary",
-                                {"doc": col(key)}), "sizes")
-    texts = docs.select(col(text).cast("string").alias("text"))
-    # 1-3: entries of different sets, and blocks that hold more than one
-    entries = texts.mapInArrow(_prefixes(width, threshold, _frequent(texts, width)),
-                               "gram long, node binary, n long, place long")
+    given = docs.select(col(key).alias("doc"), col(text).cast("string").alias("text"))
+    seen = cut_lineage(given.mapInArrow(
+        _first_pass(width), f"doc {given.schema['doc'].dataType.simpleString()}, n long, node binary, "
+        "parity array<long>, gram long, times long"), "sizes")
+    rows = seen.where(F.col("gram").isNull()).select("doc", "n", "node")
+    # 1: equal sets are one node
+    nodes = cut_lineage(seen.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("parity").alias("parity")), "nodes")
+    # 2-3: entries, and blocks that hold more than one
+    frequent = _frequent(seen.where(F.col("gram").isNotNull()).select("gram", "times"))
+    entries = given.select("text").mapInArrow(_prefixes(width, threshold, frequent),
+                                              "gram long, node binary, n long, place long")
     entries = (entries.repartition("gram").groupBy("gram", "node")
                .agg(F.first("n").alias("n"), F.first("place").alias("place")))
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / threshold))))
@@ -241,20 +282,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .where(F.col("members") > 1).withColumn("hub", hub)
         .select("gram", "node", "n", "place", F.col("hub.node").alias("hub"),
                 F.col("hub.n").alias("hub_n"), F.col("hub.place").alias("hub_place")), "blocks")
-    wanted = (blocks.select("node").distinct()
-              .join(rows.groupBy("node").agg(F.min("doc").alias("doc")), "node").select("doc").distinct())
-    given = docs.select(col(key).alias("doc"), col(text).alias("text"))
-    sets = cut_lineage(
-        per_text(given.join(wanted, given["doc"].eqNullSafe(wanted["doc"]), "left_semi"),
-                 "text", _sets(width), "node binary, grams array<long>")
-        .where(F.col("node").isNotNull()).dropDuplicates(["node"]), "sets")
+    exact = lambda pairs: _linked(pairs, nodes, docs, key, text, width, threshold)
     # 4: each node with the hub that it meets in most blocks
     met = (blocks.where((F.col("node") != F.col("hub"))
                         & _admitted("n", "place", "hub_n", "hub_place", threshold))
            .groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
            .groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")))
-    links = cut_lineage(_linked(met.select(F.col("node").alias("a"), F.col("hub").alias("b")),
-                                sets, threshold), "links")
+    links = exact(met.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     # 5: pairs of different components that the bounds admit
     label = components(links)
     same_gram = Window.partitionBy("gram")
@@ -272,13 +306,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                          & _admitted("n", "place", "n_b", "place_b", threshold))
                   .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
                   .distinct())
-    links = links.union(cut_lineage(_linked(open_pairs, sets, threshold), "links"))
-    label = components(links)
-    nodes = (rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc").alias("doc"))
-             .join(label, "node", "left")
-             .withColumn("component", F.coalesce("component", "node")))
-    least = nodes.groupBy("component").agg(F.min("doc").alias("component_id"))
-    of = nodes.join(least, "component").select("node", "component_id")
+    label = components(links.union(exact(open_pairs)))
+    named = nodes.select("node", "doc").join(label, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    of = named.join(least, "component").select("node", "component_id")
     return (rows.join(of, "node", "left")
             .select(F.col("doc").alias(key), F.col("n").alias("n_shingles"),
                     F.when(F.col("node").isNull(), F.col("doc"))
