@@ -19,7 +19,8 @@ its mean; rates within 1/1000 of a whole number are that number.
 Cases: null and empty texts have no tokens; they get posteriors as any other and no
 weight. Labels with a null id or domain are not used; repeated labels count
 each. Without any labels all domains are equally likely. An empty corpus gives no rows.
-A domain without tokens has no residual. Null ids share one hash. Repeated rows get the
+A domain without tokens has no residual, and a target that ``max_rate``
+does not allow is lowered to what it allows. Null ids share one hash. Repeated rows get the
 same rate. Extra columns are ignored, or carried by ``mixed_documents``.
 """
 
@@ -149,9 +150,9 @@ def _solve(matrix: list, right: list) -> list:
 def _fit(scored: DataFrame, targets: dict, anchor: str, max_rate: float) -> list:
     """Steps of the projected gradient descent, as lists of a number per domain.
 
-    One aggregate a round: the domain totals at the present rates, and the second
-    moments of the posteriors over rows whose rate is not at a bound. The gradient is
-    scaled with the inverse of those moments, and halved while it does not help.
+    Two aggregates a round: the domain totals at the present rates, and the second
+    moments of the posteriors over rows that no bound holds back. The gradient is
+    scaled with the inverse of those moments, and made smaller while it does not help.
     """
     domains, k = list(targets), len(targets)
     p = [f"p{d}" for d in range(k)]
@@ -159,29 +160,39 @@ def _fit(scored: DataFrame, targets: dict, anchor: str, max_rate: float) -> list
                          .where(F.col("tokens") > 0), "groups")
     mass = [float(m or 0) for m in groups.agg(*[F.sum(F.col("tokens") * F.col(c)) for c in p]).first()]
     total = mass[domains.index(anchor)] / targets[anchor] if targets[anchor] else sum(mass)
-    goal = [total * targets[d] for d in domains]
-
-    def measured(history):
-        rated = groups.withColumn("rate", _rate(history, k, max_rate))
-        free = F.when((F.col("rate") > 0) & (F.col("rate") < max_rate), F.col("tokens")).otherwise(0.0)
-        sums = [float(x or 0) for x in rated.agg(
-            *[F.sum(F.col("tokens") * F.col(c) * F.col("rate")) for c in p],
-            *[F.sum(free * F.col(c) * F.col(e)) for c in p for e in p]).first()]
-        gap = [s - g for s, g in zip(sums, goal)]
-        moments = [[sums[k + i * k + j] + (1e-6 * mass[i] + 1e-9) * (i == j) for j in range(k)] for i in range(k)]
-        return sum(x * x / max(m, 1.0) for x, m in zip(gap, mass)), gap, moments
+    goal = [min(total * targets[d], m * max_rate) for d, m in zip(domains, mass)]
+
+    def gaps(history):
+        sums = groups.withColumn("rate", _rate(history, k, max_rate)).agg(
+            *[F.sum(F.col("tokens") * F.col(c) * F.col("rate")) for c in p]).first()
+        gap = [float(s or 0) - g for s, g in zip(sums, goal)]
+        return sum(x * x / max(m, 1.0) for x, m in zip(gap, mass)), gap
+
+    def moments(history, gap):
+        rated = groups.withColumn("rate", _rate(history, k, max_rate)).withColumn(
+            "down", _sum([F.col(c) * (x / max(m, 1.0)) for c, x, m in zip(p, gap, mass)]))
+        free = F.when(((F.col("rate") < max_rate) | (F.col("down") > 0))
+                      & ((F.col("rate") > 0) | (F.col("down") < 0)), F.col("tokens")).otherwise(0.0)
+        found = rated.agg(*[F.sum(free * F.col(c) * F.col(e)) for c in p for e in p]).first()
+        return [[float(found[i * k + j] or 0) + (1e-3 * mass[i] + 1e-9) * (i == j) for j in range(k)]
+                for i in range(k)]
 
     history, scale = [], 1.0
     if not sum(mass):
         return history
-    error, gap, moments = measured(history)
+    error, gap = gaps(history)
+    step = _solve(moments(history, gap), gap)
     for _ in range(MAX_ROUNDS):
-        if scale < 1e-3 or all(abs(x) <= TOLERANCE * sum(mass) for x in gap):
+        if scale < 1e-2 or all(abs(x) <= TOLERANCE * sum(mass) for x in gap):
             break
-        tried = [*history, [scale * x for x in _solve(moments, gap)]]
-        found = measured(tried)
-        if found[0] < error * (1 - TOLERANCE):
-            history, (error, gap, moments), scale = tried, found, min(1.0, 2 * scale)
+        tried = [*history, [max(-2 * max_rate, min(2 * max_rate, scale * x)) for x in step]]
+        found, found_gap = gaps(tried)
+        if found < error:
+            enough = found > error * (1 - 1e-4)
+            history, error, gap, scale = tried, found, found_gap, min(1.0, 2 * scale)
+            if enough:
+                break
+            step = _solve(moments(history, gap), gap)
         else:
             scale /= 4
     return history
@@ -194,18 +205,17 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict, anchor: str,
     """Per document: key, ``keep`` columns, n_tokens, p_<domain>, rate, copies."""
     keep, domains = keep or {}, list(targets)
     sample = _sample(labels.where(col(domain).isin(domains)), label_key, domain, sample_rows)
-    worded = _worded(docs, key, text, {})
+    worded = _worded(docs, key, text, keep)
     typical = _typical_words(worded, sample, domains)
-    features = cut_lineage(_features(worded, typical, {}), "features")
+    features = cut_lineage(_features(worded, typical, keep), "features")
     scores = _posteriors(features, sample, domains)
     history = _fit(features.select("n_tokens", *[p.alias(f"p{d}") for d, p in enumerate(scores)]),
                    targets, anchor, max_rate)
-    given = _features(_worded(docs, key, text, keep), typical, keep) if keep else features
     rate = F.round(_rate(history, len(domains), max_rate), 6)
     chance = F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     whole = F.when(F.abs(F.col("rate") - F.round("rate")) < 0.001, F.round("rate")).otherwise(
         F.floor(F.col("rate") + chance))
-    return (given.select("doc", *keep, "n_tokens", *[p.alias(f"p{d}") for d, p in enumerate(scores)])
+    return (features.select("doc", *keep, "n_tokens", *[p.alias(f"p{d}") for d, p in enumerate(scores)])
             .withColumn("rate", rate)
             .select(F.col("doc").alias(key), *keep, "n_tokens",
                     *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)],
