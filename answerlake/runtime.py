@@ -28,13 +28,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
-    path = shared_dir(df.sparkSession, name)
+def cut_lineage(df: DataFrame, name: str, folder: str = None) -> DataFrame:
+    """Write ``df`` to the shared folder, or to one below it, and read it back."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder that no frame reads any more."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _row_bytes(df: DataFrame):
     """Approximate bytes of a row: texts by length, number arrays by elements."""
     total = F.lit(16)
