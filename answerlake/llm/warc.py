@@ -42,18 +42,18 @@ def _clean(value: str) -> str:
     return "".join(chr(b) if 33 <= b < 127 else f"%{b:02X}" for b in value.encode())
 
 
-def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    """A WARC record; the exact url is kept in a header of its own, percent-encoded."""
+def record(page_id, url, payload: bytes, size: int, digest: str, kind: str, refers_to) -> bytes:
+    """A WARC record; ``size`` and ``digest`` are those of the whole payload, which a revisit
+    leaves out. The exact url is kept in a header of its own."""
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
             f"WARC-Date: {DATE}", f"WARC-Target-URI: {_clean(url or '')}",
-            f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Bytes: {len(payload)}"]
+            f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Bytes: {size}"]
     if url is not None:
         head.append(f"X-Url: {url.encode().hex()}")
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if kind == "revisit":
         head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To: {refers_to}"]
-        payload = b""
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
@@ -85,7 +85,7 @@ def _write(folder: str, file_bytes: int):
                 if out is None:
                     name, at = f"pages-{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
-                member = gzip.compress(record(page_id, url, html or b"", digest, kind, refers_to), LEVEL, mtime=0)
+                member = gzip.compress(record(page_id, url, html or b"", size, digest, kind, refers_to), LEVEL, mtime=0)
                 out.write(member)
                 index.append((name, at, len(member), url, page_id, size, digest, kind, refers_to))
                 at += len(member)
