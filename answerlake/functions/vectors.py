@@ -35,9 +35,15 @@ def let(value: Column, body) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """Unit vector, null for a zero vector."""
+    """Unit vector; null for a zero vector and for one with a null, NaN or infinite element."""
     sized = let(as_double(v), lambda u: F.struct(u.alias("v"), norm(u).alias("n")))
-    return let(sized, lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])))
+    finite = lambda n: (n > 0) & (n < float("inf")) & ~F.isnan(n)
+    return let(sized, lambda s: F.when(finite(s["n"]), F.transform(s["v"], lambda x: x / s["n"])))
+
+
+def is_finite(v: Column) -> Column:
+    """Whether no element is null, NaN or infinite; null for a null vector."""
+    return F.forall(as_double(v), lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
 
 
 def mix(a: Column, b: Column, wa: Column, wb: Column) -> Column:

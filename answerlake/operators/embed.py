@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from answerlake import schema as S
 from answerlake.functions.text import tokens
-from answerlake.functions.vectors import as_double
+from answerlake.functions.vectors import as_double, is_finite
 from answerlake.runtime import broadcast_if_small, few_rows, salted_join
 
 VECTOR_ROWS, VECTOR_BYTES = 2_000_000, 64 << 20
@@ -158,8 +158,10 @@ def pool_spatial(features: Column) -> Column:
 def check_dimension(rows: DataFrame, collections: DataFrame, by=("model",),
                     vector: str = "embedding") -> tuple:
     """(rows whose vector has its collection's dimension, rejects). A dimension
-    below one, a missing vector or an unknown collection rejects too."""
+    below one, a missing vector, a null, NaN or infinite element or an unknown collection
+    rejects too."""
     dims = collections.select(*by, F.col("dim").alias("_dim"))
     sized = rows.join(broadcast_if_small(dims), list(by), "left")
-    good = F.coalesce((F.col("_dim") > 0) & (F.size(vector) == F.col("_dim")), F.lit(False))
+    good = F.coalesce((F.col("_dim") > 0) & (F.size(vector) == F.col("_dim"))
+                      & is_finite(F.col(vector)), F.lit(False))
     return sized.where(good).drop("_dim"), sized.where(~good).drop("_dim")

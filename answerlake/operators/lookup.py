@@ -39,16 +39,19 @@ def keep_wanted(rows: DataFrame, wanted: DataFrame, on: list) -> DataFrame:
 
 
 def scalar_fetch(candidates: DataFrame, entries: DataFrame, id_col: str = "id",
-                 columns=("question", "answer"), bounded: bool = False) -> DataFrame:
+                 columns=("question", "answer"), bounded: bool = False, by=()) -> DataFrame:
     """Entry columns for candidate ids; ids without a live entry are dropped.
 
+    ``by`` names columns that the candidates have too, such as the tenant by which the
+    table's folders are laid out: only folders of candidates are then read.
+
     ``bounded`` candidates (known to fit the broadcast bound) are broadcast to
     the entry scan; otherwise one entry may answer a third of all requests.
     """
-    live = entries.where(~F.col("is_deleted")).select(id_col, *columns)
+    live, on = entries.where(~F.col("is_deleted")).select(*by, id_col, *columns), [*by, id_col]
     if bounded:
-        return live.join(F.broadcast(candidates), id_col)
-    return hot_join(candidates, live, [id_col], "inner", spread=["request_id"])
+        return live.join(F.broadcast(candidates), on)
+    return hot_join(candidates, live, on, "inner", spread=["request_id"])
 
 
 def existing_ids(ids: DataFrame, entries: DataFrame, id_col: str = "id") -> DataFrame:

@@ -13,15 +13,18 @@ def now() -> Column:
     return F.current_timestamp().cast("timestamp_ntz")
 
 
-def content_id(model: Column, key: Column, answer: Column) -> Column:
+def content_id(model: Column, key: Column, answer: Column, *image: Column) -> Column:
     """The same (tenant, key, answer) always gets the same id, so a repeated
-    insert adds nothing."""
-    return F.sha2(F.concat_ws("\x1f", model, key, answer), 256)
+    insert adds nothing. Of multimodal rows, ``image`` columns (kind, url, image id)
+    that are not null are part of the content."""
+    parts = F.array_compact(F.array(*[F.concat(F.lit(f"{i}="), c) for i, c in enumerate(image)])) if image else F.array()
+    return F.sha2(F.concat_ws("\x1f", model, key, answer, parts), 256)
 
 
 def assign_ids(rows: DataFrame, kind: str = "content") -> DataFrame:
     """Add ``id``: content hash, random uuid, or ascending number."""
-    ids = {"content": content_id(F.col("model"), F.col("question"), F.col("answer")),
+    image = [F.col(c) for c in ("mm_type", "image_url", "image_id") if c in rows.columns]
+    ids = {"content": content_id(F.col("model"), F.col("question"), F.col("answer"), *image),
            "uuid": F.expr("uuid()"),
            "ascending": F.monotonically_increasing_id().cast("string")}
     return rows.withColumn("id", ids[kind])
@@ -63,7 +66,7 @@ def rejected_vectors(rows: DataFrame) -> DataFrame:
 
 
 def fresh_entries(entries: DataFrame, rows: DataFrame, **options) -> DataFrame:
-    """The entries of ``rows`` whose id the table does not hold; append these.
+    """The entries of ``rows`` whose id the table does not hold live; append these.
 
     Few new ids are broadcast to the scan of the table's ids; vectors take no
     part in the check.
@@ -71,14 +74,18 @@ def fresh_entries(entries: DataFrame, rows: DataFrame, **options) -> DataFrame:
     from answerlake.operators.lookup import keep_wanted
     if "id" not in rows.columns:
         rows = assign_ids(rows)
-    known = keep_wanted(entries.select("id"), rows.select("id").distinct(), ["id"])
+    live = entries.where(~F.col("is_deleted")) if "is_deleted" in entries.columns else entries
+    known = keep_wanted(live.select("id"), rows.select("id").distinct(), ["id"])
     return (new_entries(rows, **options).dropDuplicates(["id"])
             .join(known, "id", "left_anti").select(*S.ENTRY.names))
 
 
 def insert_entries(entries: DataFrame, rows: DataFrame, **options) -> DataFrame:
-    """The table with the new rows; ids already there are kept as they are."""
-    return entries.select(*S.ENTRY.names).unionByName(fresh_entries(entries, rows, **options))
+    """The table with the new rows. Live ids already there are kept as they are; a row
+    marked as deleted gives way to a new one with its id."""
+    table, fresh = entries.select(*S.ENTRY.names), fresh_entries(entries, rows, **options)
+    dead = table.where("is_deleted").join(fresh.select("id"), "id", "left_anti").select(*S.ENTRY.names)
+    return table.where(~F.col("is_deleted")).unionByName(dead).unionByName(fresh)
 
 
 def apply_hit_counts(entries: DataFrame, responses: DataFrame, at: Column = None) -> DataFrame:

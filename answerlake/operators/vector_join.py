@@ -32,7 +32,8 @@ PAIR_SLICE = 65_536
 # --- matrix helpers used inside tasks -------------------------------------
 
 def _by_dim(ids, vectors):
-    """{dimension: (ids, float64 matrix)}; null vectors are left out."""
+    """{dimension: (ids, float64 matrix)}; null vectors and vectors with an element that
+    is null, NaN or infinite are left out, as they are near to nothing."""
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
     lengths = pc.fill_null(pc.list_value_length(vectors), 0)
@@ -41,8 +42,10 @@ def _by_dim(ids, vectors):
         if dim:
             mask = pc.equal(lengths, dim)
             flat = pc.list_flatten(vectors.filter(mask)).to_numpy(zero_copy_only=False)
-            out[dim] = (ids.filter(mask).to_numpy(zero_copy_only=False),
-                        flat.reshape(-1, dim).astype(np.float64))
+            matrix, own = flat.reshape(-1, dim).astype(np.float64), ids.filter(mask)
+            good = np.isfinite(matrix).all(axis=1)
+            if good.any():
+                out[dim] = (own.to_numpy(zero_copy_only=False)[good], matrix[good])
     return out
 
 

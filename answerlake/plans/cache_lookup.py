@@ -43,7 +43,8 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k
     candidates picked. A small request batch is
     broadcast throughout and entries are never shuffled. For a large one the
     gated candidates are written out, so the search runs once, and their count
-    decides how entries are fetched.
+    decides how entries are fetched. With ``pick="all"`` every request has a row
+    with the lists of its candidates, which are empty for a miss.
     """
     live = entries.where(~F.col("is_deleted"))
     batch = None if method == "tiles" else small_batch(requests, by)
@@ -51,7 +52,7 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k
         raise ValueError("request batch too large to broadcast")
     near = knn(requests, live, k, gate.metric, by, batch=batch,
                method="tiles" if batch is None else "scan", max_cost=gate.max_cost(), **search)
-    gated = score_gate(near.select(*by, "request_id", "id", "score"), gate, by=by).drop(*by)
+    gated = score_gate(near.select(*by, "request_id", "id", "score"), gate, by=by).drop(*by[1:])
     lengths = requests.select("request_id", F.char_length("key").alias("_length"))
     bounded = batch is not None and batch.num_rows * k <= BROADCAST_ROWS
     # ids and scores of a bounded batch; entry text is never broadcast
@@ -64,9 +65,12 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k
     if not bounded:
         kept = cut_lineage(kept, "candidates")
         bounded = few_rows(kept)
-    fetched = scalar_fetch(kept, entries, columns=("question", "answer", *extra), bounded=bounded)
+    fetched = scalar_fetch(kept, entries, columns=("question", "answer", *extra), bounded=bounded,
+                           by=by[:1])
     if pick == "all":
-        return pick_all(fetched)
+        none = F.array().cast("array<string>")
+        lists = [F.coalesce(c, none).alias(c) for c in ("ids", "questions", "answers")]
+        return requests.select("request_id").join(pick_all(fetched), "request_id", "left").select("request_id", *lists)
     return build_response(requests, fetched, extra)
 
 

@@ -72,15 +72,27 @@ def handle_requests(requests: DataFrame, entries: DataFrame, collections: DataFr
     from the column ``key``; vectors of requests and entries are made unit length
     (a zero vector is a miss, or is not inserted). Queries and removals see the tables as they were
     before the batch; inserts come last. Unknown collections of inserts are
-    registered.
+    registered. Every row is a request of its own and gets one response, whether or not
+    its ``request_id`` is null or repeated; queries without a vector are misses, and
+    inserts report pairs that were not kept.
     """
     at = M.now() if at is None else at
-    checked = blacklist_filter(validate_requests(requests))
-    routed = route_requests(cut_lineage(checked, "requests"))
+    # rows are told apart by a number of the written batch; request ids are only data
+    checked = cut_lineage(blacklist_filter(validate_requests(requests))
+                          .withColumnRenamed("request_id", "_given_id")
+                          .withColumn("request_id", F.expr("uuid()")), "requests")
+    given = checked.select("request_id", "_given_id")
+    routed = route_requests(checked.drop("_given_id"))
+
+    def named(rows):
+        return (rows.join(given, "request_id").drop("request_id")
+                .withColumnRenamed("_given_id", "request_id").select(*rows.columns))
+
 
     keyed = routed["query"].withColumn("key", F.when(F.size("query") > 0, key(F.col("query"))))
     no_key = keyed.where(F.col("key").isNull())
-    asked = embed(keyed.where(F.col("key").isNotNull()).select("request_id", "model", "key"))
+    asked = keyed.where(F.col("key").isNotNull()).select("request_id", "model", "key")
+    asked = asked.join(embed(asked).select("request_id", "embedding"), "request_id", "left")
     if normalize:
         asked = asked.withColumn("embedding", l2_normalize(F.col("embedding")))
     start = time.perf_counter()
@@ -91,15 +103,19 @@ def handle_requests(requests: DataFrame, entries: DataFrame, collections: DataFr
     answered = found.withColumn("status", F.lit(""))
 
     pairs = explode_chat_info(routed["insert"].select("request_id", "model", "chat_info"))
-    rows = embed(pairs.select("model", F.when(F.size("chat_query") > 0, key(F.col("chat_query")))
+    rows = embed(pairs.select("request_id", "model", F.when(F.size("chat_query") > 0, key(F.col("chat_query")))
                               .alias("key"), "answer").where("key is not null and answer is not null"))
-    fresh = M.fresh_entries(entries, rows.withColumnRenamed("key", "question"),
-                            normalize=normalize, at=at)
-    has_chat = F.size("chat_info") > 0
+    rows = cut_lineage(rows.withColumnRenamed("key", "question"), "inserts")
+    usable = l2_normalize(F.col("embedding")) if normalize else F.col("embedding")
+    kept = rows.where(usable.isNotNull()).groupBy("request_id").agg(F.count(F.lit(1)).alias("_kept"))
+    asked_for = F.greatest(F.size("chat_info"), F.lit(0))
+    lost = asked_for - F.coalesce("_kept", F.lit(0))
     inserted = _plain(
-        routed["insert"], F.when(has_chat, S.OK).otherwise(S.INSERT_FAILED),
-        F.when(has_chat, "").otherwise("no chat_info"),
-        F.when(has_chat, "success").otherwise("exception"))
+        routed["insert"].join(kept, "request_id", "left"),
+        F.when(asked_for == 0, S.INSERT_FAILED).when(lost > 0, S.INSERT_REJECTED).otherwise(S.OK),
+        F.when(asked_for == 0, "no chat_info").when(lost > 0, F.concat(
+            lost.cast("string"), F.lit(" of "), asked_for.cast("string"), F.lit(" pairs not inserted"))).otherwise(""),
+        F.when((asked_for == 0) | (lost > 0), "exception").otherwise("success"))
 
     status = M.remove_status(routed["remove"], entries).withColumn("error_desc", F.lit(""))
     removed = _plain(status, F.col("error_code"), F.col("error_desc"), F.col("status"))
@@ -130,4 +146,5 @@ def handle_requests(requests: DataFrame, entries: DataFrame, collections: DataFr
                         .otherwise(round(sum(times.values()), 2)).alias("delta_time"))
 
     after = _delete(M.apply_hit_counts(entries, found, at), routed["remove"])
-    return Outcome(responses, log, after.unionByName(fresh.select(*after.columns)), known, times)
+    after = M.insert_entries(after, rows.drop("request_id"), normalize=normalize, at=at)
+    return Outcome(named(responses), named(log), after.select(*entries.columns), known, times)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerlake import schema as S
+from answerlake.sources.vectors import encode_vectors
 
 
 def read_entries(spark: SparkSession, path: str, models=None) -> DataFrame:
@@ -69,17 +70,25 @@ def append_access_log(rows: DataFrame, path: str, start: int = 0) -> None:
 
 
 def jdbc_slices(column: str = "id") -> list:
-    """256 disjoint predicates over hexadecimal ids, for a parallel JDBC read."""
-    return [f"{column} LIKE '{i:02x}%'" for i in range(256)]
+    """Disjoint predicates for a parallel JDBC read that every id meets exactly one of.
+
+    Ranges of the id as text, with open ends, that spread hexadecimal ids evenly; other
+    ids fall between the same bounds, and null ids have a predicate of their own.
+    """
+    text, cuts = f"CAST({column} AS CHAR(255))", [f"{i:02x}" for i in range(1, 256)]
+    ranges = [f"{text} >= '{a}' AND {text} < '{b}'" for a, b in zip(cuts, cuts[1:])]
+    return [f"{text} < '{cuts[0]}'", *ranges, f"{text} >= '{cuts[-1]}'", f"{column} IS NULL"]
 
 
 def read_jdbc_entries(spark: SparkSession, url: str, table: str, properties: dict) -> DataFrame:
-    """Entry table of a MySQL-like store, read in 256 id slices. The database
-    driver must be on the class path."""
+    """Entry table of a MySQL-like store, read in slices of its ids. The database
+    driver must be on the class path. Vectors that the store keeps as bytes stay bytes;
+    see ``decode_vectors``."""
     rows = spark.read.jdbc(url, table, predicates=jdbc_slices(), properties=properties)
     return rows.where(F.col("is_deleted") == 0)
 
 
 def append_jdbc_entries(entries: DataFrame, url: str, table: str, properties: dict) -> None:
-    """Append entries in batches, one connection per task."""
-    entries.write.option("batchsize", 10_000).jdbc(url, table, "append", properties)
+    """Append entries in batches, one connection per task; vectors are stored as
+    float32 bytes, as such a store keeps them."""
+    encode_vectors(entries, "embedding").write.option("batchsize", 10_000).jdbc(url, table, "append", properties)

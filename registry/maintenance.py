@@ -78,7 +78,8 @@ def _sides(spark, sf):
 
 @query("mm_insert", f"""WITH kinds AS (SELECT vec_id, CASE WHEN label < 7 AND label <> 1 AND label > 2 THEN 'mm'
     WHEN label < 7 AND label <> 1 THEN 'image' WHEN label > 2 THEN 'text' END AS mm_type FROM embeddings)
-SELECT sha256({t.sql_norm(t.sql_tenant('vec_id'))} || chr(31) || 'q' || vec_id || chr(31) || 'a' || vec_id) AS id,
+SELECT sha256({t.sql_norm(t.sql_tenant('vec_id'))} || chr(31) || 'q' || vec_id || chr(31) || 'a' || vec_id
+    || chr(31) || '0=' || mm_type || chr(31) || '1=http://img/' || vec_id || chr(31) || '2=img' || vec_id) AS id,
   mm_type, 'http://img/' || vec_id AS image_url, 'img' || vec_id AS image_id,
   (CASE mm_type WHEN 'mm' THEN 128 ELSE 64 END)::INTEGER AS dim FROM kinds WHERE mm_type IS NOT NULL""")
 def mm_insert(spark, sf):

@@ -1,5 +1,7 @@
 """Keys, thresholds, payloads and maintenance rules on small literal rows."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -213,9 +215,88 @@ def test_tenant_folders_are_pruned_and_replaced_alone(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(model" in plan or "PartitionFilters: [(model" in plan
 
 
-def test_jdbc_slices_cover_hexadecimal_ids():
+@pytest.mark.parametrize("kind", ["VARCHAR", "INTEGER"])
+def test_every_id_meets_one_jdbc_slice(kind):
+    import duckdb
+
+    ids = [str(i) for i in range(1, 3000)] if kind == "INTEGER" else [
+        "", "0", "00", "0f", "9", "A1", "Ff", "ff", "fff", "g", "z", "~", "\u00e9", " x", "-", *map(str, range(300)),
+        *(f"{i:02x}aa" for i in range(256))]
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE t (id {kind})")
+    con.executemany("INSERT INTO t VALUES (?)", [(i,) for i in ids] + [(None,)])
     slices = TB.jdbc_slices()
-    assert len(slices) == 256 and slices[0] == "id LIKE '00%'" and slices[-1] == "id LIKE 'ff%'"
+    assert sum(con.execute(f"SELECT count(*) FROM t WHERE {s}").fetchall()[0][0] for s in slices) == len(ids) + 1
+    once = " + ".join(f"CASE WHEN {s} THEN 1 ELSE 0 END" for s in slices)
+    assert con.execute(f"SELECT min(n), max(n) FROM (SELECT {once} AS n FROM t)").fetchall() == [(1, 1)]
+
+
+@pytest.mark.parametrize("method", ["scan", "tiles"])
+def test_bad_vectors_leave_good_lookups_alone(spark, method):
+    bad = [float("nan"), 1.0], [float("inf"), 1.0], [None, 1.0], None
+    stored = [(f"e{i}", "m", f"q{i}", "a", v, False) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0], *bad])]
+    entries = spark.createDataFrame(stored, "id string, model string, question string, answer string, "
+                                    "embedding array<float>, is_deleted boolean").coalesce(1)
+    asked = [(f"r{i}", "m", "k", v) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0], *bad])]
+    requests = spark.createDataFrame(asked, "request_id string, model string, key string, "
+                                     "embedding array<float>").coalesce(1)
+    got = {r.request_id: r.hit_id for r in cache_lookup(requests, entries, method=method).collect()}
+    assert got == {"r0": "e0", "r1": "e1", "r2": None, "r3": None, "r4": None, "r5": None}
+    units = requests.select("request_id", V.l2_normalize(F.col("embedding")).alias("v")).collect()
+    assert {r.request_id for r in units if r.v is not None} == {"r0", "r1"}
+
+
+def test_bytes_of_bad_vectors_are_null(spark):
+    raw = [np.array(v, "<f4").tobytes() for v in ([1, 2, 3], [np.nan, 0, 0], [np.inf, 0, 0])] + [b"123", None]
+    df = spark.createDataFrame(list(enumerate(raw)), "id int, v binary").coalesce(1)
+    back = VB.decode_vectors(df, "v", 3)
+    assert {r.id: r.v for r in back.collect()} == {0: [1, 2, 3], 1: None, 2: None, 3: None, 4: None}
+    assert {r.id: r.v for r in VB.encode_vectors(back, "v").collect()} == {0: raw[0], 1: None, 2: None, 3: None, 4: None}
+
+
+def test_insert_after_delete_is_live_again(spark):
+    rows = spark.createDataFrame([("m", "q", "a", [1.0, 0.0])], "model string, question string, answer string, "
+                                 "embedding array<double>")
+    once = M.insert_entries(M.new_entries(rows).limit(0), rows)
+    dead = M.soft_delete(once, once.select("id"))
+    again = M.insert_entries(dead, rows).collect()
+    assert len(again) == 1 and not again[0].is_deleted
+    assert M.insert_entries(once, rows).count() == 1
+
+
+def test_ids_of_images_with_one_text(spark):
+    rows = spark.createDataFrame([("m", "q", "a", k, u, i) for k, u, i in [
+        ("IMG", "u1", None), ("IMG", "u2", None), ("IMG", None, "u1"), ("IMG", "u1", None), (None, None, None)]],
+        "model string, question string, answer string, mm_type string, image_url string, image_id string")
+    ids = [r.id for r in M.assign_ids(rows).collect()]
+    assert len(set(ids)) == 4 and ids[0] == ids[3]
+    assert ids[4] == M.assign_ids(rows.select("model", "question", "answer")).first().id
+
+
+def test_batch_answers_every_line(spark):
+    """Null and repeated ids, a key without a vector, rejected pairs, truncate before insert."""
+    def embed(rows):
+        return rows.where("key not like '%unknown%'").withColumn("embedding", F.array(
+            F.when(F.col("key").contains("zero"), 0.0).otherwise(1.0), F.lit(0.0)))
+
+    ask = lambda text, i=None: {"type": "query", "scope": {"model": "m"}, "query": [{"role": "user", "content": text}],
+                                **({"requestId": i} if i else {})}
+    put = lambda *texts: {"type": "insert", "scope": {"model": "m"}, "chat_info": [
+        {"query": [{"role": "user", "content": t}], **({"answer": "a"} if t != "mute" else {})} for t in texts]}
+    lines = [ask("hello"), ask("hello", "x"), ask("hello", "x"), ask("unknown"), put("hello"), put("hello", "mute", "zero"),
+             {"type": "remove", "scope": {"model": "m"}, "remove_type": "truncate_by_model"}]
+    requests = Q.parse_requests(spark.createDataFrame([(json.dumps(x),) for x in lines], "value string"))
+    rows = spark.createDataFrame([("m", "user: hello", "a", [1.0, 0.0])], "model string, question string, "
+                                 "answer string, embedding array<double>")
+    stored = M.new_entries(rows)
+    known = spark.createDataFrame([("m", None, 2, "l2")], "model string, mm_type string, dim int, metric string")
+    out = handle_requests(requests, stored, known, embed, 2)
+    got = out.responses.collect()
+    assert len(got) == len(lines)
+    assert sorted((str(r.request_id), r.cache_hit) for r in got if r.cache_hit) == [("None", True), ("x", True), ("x", True)]
+    assert sorted((r.error_code, r.error_desc) for r in got if r.error_code) == [(302, "2 of 3 pairs not inserted")]
+    assert out.log.count() == 4
+    assert [(r.question, r.is_deleted) for r in out.entries.collect()] == [("user: hello", False)]
 
 
 def test_request_batch(spark):
@@ -282,4 +363,19 @@ def test_gates_of_several_candidates(spark, method, short, long):
                 want[f"r{i:02d}"] = good
     got = {r.request_id: r.ids for r in cache_lookup(
         q, e, Gate(threshold=short, threshold_long=long), k=5, pick="all", method=method).collect()}
-    assert got == want
+    assert len(got) == len(asked) and {r: ids for r, ids in got.items() if ids} == want
+
+
+@pytest.mark.parametrize("method", ["scan", "tiles"])
+def test_lookup_reads_only_the_tenants_of_the_batch(spark, tmp_path, method):
+    path = str(tmp_path / "entries")
+    rows = spark.createDataFrame([(m, f"q{m}", "a", [1.0, 0.0]) for m in ("m", "n", "o")],
+                                 "model string, question string, answer string, embedding array<double>")
+    TB.write_entries(M.new_entries(rows), path)
+    asked = spark.createDataFrame([("r", "m", "k", [1.0, 0.0])],
+                                  "request_id string, model string, key string, embedding array<float>")
+    out = cache_lookup(asked, TB.read_entries(spark, path), method=method)
+    assert [r.hit_query for r in out.collect()] == ["qm"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    texts = [x for x in plan.split("FileScan parquet")[1:] if "question" in x.split("Batched")[0]]
+    assert texts and all("PartitionFilters: []" not in x for x in texts)
