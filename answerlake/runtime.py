@@ -1,6 +1,8 @@
 """Session helpers shared by the operators: shared folders, checked broadcasts,
 skew-safe top-n and row numbering."""
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 SALTS = 64
+_scratch = contextvars.ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -25,7 +28,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="answerlake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scratch.get() is not None:
+        _scratch.get().append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Folders that ``shared_dir`` names inside are deleted at the end, whether or not
+    the work succeeds; write what is to stay before, and elsewhere."""
+    paths = []
+    token = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in paths:
+            remove_folder(spark, path)
 
 
 def cut_lineage(df: DataFrame, name: str, folder: str = None) -> DataFrame:

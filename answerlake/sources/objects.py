@@ -19,12 +19,12 @@ def externalize_objects(entries: DataFrame) -> tuple:
 
 
 def get_objects(entries: DataFrame, objects: DataFrame) -> DataFrame:
-    """Entries with their payload put back."""
-    is_object = F.col("answer_type") != S.ANSWER_TEXT
-    wanted = entries.withColumn("object_key", F.when(is_object, F.col("answer")))
+    """Entries with their payload put back. Only entries that have an object are joined."""
+    is_object = F.coalesce((F.col("answer_type") != S.ANSWER_TEXT) & F.col("answer").isNotNull(), F.lit(False))
     rest = [c for c in entries.columns if c != "answer"]
-    return wanted.join(objects, "object_key", "left").select(
-        *rest, F.when(is_object, F.col("payload")).otherwise(F.col("answer")).alias("answer"))
+    filled = (entries.where(is_object).withColumnRenamed("answer", "object_key")
+              .join(objects, "object_key", "left").select(*rest, F.col("payload").alias("answer")))
+    return entries.where(~is_object).select(*rest, "answer").unionByName(filled)
 
 
 def delete_objects(objects: DataFrame, keys: DataFrame) -> DataFrame:

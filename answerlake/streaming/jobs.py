@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from answerlake.operators.maintain import fresh_entries
 from answerlake.plans.cache_lookup import cache_lookup
+from answerlake.runtime import scratch
 
 
 def _start(writer, checkpoint: str, trigger: dict = None) -> StreamingQuery:
@@ -22,7 +23,8 @@ def _start(writer, checkpoint: str, trigger: dict = None) -> StreamingQuery:
 def _each_batch(stream: DataFrame, run, path: str, checkpoint: str, trigger: dict = None,
                 mode: str = "append"):
     def write(batch: DataFrame, batch_id: int):
-        run(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with scratch(batch.sparkSession):  # a batch leaves only its output
+            run(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return _start(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint, trigger)
 
 
@@ -50,14 +52,18 @@ def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
 
 
 def stream_insert(rows: DataFrame, path: str, checkpoint: str, embed, at=None,
-                  trigger: dict = None) -> StreamingQuery:
+                  trigger: dict = None, entries=None) -> StreamingQuery:
     """Append the entries of a (model, question, answer) stream.
 
     ``embed(batch)`` adds the vectors. Ids are content hashes, so rows seen
-    before, in this or an earlier batch, add nothing.
+    before, in this or an earlier batch, add nothing; nor do rows that the table which
+    ``entries()`` gives holds live.
     """
     def insert(batch, batch_id):
-        return fresh_entries(_earlier(batch.sparkSession, path, batch_id), embed(batch), at=at)
+        known = _earlier(batch.sparkSession, path, batch_id)
+        if entries is not None:
+            known = known.union(entries().where(~F.col("is_deleted")).select("id"))
+        return fresh_entries(known, embed(batch), at=at)
     return _each_batch(rows, insert, path, checkpoint, trigger)
 
 
@@ -96,11 +102,9 @@ def hit_rate_windows(log: DataFrame, window: str = "1 hour", slide: str = None,
 
 def session_windows(turns: DataFrame, user: str = "user_id", gap: str = "30 minutes",
                     delay: str = "10 minutes") -> DataFrame:
-    """Dialogue sessions: one user's turns until a pause of ``gap``. On a stream,
-    rows are merged to sessions before the shuffle, for users with many rows."""
-    if turns.isStreaming:
-        turns.sparkSession.conf.set(
-            "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Dialogue sessions: one user's turns until a pause of ``gap``. For streams with hot
+    users, set spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition, which
+    merges rows to sessions before the shuffle."""
     rows = _timed(turns, delay)
     return (rows.groupBy(F.session_window("ts", gap).alias("w"), user)
             .agg(F.count(F.lit(1)).alias("turns"))

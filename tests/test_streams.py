@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from answerlake.operators.maintain import new_entries
-from answerlake.runtime import shared_dir
+from answerlake.runtime import cut_lineage, scratch, shared_dir
 from answerlake.streaming import jobs as J
 
 LOG = "ts timestamp_ntz, model string, cache_hit boolean"
@@ -105,3 +105,24 @@ def test_lookup_sees_the_newest_snapshot(spark):
     run()
     got = {r.request_id: (r.cache_hit, r.answer) for r in spark.read.parquet(out).collect()}
     assert got == {"r1": (True, "a1"), "r2": (False, ""), "r3": (True, "a2")}
+
+
+def test_scratch_folders_go(spark):
+    import os
+
+    with pytest.raises(ValueError), scratch(spark):
+        kept = cut_lineage(spark.range(3), "scratch-test").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(kept)
+        raise ValueError
+    assert not os.path.exists(os.path.dirname(kept))
+    assert cut_lineage(spark.range(3), "kept").count() == 3
+
+
+def test_insert_checks_the_entry_table(spark):
+    src, out, ck = (shared_dir(spark, n) for n in ("in", "out", "ck"))
+    schema = "model string, question string, answer string"
+    embed = lambda rows: rows.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
+    held = new_entries(embed(spark.createDataFrame([("m", "q", "a")], schema)))
+    add(spark, src, [("m", "q", "a"), ("m", "q2", "a")], schema)
+    J.stream_insert(stream(spark, src, schema), out, ck, embed, entries=lambda: held).awaitTermination()
+    assert [r.question for r in spark.read.parquet(out).collect()] == ["q2"]
