@@ -1,11 +1,11 @@
 """Whole lookups: search, gate, fetch, pick, respond."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlake import schema as S
 from answerlake.functions.ranking import COSINE, Gate
-from answerlake.operators.gate import length_gate, pick_all, pick_first, pick_random, score_gate
+from answerlake.operators.gate import length_gate, pick_all, pick_first, pick_random, rerank, score_gate
 from answerlake.operators.lookup import scalar_fetch
 from answerlake.operators.vector_join import knn, small_batch
 from answerlake.runtime import BROADCAST_ROWS, cut_lineage, few_rows
@@ -35,7 +35,7 @@ def build_response(requests: DataFrame, picked: DataFrame, extra=()) -> DataFram
 
 def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k: int = 1,
                  by=("model",), pick: str = "first", seed=0, extra=(), method: str = "auto",
-                 **search) -> DataFrame:
+                 scorer: Column = None, **search) -> DataFrame:
     """Answer (request_id, model, key, embedding) rows from the live entries.
 
     Only ids and vectors take part in the search, and tasks return only
@@ -45,6 +45,10 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k
     gated candidates are written out, so the search runs once, and their count
     decides how entries are fetched. With ``pick="all"`` every request has a row
     with the lists of its candidates, which are empty for a miss.
+
+    ``scorer`` is a caller's evaluator: a rank made from the columns key, question,
+    answer, score and rank of each fetched candidate. It replaces the rank, the gate is
+    applied again, and the pick is made among what passes.
     """
     live = entries.where(~F.col("is_deleted"))
     batch = None if method == "tiles" else small_batch(requests, by)
@@ -58,15 +62,21 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k
     # ids and scores of a bounded batch; entry text is never broadcast
     gated = lengths.join(F.broadcast(gated) if bounded else gated, "request_id")
     kept = length_gate(gated, gate, length="_length").drop("_length")
-    if pick == "random":
-        kept = pick_random(kept, seed)
-    elif pick != "all" and k > 1:
-        kept = pick_first(kept)
+
+    def picked(rows):
+        if pick == "random":
+            return pick_random(rows, seed)
+        return pick_first(rows) if pick != "all" and k > 1 else rows
+
+    if scorer is None:
+        kept = picked(kept)
     if not bounded:
         kept = cut_lineage(kept, "candidates")
         bounded = few_rows(kept)
     fetched = scalar_fetch(kept, entries, columns=("question", "answer", *extra), bounded=bounded,
                            by=by[:1])
+    if scorer is not None:
+        fetched = picked(rerank(fetched.join(requests.select("request_id", "key"), "request_id"), scorer, gate))
     if pick == "all":
         none = F.array().cast("array<string>")
         lists = [F.coalesce(c, none).alias(c) for c in ("ids", "questions", "answers")]

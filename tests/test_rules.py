@@ -379,3 +379,16 @@ def test_lookup_reads_only_the_tenants_of_the_batch(spark, tmp_path, method):
     plan = out._jdf.queryExecution().executedPlan().toString()
     texts = [x for x in plan.split("FileScan parquet")[1:] if "question" in x.split("Batched")[0]]
     assert texts and all("PartitionFilters: []" not in x for x in texts)
+
+
+def test_lookup_with_a_callers_evaluator(spark):
+    rows = spark.createDataFrame([("m", q, "a " + q, v) for q, v in [("near", [1.0, 0.0]), ("wanted", [0.99, 0.14])]],
+                                 "model string, question string, answer string, embedding array<double>")
+    asked = spark.createDataFrame([("r1", "m", "wanted", [1.0, 0.0]), ("r2", "m", "other", [1.0, 0.0])],
+                                  "request_id string, model string, key string, embedding array<float>")
+    scorer = F.when(F.col("question") == F.col("key"), 4.0).otherwise(0.0)
+    entries = M.new_entries(rows)
+    for pick in ("first", "random"):
+        got = {r.request_id: r.hit_query for r in cache_lookup(asked, entries, k=2, pick=pick, scorer=scorer).collect()}
+        assert got == {"r1": "wanted", "r2": ""}
+    assert {r.hit_query for r in cache_lookup(asked, entries, k=2).collect()} == {"near"}
