@@ -174,7 +174,11 @@ def item_blocks(items: DataFrame, item_id: str, text: str, width: int) -> list:
 
 
 def _pass(block, width, last, remove):
-    """Batches (carried, text, spans, items) with the block's matches added."""
+    """Batches (carried, text, spans, items) with the block's matches added.
+
+    With ``remove`` the last pass also cuts the spans, and cuts again what this block
+    matches where the rest has joined up.
+    """
     def work(batches):
         automaton = Automaton(block.value, width) if block else None
         for batch in batches:
@@ -183,14 +187,16 @@ def _pass(block, width, last, remove):
             for text, s, i in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words = words_of(text or b"")
                 new_s, new_i = automaton.matches(words) if automaton else ([], set())
-                flat = [x for pair in merged(s + new_s) for x in pair]
+                pairs = merged(s + new_s)
                 counts.append(len(words))
-                spans.append(flat)
+                spans.append([x for pair in pairs for x in pair])
                 items.append(sorted(set(i) | new_i))
-                if remove:
-                    clean.append(cut(text, merged(flat)) if flat else text)
+                while remove and pairs:
+                    text = cut(text, pairs)
+                    pairs = merged(automaton.matches(words_of(text))[0])
+                clean.append(text)
             arrays = {"carried": batch.column(0),
-                      "text": batch.column(1) if not remove else pa.array(clean, pa.binary()).cast(pa.string()),
+                      "text": pa.array(clean, pa.binary()).cast(pa.string()) if remove else batch.column(1),
                       "n_words": pa.array(counts, pa.int64()),
                       "spans": pa.array(spans, pa.list_(pa.int64())),
                       "items": pa.array(items, pa.list_(pa.string()))}
@@ -202,34 +208,38 @@ def _pass(block, width, last, remove):
     return work
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, text: str = "text", keep: dict = None,
-                   item_id: str = "item_id", item_text: str = "text", width: int = WIDTH,
-                   remove: bool = False) -> DataFrame:
-    """Per document the ``keep`` columns, n_words, spans and item ids.
-
-    ``spans`` has flat (start, end) word positions, merged and in order; ``remove``
-    adds the text without the words in them.
-    """
-    spark = docs.sparkSession
+def _searched(docs: DataFrame, blocks: list, text: str, keep: dict, width: int, remove: bool) -> DataFrame:
+    """The documents after a pass for each block of items."""
     carried = F.struct(*[c.alias(n) for n, c in (keep or {"_": F.lit(1)}).items()])
     state = docs.select(carried.alias("carried"), col(text).cast("string").alias("text"),
                         F.array().cast("array<long>").alias("spans"),
                         F.array().cast("array<string>").alias("items"))
     kind = state.schema["carried"].dataType.simpleString()
-    block = None
-    for pieces in item_blocks(items, item_id, item_text, width):
-        if block:
-            state = cut_lineage(state.mapInArrow(
-                _pass(block, width, False, False),
-                f"carried {kind}, text string, spans array<long>, items array<string>"), "hits")
-        block = spark.sparkContext.broadcast(pieces)
-    found = state.mapInArrow(_pass(block, width, True, remove),
+    for block in blocks[:-1]:
+        state = cut_lineage(state.mapInArrow(
+            _pass(block, width, False, False),
+            f"carried {kind}, text string, spans array<long>, items array<string>"), "hits")
+    found = state.mapInArrow(_pass(blocks[-1] if blocks else None, width, True, remove),
                              f"carried {kind}, {'text string, ' if remove else ''}{FOUND}")
     names = [c for c in found.columns if c not in ("carried", "text")]
     clean = [F.col("text").alias("clean")] if remove else []
     return found.select(*[F.col("carried").getField(n).alias(n) for n in keep or {}], *clean, *names)
 
 
+def _sent(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, width: int) -> list:
+    """A broadcast for each block of items."""
+    return [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items, item_id, item_text, width)]
+
+
+def benchmark_hits(docs: DataFrame, items: DataFrame, text: str = "text", keep: dict = None,
+                   item_id: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
+    """Per document the ``keep`` columns, n_words, spans and item ids.
+
+    ``spans`` has flat (start, end) word positions, merged and in order.
+    """
+    return _searched(docs, _sent(docs, items, item_id, item_text, width), text, keep, width, False)
+
+
 def _n_hit():
     pairs = F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1)
     width = F.aggregate(pairs, F.lit(0).cast("long"),
@@ -249,18 +259,22 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 
 def remove_benchmark(docs: DataFrame, items: DataFrame, text: str = "text", n_chars: str = "n_chars",
-                     max_coverage_pct: int = MAX_COVERAGE_PCT, **options) -> DataFrame:
+                     max_coverage_pct: int = MAX_COVERAGE_PCT, item_id: str = "item_id",
+                     item_text: str = "text", width: int = WIDTH) -> DataFrame:
     """The documents without their hit words; same columns.
 
     A document of which more than ``max_coverage_pct`` of 100 words are hit goes.
-    Cutting a span joins what stood around it; texts that lost words are searched
-    again until nothing is hit.
+    Cutting a span joins what stood around it, so texts are cut until nothing is hit;
+    where there are several blocks of items, those that were cut are searched again by all.
     """
     keep = {f"given_{i}": col(c) for i, c in enumerate(docs.columns)}
-    clean_parts, rest = [], docs
-    while True:
-        found = cut_lineage(benchmark_hits(rest, items, text, keep, remove=True, **options)
-                            .where(100 * _n_hit() <= max_coverage_pct * F.col("n_words")), "decontaminated")
+    blocks = _sent(docs, items, item_id, item_text, width)
+
+    def cleaned(rest, most):
+        found = _searched(rest, blocks, text, keep, width, True).where(100 * _n_hit() <= most * F.col("n_words"))
+        return found if len(blocks) < 2 else cut_lineage(found, "decontaminated")
+
+    def columns(found):
         hit = F.size("spans") > 0
         out = []
         for i, f in enumerate(docs.schema):
@@ -270,14 +284,18 @@ def remove_benchmark(docs: DataFrame, items: DataFrame, text: str = "text", n_ch
             elif f.name == n_chars:
                 value = F.when(hit, F.char_length("clean").cast(f.dataType)).otherwise(value)
             out.append(value.alias(f.name))
-        clean_parts.append(found.where(~hit).select(*out))
-        rest = found.where(hit).select(*out)
+        return found.select(*out)
+
+    found = cleaned(docs, max_coverage_pct)
+    if len(blocks) < 2:
+        return columns(found)
+    result = columns(found.where(F.size("spans") == 0))
+    while True:
+        rest = columns(found.where(F.size("spans") > 0))
         if rest.isEmpty():
-            break
-    result = clean_parts[0]
-    for part in clean_parts[1:]:
-        result = result.unionByName(part)
-    return result
+            return result
+        found = cleaned(rest, 100)
+        result = result.unionByName(columns(found.where(F.size("spans") == 0)))
 
 
 SQL = rf"""

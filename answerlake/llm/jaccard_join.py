@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 
 from answerlake.llm import query
 from answerlake.llm.common import LOWER, col, per_text, table, utf8
-from answerlake.runtime import broadcast_if_small, cut_lineage
+from answerlake.runtime import broadcast_if_small, cut_lineage, remove_folder, shared_dir
 
 WIDTH, THRESHOLD = 3, 90
-FREQUENT, MAX_FREQUENT, CHUNK = 8, 500_000, 1 << 22
+FREQUENT, MAX_FREQUENT, CHUNK = 8, 500_000, 1 << 21
 MIN_BITS, MAX_BITS = 256, 1 << 16
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 
 class Shingler:
@@ -206,33 +206,33 @@ def _near(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str,
-            width: int, threshold: int) -> DataFrame:
+            width: int, threshold: int, folder: str) -> DataFrame:
     """The pairs (a, b) whose overlap reaches the threshold, counted on their whole sets."""
-    near = cut_lineage(_near(pairs, nodes, threshold), "near")
+    near = cut_lineage(_near(pairs, nodes, threshold), "near", folder)
     used = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    wanted = cut_lineage(nodes.join(used, "node").select("doc").distinct(), "wanted")
+    wanted = cut_lineage(nodes.join(used, "node").select("doc").distinct(), "wanted", folder)
     given = docs.select(col(key).alias("doc"), col(text).alias("text"))
     found = per_text(given.join(broadcast_if_small(wanted), given["doc"].eqNullSafe(wanted["doc"]), "left_semi"),
                      "text", _sets(width), "node binary, grams array<long>")
-    sets = cut_lineage(found.join(broadcast_if_small(cut_lineage(used, "used")), "node", "left_semi")
-                       .dropDuplicates(["node"]), "sets")
+    sets = cut_lineage(found.join(broadcast_if_small(cut_lineage(used, "used", folder)), "node", "left_semi")
+                       .dropDuplicates(["node"]), "sets", folder)
     both = (near.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b"))
     overlap = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - overlap
-    return cut_lineage(both.where(100 * overlap >= threshold * union).select("a", "b"), "links")
+    return cut_lineage(both.where(100 * overlap >= threshold * union).select("a", "b"), "links", folder)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", folder: str = None) -> DataFrame:
     """(node, component): the smallest node that is reachable, for every node of an edge.
 
     Every round takes the smallest label of a node's neighbours and then the label of
     that label, until no label changes.
     """
     both = cut_lineage(edges.select(col(a).alias("node"), col(b).alias("other"))
-                       .union(edges.select(col(b), col(a))).distinct(), "edges")
+                       .union(edges.select(col(b), col(a))).distinct(), "edges", folder)
     labels = cut_lineage(both.groupBy("node").agg(
-        F.least("node", F.min("other")).alias("component")), "labels")
+        F.least("node", F.min("other")).alias("component")), "labels", folder)
     while True:
         told = (both.join(labels.select(F.col("node").alias("other"), "component"), "other")
                 .groupBy("node").agg(F.min("component").alias("told")))
@@ -241,7 +241,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         of = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
         new = cut_lineage(nearer.join(of, "component", "left").select(
             "node", "before", F.least("component", F.coalesce("root", "component")).alias("component")),
-            "labels")
+            "labels", folder)
         labels = new.select("node", "component")
         if new.where(F.col("before") != F.col("component")).isEmpty():
             return labels
@@ -261,13 +261,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                        width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: key, n_shingles, component_id."""
     given = docs.select(col(key).alias("doc"), col(text).cast("string").alias("text"))
+    spark = docs.sparkSession
+    folder, result = shared_dir(spark, "jaccard"), shared_dir(spark, "jaccard-components")
     seen = cut_lineage(given.mapInArrow(
         _first_pass(width), f"doc {given.schema['doc'].dataType.simpleString()}, n long, node binary, "
-        "parity array<long>, gram long, times long"), "sizes")
+        "parity array<long>, gram long, times long"), "sizes", folder)
     rows = seen.where(F.col("gram").isNull()).select("doc", "n", "node")
     # 1: equal sets are one node
     nodes = cut_lineage(seen.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("parity").alias("parity")), "nodes")
+        F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("parity").alias("parity")), "nodes", folder)
     # 2-3: entries, and blocks that hold more than one
     frequent = _frequent(seen.where(F.col("gram").isNotNull()).select("gram", "times"))
     entries = given.select("text").mapInArrow(_prefixes(width, threshold, frequent),
@@ -281,8 +283,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         entries.withColumn("size", size_class).withColumn("members", F.count(F.lit(1)).over(by_gram))
         .where(F.col("members") > 1).withColumn("hub", hub)
         .select("gram", "node", "n", "place", F.col("hub.node").alias("hub"),
-                F.col("hub.n").alias("hub_n"), F.col("hub.place").alias("hub_place")), "blocks")
-    exact = lambda pairs: _linked(pairs, nodes, docs, key, text, width, threshold)
+                F.col("hub.n").alias("hub_n"), F.col("hub.place").alias("hub_place")), "blocks", folder)
+    exact = lambda pairs: _linked(pairs, nodes, docs, key, text, width, threshold, folder)
     # 4: each node with the hub that it meets in most blocks
     met = (blocks.where((F.col("node") != F.col("hub"))
                         & _admitted("n", "place", "hub_n", "hub_place", threshold))
@@ -290,14 +292,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
            .groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")))
     links = exact(met.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     # 5: pairs of different components that the bounds admit
-    label = components(links)
+    label = components(links, folder=folder)
     same_gram = Window.partitionBy("gram")
     lead = F.min(F.struct("place", "n", "node", "component")).over(same_gram)
     named = cut_lineage(
         blocks.select("gram", "node", "n", "place").join(label, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
         .withColumn("apart", F.col("component") != lead["component"])
-        .withColumn("mixed", F.max("apart").over(same_gram)).where("mixed").drop("mixed"), "mixed")
+        .withColumn("mixed", F.max("apart").over(same_gram)).where("mixed").drop("mixed"), "mixed", folder)
     other = named.select("gram", *[F.col(c).alias(f"{c}_b") for c in
                                    ("node", "n", "place", "component", "apart")])
     open_pairs = (named.where("apart").join(other, "gram")
@@ -306,23 +308,34 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                          & _admitted("n", "place", "n_b", "place_b", threshold))
                   .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
                   .distinct())
-    label = components(links.union(exact(open_pairs)))
+    label = components(links.union(exact(open_pairs)), folder=folder)
     named = nodes.select("node", "doc").join(label, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     of = named.join(least, "component").select("node", "component_id")
-    return (rows.join(of, "node", "left")
-            .select(F.col("doc").alias(key), F.col("n").alias("n_shingles"),
-                    F.when(F.col("node").isNull(), F.col("doc"))
-                    .otherwise(F.col("component_id")).alias("component_id")))
+    rows.join(of, "node", "left").select(
+        "doc", F.col("n").alias("n_shingles"),
+        F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id")) \
+        .write.parquet(result)
+    frequent.unpersist()
+    remove_folder(spark, folder)  # the result reads none of its tables
+    return spark.read.parquet(result).withColumnRenamed("doc", key)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents whose id names their component; rows equal in all columns are one."""
+    """The documents whose id names their component. Rows that share an id stay or go
+    together, and of those that are equal in all columns one stays.
+    """
     found = jaccard_components(docs, key, text, **options)
-    first = (found.where(F.col(key).eqNullSafe(F.col("component_id")))
-             .select(F.col(key).alias("_first")).distinct())
-    return docs.join(first, col(key).eqNullSafe(F.col("_first")), "left_semi").dropDuplicates()
+    by_id = found.groupBy(key).agg(
+        F.max(F.col(key).eqNullSafe(F.col("component_id"))).alias("first"), F.count(F.lit(1)).alias("rows"))
+    out = cut_lineage(by_id.where(~F.col("first")).select(F.col(key).alias("_out")), "near-copies")
+    kept = docs.join(broadcast_if_small(out), col(key).eqNullSafe(F.col("_out")), "left_anti")
+    again = cut_lineage(by_id.where(F.col("first") & (F.col("rows") > 1)).select(F.col(key).alias("_id")), "repeated-ids")
+    if again.isEmpty():
+        return kept
+    again, repeated = broadcast_if_small(again), col(key).eqNullSafe(F.col("_id"))
+    return kept.join(again, repeated, "left_anti").unionByName(kept.join(again, repeated, "left_semi").dropDuplicates())
 
 
 SQL = r"""

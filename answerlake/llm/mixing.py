@@ -48,32 +48,41 @@ def _sum(columns):
     return total
 
 
-def _worded(docs: DataFrame, key: str, text: str, keep: dict) -> DataFrame:
-    """id, words (with a blank one before or after the text's ends) and the text."""
-    whole = F.coalesce(col(text).cast("string"), F.lit(""))
-    return (docs.select(col(key).alias("doc"), whole.alias("text"), *[c.alias(n) for n, c in keep.items()])
-            .withColumn("words", F.split(F.lower("text"), SPLIT)))
-
-
-def _features(worded: DataFrame, typical: dict, keep: dict) -> DataFrame:
-    """doc, n_tokens and one small number per feature."""
-    last = F.size("words")
-    blank = (F.col("words")[0] == "").cast("int") + F.when(
-        last > 1, (F.element_at("words", -1) == "").cast("int")).otherwise(0)
-    counted = (worded.withColumn("different", F.array_distinct("words"))
-               .withColumn("n_tokens", (last - blank).cast("long")))
-    chars = F.char_length("text")
-    symbols = chars - F.char_length(F.translate("text", "#*$%&|<>!", ""))
+def _let(value, body):
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _whole(text: str):
+    return F.coalesce(col(text).cast("string"), F.lit(""))
+
+
+def _words(text):
+    """The words of a text, with a blank one before or after where the text's ends are no word."""
+    return F.split(F.lower(text), SPLIT)
+
+
+def _features(text, words, different, typical: dict):
+    """n_tokens and one small number per feature, as one struct."""
+    last = F.size(words)
+    blank = (words[0] == "").cast("int") + F.when(
+        last > 1, (F.element_at(words, -1) == "").cast("int")).otherwise(0)
+    n_tokens, chars = (last - blank).cast("long"), F.char_length(text)
+    symbols = chars - F.char_length(F.translate(text, "#*$%&|<>!", ""))
 
     def share(part, whole):
         return F.when(whole > 0, F.least(F.lit(BINS - 1), F.floor(BINS * part / whole))).otherwise(0).cast("int")
 
-    features = [share(4 * symbols, chars), share(F.size("different"), F.size("words")),
-                F.least(F.lit(BINS - 1), F.floor(F.log2(F.col("n_tokens") + 1) * 0.75)).cast("int")]
-    for words in typical.values():
-        hits = F.size(F.array_intersect("different", F.array(*[F.lit(w) for w in words]))) if words else F.lit(0)
+    features = [share(4 * symbols, chars), share(F.size(different), last),
+                F.least(F.lit(BINS - 1), F.floor(F.log2(n_tokens + 1) * 0.75)).cast("int")]
+    for own in typical.values():
+        hits = F.size(F.array_intersect(different, F.array(*[F.lit(w) for w in own]))) if own else F.lit(0)
         features.append(F.least(F.lit(BINS - 1), hits).cast("int"))
-    return counted.select("doc", "n_tokens", *keep, *[f.alias(f"f{i}") for i, f in enumerate(features)])
+    return F.struct(n_tokens.alias("n_tokens"), *[f.alias(f"f{i}") for i, f in enumerate(features)])
+
+
+def _described(text, typical: dict):
+    return _let(_words(text), lambda w: _let(F.array_distinct(w), lambda d: _features(text, w, d, typical)))
 
 
 def _sample(labels: DataFrame, key: str, domain: str, rows: int) -> DataFrame:
@@ -81,12 +90,12 @@ def _sample(labels: DataFrame, key: str, domain: str, rows: int) -> DataFrame:
     return cut_lineage(used.orderBy(F.xxhash64("doc"), "doc", "domain").limit(rows), "sample")
 
 
-def _typical_words(worded: DataFrame, sample: DataFrame, domains: list) -> dict:
+def _typical_words(texts: DataFrame, sample: DataFrame, domains: list) -> dict:
     """Words of each domain whose document frequency is far above that of the others."""
     sized = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sized.values())
-    counted = (worded.join(F.broadcast(sample), "doc")
-               .select("domain", F.explode(F.array_distinct("words")).alias("word")).where("word <> ''")
+    counted = (texts.join(F.broadcast(sample), "doc")
+               .select("domain", F.explode(F.array_distinct(_words("text"))).alias("word")).where("word <> ''")
                .groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}")
                                       for i, d in enumerate(domains)]))
     all_n = _sum([F.col(f"n{i}") for i in range(len(domains))])
@@ -103,8 +112,9 @@ def _typical_words(worded: DataFrame, sample: DataFrame, domains: list) -> dict:
             for i, d in enumerate(domains)}
 
 
-def _posteriors(features: DataFrame, sample: DataFrame, domains: list) -> list:
-    """A column p_i per domain, from the bin frequencies of the sample."""
+def _posteriors(features: DataFrame, sample: DataFrame, domains: list):
+    """A function from a struct of features to the posteriors p0, p1, ... as a struct, from
+    the bin frequencies of the sample."""
     names = [c for c in features.columns if c.startswith("f") and c[1:].isdigit()]
     stacked = ", ".join(f"{i}, {n}" for i, n in enumerate(names))
     rows = (features.select("doc", *names).join(F.broadcast(sample), "doc")
@@ -112,25 +122,30 @@ def _posteriors(features: DataFrame, sample: DataFrame, domains: list) -> list:
             .groupBy("domain", "feature", "bin").agg(F.count(F.lit(1)).alias("n")).collect())
     n = {(r["domain"], r["feature"], r["bin"]): r["n"] for r in rows}
     size = {d: sum(v for (e, f, _), v in n.items() if e == d and f == 0) for d in domains}
-    logs = []
-    for d in domains:
-        parts = [F.lit(math.log((size[d] + 1) / (sum(size.values()) + len(domains))))]
-        for f, name in enumerate(names):
-            table_ = [math.log((n.get((d, f, b), 0) + 0.1) / (size[d] + 0.1 * BINS)) for b in range(BINS)]
-            parts.append(F.element_at(F.array(*[F.lit(x) for x in table_]), F.col(name) + 1))
-        logs.append(_sum(parts))
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    weights = [F.exp(x - top) for x in logs]
-    return [F.round(w / _sum(weights), 4) for w in weights]
-
-
-def _rate(history: list, n_domains: int, max_rate: float):
-    """The rate after the steps so far, from columns p0, p1, ..."""
+    prior = [math.log((size[d] + 1) / (sum(size.values()) + len(domains))) for d in domains]
+    tables = [[[math.log((n.get((d, f, b), 0) + 0.1) / (size[d] + 0.1 * BINS)) for b in range(BINS)]
+               for f in range(len(names))] for d in domains]
+
+    def posteriors(features):
+        logs = F.array(*[_sum([F.lit(prior[i]), *[
+            F.element_at(F.array(*[F.lit(x) for x in tables[i][f]]), features[name] + 1)
+            for f, name in enumerate(names)]]) for i in range(len(domains))])
+        scaled = lambda x: F.transform(x, lambda y: F.exp(y - F.array_max(x)))
+        return _let(logs, lambda x: _let(scaled(x), lambda w: _let(
+            F.aggregate(w, F.lit(0.0), lambda a, y: a + y),
+            lambda total: F.struct(*[F.round(w[i] / total, 4).alias(f"p{i}") for i in range(len(domains))]))))
+
+    return posteriors
+
+
+def _rate(history: list, n_domains: int, max_rate: float, p=None):
+    """The rate after the steps so far, from posteriors: a struct, or columns p0, p1, ..."""
+    own = [F.col(f"p{d}") if p is None else p[f"p{d}"] for d in range(n_domains)]
     if not history:
         return F.lit(min(1.0, max_rate))
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in history])
     return F.aggregate(steps, F.lit(min(1.0, max_rate)), lambda r, g: F.least(
-        F.lit(float(max_rate)), F.greatest(F.lit(0.0), r - _sum([F.col(f"p{d}") * g[d] for d in range(n_domains)]))))
+        F.lit(float(max_rate)), F.greatest(F.lit(0.0), r - _sum([own[d] * g[d] for d in range(n_domains)]))))
 
 
 def _solve(matrix: list, right: list) -> list:
@@ -198,39 +213,56 @@ def _fit(scored: DataFrame, targets: dict, anchor: str, max_rate: float) -> list
     return history
 
 
+def _copies(rate, doc, seed: int):
+    chance = F.pmod(F.xxhash64(doc, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    return F.when(F.abs(rate - F.round(rate)) < 0.001, F.round(rate)).otherwise(
+        F.floor(rate + chance)).cast("int")
+
+
+def _model(docs, labels, targets, anchor, key, text, label_key, domain, sample_rows, max_rate):
+    """Typical words, compact features of all documents, posteriors, and the steps of the fit."""
+    domains = list(targets)
+    sample = _sample(labels.where(col(domain).isin(domains)), label_key, domain, sample_rows)
+    texts = docs.select(col(key).alias("doc"), _whole(text).alias("text"))
+    typical = _typical_words(texts, sample, domains)
+    features = cut_lineage(texts.select("doc", _described(F.col("text"), typical).alias("own"))
+                           .select("doc", "own.*"), "features")
+    posteriors = _posteriors(features, sample, domains)
+    scored = features.select("n_tokens", posteriors(F.struct(*features.columns[2:])).alias("p"))
+    history = _fit(scored.select("n_tokens", "p.*"), targets, anchor, max_rate)
+    return typical, features, posteriors, history
+
+
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict, anchor: str, key: str = "doc_id",
                  text: str = "text", label_key: str = "doc_id", domain: str = "domain",
-                 sample_rows: int = SAMPLE_ROWS, max_rate: float = 4.0, seed: int = 0,
-                 keep: dict = None) -> DataFrame:
-    """Per document: key, ``keep`` columns, n_tokens, p_<domain>, rate, copies."""
-    keep, domains = keep or {}, list(targets)
-    sample = _sample(labels.where(col(domain).isin(domains)), label_key, domain, sample_rows)
-    worded = _worded(docs, key, text, keep)
-    typical = _typical_words(worded, sample, domains)
-    features = cut_lineage(_features(worded, typical, keep), "features")
-    scores = _posteriors(features, sample, domains)
-    history = _fit(features.select("n_tokens", *[p.alias(f"p{d}") for d, p in enumerate(scores)]),
-                   targets, anchor, max_rate)
-    rate = F.round(_rate(history, len(domains), max_rate), 6)
-    chance = F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    whole = F.when(F.abs(F.col("rate") - F.round("rate")) < 0.001, F.round("rate")).otherwise(
-        F.floor(F.col("rate") + chance))
-    return (features.select("doc", *keep, "n_tokens", *[p.alias(f"p{d}") for d, p in enumerate(scores)])
-            .withColumn("rate", rate)
-            .select(F.col("doc").alias(key), *keep, "n_tokens",
-                    *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)],
-                    "rate", whole.cast("int").alias("copies")))
-
-
-def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict, anchor: str,
-                    max_rate: float = 1.0, **options) -> DataFrame:
-    """The documents, each as often as ``copies`` says; same columns."""
-    keep = {f"given_{i}": col(c) for i, c in enumerate(docs.columns)}
-    found = mixing_rates(docs, labels, targets, anchor, max_rate=max_rate, keep=keep, **options)
-    kept = found.where(F.col("copies") > 0)
-    if max_rate > 1:
-        kept = kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return kept.select(*[F.col(f"given_{i}").alias(c) for i, c in enumerate(docs.columns)])
+                 sample_rows: int = SAMPLE_ROWS, max_rate: float = 4.0, seed: int = 0) -> DataFrame:
+    """Per document: key, n_tokens, p_<domain>, rate, copies."""
+    domains = list(targets)
+    _, features, posteriors, history = _model(docs, labels, targets, anchor, key, text, label_key, domain,
+                                              sample_rows, max_rate)
+    rated = features.select("doc", "n_tokens", _let(posteriors(F.struct(*features.columns[2:])), lambda p: F.struct(
+        *[p[f"p{i}"].alias(f"p_{d}") for i, d in enumerate(domains)],
+        F.round(_rate(history, len(domains), max_rate, p), 6).alias("rate"))).alias("own"))
+    return (rated.select(F.col("doc").alias(key), "n_tokens", "own.*",
+                         _copies(F.col("own.rate"), F.col("doc"), seed).alias("copies")))
+
+
+def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict, anchor: str, key: str = "doc_id",
+                    text: str = "text", label_key: str = "doc_id", domain: str = "domain",
+                    sample_rows: int = SAMPLE_ROWS, max_rate: float = 1.0, seed: int = 0) -> DataFrame:
+    """The documents, each as often as ``copies`` says; same columns.
+
+    The copies are computed from the text once more, so documents are neither shuffled
+    nor stored.
+    """
+    typical, _, posteriors, history = _model(docs, labels, targets, anchor, key, text, label_key, domain,
+                                             sample_rows, max_rate)
+    copies = _let(_described(_whole(text), typical), lambda f: _let(posteriors(f), lambda p: _let(
+        F.round(_rate(history, len(targets), max_rate, p), 6), lambda rate: _copies(rate, col(key), seed))))
+    if max_rate <= 1:
+        return docs.where(copies > 0)
+    repeated = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), copies.alias("copies")).where("copies > 0")
+    return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:

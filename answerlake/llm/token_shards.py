@@ -40,7 +40,7 @@ from answerlake.runtime import shared_dir
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 8192, 20_240_117, 6
 VOCABULARY, END = "byte_bpe_50k.tiktoken", 50_256
-CHUNK_CACHE, BATCH = 300_000, 4096
+CHUNK_CACHE, BATCH = 200_000, 4096
 
 # The encoder's pattern never joins a character to white space after it, so a text is
 # the sum of these chunks: a word with the blank before it, or a run of white space.
