@@ -16,6 +16,7 @@ carried; an empty table leaves the cache as it is. Extra columns are not read.
 """
 
 import hashlib
+import os
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -27,7 +28,7 @@ from answerlake.llm.common import col, per_text, table, utf8
 from answerlake.runtime import cut_lineage, shared_dir
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
-WORD_CACHE, ENCODE_BATCH = 500_000, 20_000
+WORD_CACHE, ENCODE_BATCH = 150_000, 1_000
 CACHE_SCHEMA = "version binary, digest binary, n_tokens long"
 
 
@@ -41,6 +42,7 @@ class Counter:
     """Token counts of texts, word by word."""
 
     def __init__(self, vocabulary: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
@@ -111,12 +113,18 @@ def _different(held: int = 64 << 20):
 
 
 def _encode(vocabulary, version):
+    """Batches (digest, form), equal digests in one task, to a count for each digest."""
     def work(batches):
-        count = Counter(vocabulary.value)
+        count, seen = Counter(vocabulary.value), set()
         for batch in batches:
-            counts = [count(t) for t in utf8(batch.column(1))]
+            digests, counts = [], []
+            for digest, form in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if digest not in seen:
+                    seen.add(digest)
+                    digests.append(digest)
+                    counts.append(count(form.as_py().encode()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([version] * len(counts), pa.binary()), batch.column(0).cast(pa.binary()),
+                [pa.array([version] * len(counts), pa.binary()), pa.array(digests, pa.binary()),
                  pa.array(counts, pa.int64())], names=["version", "digest", "n_tokens"])
     return work
 
@@ -136,13 +144,15 @@ def token_counts(docs: DataFrame, cache: str, key: str = "doc_id", text: str = "
         try:
             found = spark.read.schema(CACHE_SCHEMA).parquet(cache)
         except AnalysisException:
-            found = spark.createDataFrame([], CACHE_SCHEMA)
+            return None
         return found.where(F.col("version") == F.lit(version)).select("digest", "n_tokens").dropDuplicates(["digest"])
 
-    # one row of each missing digest carries the text to the encoder
-    forms = docs.select(col(text).cast("string").alias("text")).mapInArrow(_different(), "digest binary, form string")
-    misses = forms.join(stored().select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
-    misses.mapInArrow(_encode(sent, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
+    # the texts of missing digests meet at the encoder, which takes one of each
+    misses, known = docs.select(col(text).cast("string").alias("text")).mapInArrow(
+        _different(), "digest binary, form string"), stored()
+    if known is not None:
+        misses = misses.join(known.select("digest"), "digest", "left_anti")
+    misses.repartition("digest").mapInArrow(_encode(sent, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
     return (keyed.join(stored(), "digest", "left")
             .withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("long")))
             .select(F.col("doc_key").alias(key), "n_bytes", "n_tokens",
