@@ -251,3 +251,35 @@ def test_pipeline_stages(spark, sf):
             assert decontaminate.contamination(docs, items).where("contaminated").count() == 0
     assert kept["token_shards"] == kept["mixing_weights"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == kept["token_shards"]
+
+
+def test_pipeline_removes_near_copies_of_five_words_at_80(spark, sf):
+    import corpus_pipeline
+
+    r, docs = random.Random(8), []
+    for i in range(40):  # pairs with none to five changed words
+        w = [f"w{r.randrange(10 ** 6)}" for _ in range(120)]
+        docs.append((2 * i, " ".join(w)))
+        for _ in range(i % 6):
+            w[r.randrange(len(w))] = f"c{r.randrange(10 ** 6)}"
+        docs.append((2 * i + 1, " ".join(w)))
+    docs += [(100 + i, t) for i, t in enumerate(("a b c d", "A B c d", "a b c", None, "", "a b c d e", "a b c d e f"))]
+    shingles = lambda w: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    for given in (docs, [(x.doc_id, x.text) for x in table.collect()]):
+        sets = {i: shingles((t or "").encode().translate(jaccard_join.LOWER).split()) for i, t in given}
+        of = {i: i for i in sets}
+
+        def root(i):
+            while of[i] != i:
+                i = of[i]
+            return i
+
+        for a in sets:
+            for b in sets:
+                o = len(sets[a] & sets[b]) if a < b else 0
+                if o and 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o):
+                    x, y = sorted((root(a), root(b)))
+                    of[y] = x
+        kept = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(given, "doc_id long, text string"), sf)
+        assert sorted(x.doc_id for x in kept.collect()) == sorted({root(i) for i in sets})
