@@ -7,12 +7,23 @@ Lines are the ``\\n``-split parts of the text, words ``[^\\x20\\x09-\\x0D]+``.
 A line fails when it has at least five words and
 
 * punctuation: more than 15 of 100 of its word characters are ASCII punctuation,
-  or it has ten words or more and none of ``.!?;:`` or the ideographic full stop
-  or ellipsis;
+  or it has ten words or more and no sentence end of any script, neither itself nor
+  in the lines that continue it or that it continues;
 * navigation: at least four of its words are separators and they are at least
   15 of 100 words;
 
-or, whatever its length up to 30 words, when it has a boilerplate phrase.
+or, whatever its length up to 30 words, when it has a boilerplate phrase between word
+boundaries (a plural s may follow).
+
+A line is continued by the next one, with no line without words between, when the next
+starts with a lower-case letter, or when both stand in a hard-wrapped paragraph: at
+least three lines of at most 120 characters, each but the last too long to take the
+next one's first word within the longest. Thai and Lao have no sentence ends; a letter
+of theirs counts as one.
+
+The SQL of ``op1_quality_rules`` is older than these rules: it knows ``.!?;:``, the
+ideographic full stop and the ellipsis, looks at lines alone and finds phrases anywhere.
+The query keeps to it with ``plain``.
 
 Cases: a null text has no words (all counts 0, base_failed, not kept) and stays
 null when cleaned; an empty text likewise stays empty. Lines without words never
@@ -33,6 +44,20 @@ from answerlake.llm.common import (CONTINUATION, SPACES, code_points, col, ids_o
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 SYMBOLS = b"#*$%&|<>"
 ENDS = (b".", b"!", b"?", b";", b":", "。".encode(), "…".encode())
+# Sentence_Terminal of Unicode beyond ASCII, semicolons, colons and ellipses
+# of other scripts, and the letters of Thai and Lao.
+ALL_ENDS = (
+    r".!?;:\u2026\u22ef\u037e\u055c\u055e\u0589\u061b\u061d-\u061f\u06d4\u0700-\u0702\u07f9\u0837\u0839\u083d\u083e"
+    r"\u0964\u0965\u0f0d-\u0f11\u104a\u104b\u1362-\u1368\u166e\u1735\u1736\u17d4-\u17d6\u1803\u1809\u1944\u1945"
+    r"\u1aa8-\u1aab\u1b5a\u1b5b\u1b5e\u1b5f\u1b7d\u1b7e\u1c3b\u1c3c\u1c7e\u1c7f\u203c\u203d\u2047-\u2049\u2e2e"
+    r"\u2e3c\u2e53\u2e54\u3002\ua4ff\ua60e\ua60f\ua6f3\ua6f7\ua876\ua877\ua8ce\ua8cf\ua92f\ua9c8\ua9c9\uaa5d-\uaa5f"
+    r"\uaaf0\uaaf1\uabeb\ufe12-\ufe16\ufe19\ufe52\ufe54-\ufe57\uff01\uff0e\uff1a\uff1b\uff1f\uff61\U00010a56\U00010a57"
+    r"\U00010f55-\U00010f59\U00010f86-\U00010f89\U00011047\U00011048\U000110be-\U000110c1\U00011141-\U00011143"
+    r"\U000111c5\U000111c6\U000111cd\U000111de\U000111df\U00011238\U00011239\U0001123b\U0001123c\U000112a9"
+    r"\U0001144b\U0001144c\U000115c2\U000115c3\U000115c9-\U000115d7\U00011641\U00011642\U0001173c-\U0001173e"
+    r"\U00011944\U00011946\U00011a42\U00011a43\U00011a9b\U00011a9c\U00011c41\U00011c42\U00011ef7\U00011ef8"
+    r"\U00011f43\U00011f44\U00016a6e\U00016a6f\U00016af5\U00016b37\U00016b38\U00016b44\U00016e98\U0001bc9f\U0001da88"
+    r"\u0e01-\u0e2f\u0e5a\u0e5b\u0e81-\u0eae")
 # Words that only separate menu items.
 SEPARATORS = frozenset(x.encode() for x in ("|", ">", "<", "/", "»", "«", "›", "•", "·", "::", "-", "–"))
 # Phrases of notices and menus, in lower case.
@@ -44,24 +69,66 @@ PHRASES = (
 )
 MIN_WORDS, LONG_LINE, PHRASE_WORDS = 5, 10, 30
 PUNCTUATION_PCT, SEPARATOR_PCT, MIN_SEPARATORS = 15, 15, 4
+WRAP_LINES, WRAP_CHARS = 3, 120
 MAX_LOST_PCT = 50
 MIN_DOC_WORDS, REPEAT_WIDTH, MAX_REPEAT_PCT = 10, 5, 20
 
 COUNTS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "n_lines long, n_cut_lines long, cut_chars long")
-_phrase = re.compile("|".join(map(re.escape, PHRASES)).encode())
+_anywhere = re.compile("|".join(map(re.escape, PHRASES)).encode())
+_phrase = re.compile(rb"(?<![0-9a-z_\x80-\xff])(?:" + _anywhere.pattern + rb")s?(?![0-9a-z_\x80-\xff])")
+_end = re.compile(f"[{ALL_ENDS}]")
+
+
+def ends(line: bytes) -> bool:
+    """Whether the line has a sentence end of any script."""
+    return any(e in line for e in ENDS) or not line.isascii() and bool(_end.search(line.decode("utf-8", "replace")))
+
+
+def continued(lines: list) -> list:
+    """For the lines of a paragraph but the last, whether the next continues them."""
+    chars = [code_points(line.strip()) for line in lines]
+    first = [code_points(line.split(None, 1)[0]) for line in lines]
+    longest = max(chars)
+    if len(lines) >= WRAP_LINES and longest <= WRAP_CHARS and all(
+            n + 1 + w > longest for n, w in zip(chars, first[1:])):
+        return [True] * (len(lines) - 1)
+    return [line.lstrip()[:4].decode("utf-8", "ignore")[:1].islower() for line in lines[1:]]
 
 
-def line_fails(line: bytes, words: list) -> bool:
+def without_end(lines: list) -> list:
+    """For each line whether it and the lines that it is read with have no sentence end."""
+    out, paragraph = [], []
+
+    def close():
+        joined = [*continued(paragraph), False] if len(paragraph) > 1 else [False] * len(paragraph)
+        begin = 0
+        for k, more in enumerate(joined):
+            if not more:
+                out.extend([not any(map(ends, paragraph[begin:k + 1]))] * (k + 1 - begin))
+                begin = k + 1
+        paragraph.clear()
+
+    for line in lines:
+        if line.strip():
+            paragraph.append(line)
+        else:
+            close()
+            out.append(False)
+    close()
+    return out
+
+
+def line_fails(line: bytes, words: list, no_end: bool, phrase=_phrase) -> bool:
     n = len(words)
-    if n <= PHRASE_WORDS and _phrase.search(line.lower()):
+    if n <= PHRASE_WORDS and phrase.search(line.lower()):
         return True
     if n < MIN_WORDS:
         return False
     marks = len(line) - len(line.translate(None, PUNCTUATION))
     if 100 * marks > PUNCTUATION_PCT * len(line.translate(None, SPACES + CONTINUATION)):
         return True
-    if n >= LONG_LINE and not any(e in line for e in ENDS):
+    if n >= LONG_LINE and no_end:
         return True
     parts = sum(w in SEPARATORS for w in words)
     return parts >= MIN_SEPARATORS and 100 * parts >= SEPARATOR_PCT * n
@@ -79,17 +146,20 @@ def repeated_words(words: list, width: int = REPEAT_WIDTH) -> int:
     return int(np.count_nonzero(np.cumsum(edge[:-1])))
 
 
-def judge(text: bytes) -> tuple:
+def judge(text: bytes, plain: bool = False) -> tuple:
     """The counts of a text as in ``COUNTS``, and the text without failing lines."""
     if not text:
         return (0,) * 8, text
     words, lines = text.split(), text.split(b"\n")
     full, kept, n_cut, cut_chars = [], [], 0, 0
-    for line in lines:
+    no_end = [not any(e in line for e in ENDS) for line in lines]
+    if not plain and any(no_end):
+        no_end = without_end(lines)
+    for line, open_end in zip(lines, no_end):
         own = line.split()
         if own:
             full.append(line)
-            if line_fails(line, own):
+            if line_fails(line, own, open_end, _anywhere if plain else _phrase):
                 n_cut += 1
                 cut_chars += len(line.translate(None, SPACES + CONTINUATION))
                 continue
@@ -100,11 +170,11 @@ def judge(text: bytes) -> tuple:
     return counts, b"\n".join(kept) if n_cut else text
 
 
-def _counts():
+def _counts(plain: bool = False):
     names = [c.split()[0] for c in COUNTS.split(", ")]
 
     def apply(texts):
-        rows = [judge(t) for t in texts]
+        rows = [judge(t, plain) for t in texts]
         made = {n: pa.array([r[0][k] for r in rows], pa.int64()) for k, n in enumerate(names)}
         made["clean"] = pa.array([r[1] for r in rows], pa.binary()).cast(pa.string())
         made["clean_chars"] = pa.array([None if r[1] is None else code_points(r[1]) for r in rows],
@@ -121,9 +191,9 @@ def _verdicts(df: DataFrame) -> DataFrame:
                         & (100 * F.col("cut_chars") <= MAX_LOST_PCT * F.col("word_chars"))))
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", plain: bool = False) -> DataFrame:
     """One row per document: key, counts, base_failed, kept, and the cleaned text."""
-    judged = per_text(docs, text, _counts, f"{COUNTS}, clean string, clean_chars long",
+    judged = per_text(docs, text, lambda: _counts(plain), f"{COUNTS}, clean string, clean_chars long",
                       {key: col(key)})
     return _verdicts(judged)
 
@@ -199,4 +269,4 @@ FROM counts"""
 
 @query("op1_quality_rules", _sql())
 def op1(spark, sf_dir):
-    return quality_rules(table(spark, sf_dir, "documents")).drop("clean", "clean_chars")
+    return quality_rules(table(spark, sf_dir, "documents"), plain=True).drop("clean", "clean_chars")

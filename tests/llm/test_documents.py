@@ -46,6 +46,25 @@ def test_cleaning_keeps_columns_and_cuts_lines(spark, odd_docs):
     assert quality.clean_documents(odd_docs).columns == odd_docs.columns
 
 
+def test_prose_of_other_scripts_and_wrapped_prose_stays():
+    import textwrap
+
+    hindi = "समिति की बैठक मंगलवार को हुई और उसने अगले वर्ष निष्कर्ष प्रकाशित करने का निर्णय लिया।"
+    urdu = "کمیٹی کا اجلاس منگل کو ہوا اور اس نے اگلے سال نتائج شائع کرنے کا فیصلہ کیا۔"
+    amharic = "ኮሚቴው ማክሰኞ ተሰብስቦ ግኝቶቹን በሚቀጥለው ዓመት ጸደይ ላይ ለማተም ከብዙ ውይይት በኋላ ወሰነ።"
+    prose = ("The committee that met on Tuesday in the old hall near the river agreed after a long debate with many of "
+             "the members of the council to publish all of its findings in the spring of next year together with Anna "
+             "Berg and the other people who had written large parts of the report. ") * 2
+    for text in (hindi, urdu, amharic, textwrap.fill(prose, 72), textwrap.fill(hindi * 4, 70), textwrap.fill(prose, 80) + "\n\n" + hindi,
+                 "The design in this dialog in turn may spread more light.", "A catalog in print, and newsletterish words."):
+        assert quality.judge(text.encode())[1] == text.encode()
+    menu = "Home News Sport Weather Contact About Help Jobs Press Shop Deals"
+    for cut in (menu, "Sign in", "Read more", "Our newsletters", menu + "\nSport Weather Contact About Help Jobs Press Shop Deals Home News"):
+        kept = quality.judge(f"{cut}\n{hindi}".encode())[1]
+        assert kept == hindi.encode(), cut
+    assert quality.judge("They design in steel.".encode(), plain=True)[1] == b""  # as the SQL of op1
+
+
 def test_token_counts_are_those_of_the_library(spark, odd_docs, no_docs, tmp_path):
     from tokenizers import Tokenizer
 
