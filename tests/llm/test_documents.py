@@ -185,6 +185,33 @@ def test_licenses_whole_and_nearly_whole(spark, odd_docs, no_docs):
     assert licenses.scan(odd_docs).where("n_licenses > 0").count() == 0 and licenses.scan(no_docs).count() == 0
 
 
+def test_licenses_versions_variants_and_whole_texts():
+    import pkgutil
+
+    scanner = licenses.Scanner(licenses.wordings())
+    gpl = "This work is licensed under the GNU {}General Public License, version {}."
+    cc = "This work is licensed under a Creative Commons {} 4.0 International License."
+    notices = {
+        "Licensed under the MIT License": "mit", gpl.format("", 2): "gpl-2.0", gpl.format("", 3): "gpl-3.0",
+        gpl.format("Lesser ", 3): "lgpl-3.0", gpl.format("Lesser ", 2.1): "lgpl-2.1", gpl.format("Affero ", 3): "agpl-3.0",
+        cc.format("Attribution"): "cc-by-4.0", cc.format("Attribution-ShareAlike"): "cc-by-sa-4.0",
+        cc.format("Attribution-NonCommercial"): "cc-by-nc-4.0", "Licensed under CC BY-NC-SA 3.0.": "cc-by-nc-sa-3.0",
+        "SPDX-License-Identifier: Apache-2.0": "apache-2.0", licenses.TEMPLATES["gpl-notice"]: "gpl-notice",
+        licenses.TEMPLATES["gpl-notice"].replace("version 3", "version 2"): "gpl-2.0-notice",
+        licenses.TEMPLATES["gpl-notice"].replace("General", "Lesser General"): "lgpl-3.0-notice"}
+    for text, name in notices.items():
+        for around in ("", "some words of a page stand here " * 5):
+            assert set(scanner([(around + text + " " + around).encode()])[0]) == {name}, text
+    for name, text, _, _ in licenses.wordings():
+        assert name in scanner([b"one two three " * 50 + text.encode() + b" four five"])[0], (name, text[:80])
+    kin = {n for _, n, _ in licenses.WHOLE} | {"bsd-2-clause-text", "bsd-3-clause-text"}
+    for file, name, _ in licenses.WHOLE:
+        text = pkgutil.get_data("answerlake.llm", f"license_texts/{file}.txt")
+        assert set(scanner([b"front " * 900 + text])[0]) & kin == {name}
+    agpl = pkgutil.get_data("answerlake.llm", "license_texts/GPL-3.txt").replace(b"GNU General", b"GNU Affero General")
+    assert not set(scanner([agpl])[0]) & kin
+
+
 def test_every_literal_notice_of_the_corpus_is_found(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: set(r.licenses.split(",")) for r in licenses.scan(docs).collect()}
