@@ -35,8 +35,8 @@ MAX_DEPTH = 8
 _attributes = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
 _tag = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|textarea|select|iframe|object|canvas|title|button)\b[^>]*>"
-    r".*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|svg|math|textarea|select|iframe|object|canvas|title|button)(?=[\s/>])"
+    rf"(?:(?<=svg){_attributes}/>|(?<=math){_attributes}/>|{_attributes}>.*?(?:</\1\s*>|\Z)|[^>]*>.*?(?:</\1\s*>|\Z))"
     r"|<[!?][^>]*>"
     rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_attributes}|[^>]*)>", re.S | re.I)
 _attribute = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)

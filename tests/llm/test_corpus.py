@@ -38,6 +38,13 @@ def test_main_text_of_small_pages(tree):
         assert main_text.main_text(page, tree) == want
 
 
+def test_custom_and_self_closed_elements_drop_no_text(tree):
+    text = "The whole of the committee met on Tuesday and agreed to publish its findings in the spring."
+    for inside in (f"<svg-icon><p>{text}</p></svg-icon>", f"<button-group></button-group><title-bar/><p>{text}</p>",
+                   f"<svg class='x'/><math/><p>{text}</p>", f"<svg><title>x</title></svg><p>{text}</p>"):
+        assert main_text.main_text(f"<article>{inside}</article>", tree) == text, inside
+
+
 def test_tree_on_its_table_and_pages_table(spark, sf, tree):
     rows = main_text.labelled_blocks()
     assert sum(main_text.decide(tree, f) != bool(y) for f, y in rows) <= 0.01 * len(rows)
