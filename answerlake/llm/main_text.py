@@ -5,7 +5,11 @@ and other elements whose content is no prose leave no text. A block is described
 word count and link density, those of the blocks before and after it, whether it stands
 in the article, whether the page has one, and whether an element around it (inside the
 article, if it is in one) is a menu, header, footer, sidebar, notice, advert, form or
-comment list by its tag, role, class or id. A decision tree, trained on a small table of
+comment list by its tag, role, class or id. A name that only says that something is there
+or not (no-sidebar, has-comments, comments-open) marks nothing. A form marks neither an
+article that it holds nor blocks of which it has over half of the page's words. What else
+is around an ``article`` or ``main`` by class or id marks it only on pages that have
+another that nothing marks. A decision tree, trained on a small table of
 labelled blocks that is built from rules below, decides which blocks stay.
 
 Character references are decoded, white space inside a block becomes one blank, blocks
@@ -58,27 +62,35 @@ aside complementary contentinfo widget related recommended recommendations cooki
 alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social comment
 comments reply replies respond disqus discussion pagination pager toolbar hidden teaser outbrain taboola
 disclaimer""".split())
+# Words of names that describe a layout or state, not the element's role.
+STATES = frozenset("""no not non without has have with is open opened on off closed enabled disabled layout template
+theme columns""".split())
 ARTICLE_MARKS = frozenset("article content post entry story main maincontent articlebody".split())
 
 
 def _named(attributes: str) -> tuple:
-    """The words of class, id and role, and whether the element is hidden."""
-    words, hidden = set(), False
+    """The words of class, id and role, those that may mark, and whether the element is hidden."""
+    words, marks, hidden = set(), set(), False
     for name, value in _attribute.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            words.update(w.lower() for w in _part.findall(value))
+            for one in value.split():
+                parts = {w.lower() for w in _part.findall(one)}
+                words |= parts
+                if not parts & STATES:
+                    marks |= parts & MARKS
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    return words, hidden
+    return words, marks, hidden
 
 
 def blocks(page: str) -> list:
     """(text, words, words in links, in article, marked, heading, item) of each block."""
     out, parts, state = [], [], {"links": 0, "heading": 0, "item": 0}
-    stack = []  # open containers: (tag, in article, marked)
+    # open containers: (tag, in article, marked, marked around the article only, in a form)
+    stack, nothing = [], ("", False, (False, False), False, False)
     in_link = 0
 
     def flush():
@@ -86,8 +98,8 @@ def blocks(page: str) -> list:
         text = " ".join(references.unescape("".join(t for t, _ in parts)).split())
         if text:
             linked = sum(len(t.split()) for t, in_a in parts if in_a)
-            _, article, marked = stack[-1] if stack else ("", False, False)
-            out.append((text, len(text.split()), linked, article, marked, state["heading"], state["item"]))
+            _, article, marked, around, form = stack[-1] if stack else nothing
+            out.append((text, len(text.split()), linked, article, marked, state["heading"], state["item"], around, form))
         parts = []
 
     at = 0
@@ -118,18 +130,26 @@ def blocks(page: str) -> list:
                     break
             in_link = 0
             continue
-        _, article, marked = stack[-1] if stack else ("", False, False)
-        words, hidden = _named(m.group(4) or "")
-        own = tag in MARKED_TAGS or tag == "header" and not article or hidden or bool(words & MARKS)
-        enters = not article and not own and (tag in ARTICLE_TAGS or "main" in words or bool(
-            words & ARTICLE_MARKS and tag in ("div", "section")))
+        _, article, (firm, soft), around, form = stack[-1] if stack else nothing
+        words, marks, hidden = _named(m.group(4) or "")
+        named = bool(marks)
+        own = tag in MARKED_TAGS and tag != "form" or tag == "header" and not article or hidden
+        in_form = form or tag == "form"
+        enters = not article and not own and not named and tag != "form" and (
+            tag in ARTICLE_TAGS or "main" in words or bool(words & ARTICLE_MARKS and tag in ("div", "section")))
         if tag in ("body", "html"):
-            own = enters = False
-        stack.append((tag, article or enters, marked or own))
+            own = named = enters = False
+        if enters:
+            in_form = False
+            if tag in ARTICLE_TAGS or "main" in words:
+                soft, around = False, soft
+        stack.append((tag, article or enters, (firm or own, soft or named), around, in_form))
     if at < len(page):
         parts.append((page[at:], in_link > 0))
     flush()
-    return out
+    clear = any(b[3] and not any(b[4]) and not b[7] for b in out)
+    whole = 2 * sum(b[1] for b in out if b[8] and not b[3]) > sum(b[1] for b in out)
+    return [(*b[:4], any(b[4]) or b[7] and clear or b[8] and (b[3] or not whole), *b[5:7]) for b in out]
 
 
 def described(found: list) -> list:

@@ -38,6 +38,21 @@ def test_main_text_of_small_pages(tree):
         assert main_text.main_text(page, tree) == want
 
 
+def test_wrappers_keep_the_article(tree):
+    one, two = (f"The {w} of the committee met on Tuesday and agreed to publish its findings in the spring." for w in ("head", "whole"))
+    article = f"<p>{one}</p><p>{two}</p>"
+    menu = "<nav><a href='/'>Home page</a></nav>"
+    for page in (f"<form id='aspnetForm'>{menu}<article>{article}</article></form>", f"<form>{menu}<div>{article}</div></form>",
+                 f"<div class='no-sidebar'>{menu}<article>{article}</article></div>", f"<div class='has-sidebar'>{article}</div>",
+                 f"<article class='post comments-open'>{article}</article>", f"<main class='content share-on'>{article}</main>",
+                 f"<div class='page sidebar'><article>{article}</article></div>"):
+        assert main_text.main_text(page, tree) == f"{one} {two}", page
+    # a form or a marked element beside the article, and articles in them, stay out
+    for extra in (f"<form><p>{two}</p></form>", f"<aside><article><p>{two}</p></article></aside>",
+                  f"<div class='related'><article><p>{two}</p></article></div>", f"<section id='comments'><article>{two}</article></section>"):
+        assert main_text.main_text(f"<article><p>{one}</p><p>{one}</p></article>{extra}", tree) == f"{one} {one}", extra
+
+
 def test_custom_and_self_closed_elements_drop_no_text(tree):
     text = "The whole of the committee met on Tuesday and agreed to publish its findings in the spring."
     for inside in (f"<svg-icon><p>{text}</p></svg-icon>", f"<button-group></button-group><title-bar/><p>{text}</p>",
