@@ -253,12 +253,17 @@ class Scanner:
             for g in {g for g in must if g is not None}:
                 at = np.flatnonzero(grams == g) // step
                 held[g] = {w for x in np.unique(at).tolist() for w in range(max(0, x - steps + 1), x + 1)}
+            # only windows that hold such an n-gram, where every template has one
+            some = None if None in must else np.array(sorted(set().union(*held.values())), np.int64)
+            if some is not None and not len(some):
+                continue
             for key, wanted in zip(keys, least):
                 low = (filled * key).reshape(n, step).min(axis=1)
                 window = low.copy()
                 for k in range(1, min(steps, n)):
                     np.minimum(window[:n - k], low[k:], out=window[:n - k])
-                for w in np.flatnonzero(np.isin(window, wanted)).tolist():
+                near = np.flatnonzero(np.isin(window, wanted)) if some is None else some[np.isin(window[some], wanted)]
+                for w in near.tolist():
                     hits.update((w, t) for t in np.flatnonzero(wanted == window[w]).tolist()
                                 if must[t] is None or w in held[must[t]])
             for w, t in sorted(hits):
