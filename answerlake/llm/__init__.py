@@ -15,5 +15,6 @@ def query(name, sql=None):
 
 
 def load():
-    from answerlake.llm import decontaminate, jaccard_join, language, licenses, main_text, mixing, quality, token_counts, token_shards, warc  # noqa: F401
+    from answerlake.llm import collocations, decontaminate, jaccard_join, language, licenses, main_text, mixing, quality  # noqa: F401
+    from answerlake.llm import simhash, token_counts, token_shards, warc, whitening  # noqa: F401
     return QUERIES, ORACLES
