@@ -102,13 +102,9 @@ def bit_orders(blocks: int, radius: int) -> list:
     return orders
 
 
-def _placed(code, moves):
-    """A column of codes with its blocks moved."""
-    out = F.lit(0).cast("long")
-    for start, width, to in moves:
-        field = F.shiftrightunsigned(code, start).bitwiseAND(F.lit((1 << width) - 1))
-        out = out.bitwiseOR(F.shiftleft(field, to))
-    return out
+def _placed(codes: np.ndarray, moves) -> np.ndarray:
+    """The codes with their blocks moved."""
+    return _restored(codes, [(to, width, start) for start, width, to in moves])
 
 
 def _restored(codes: np.ndarray, moves) -> np.ndarray:
@@ -118,11 +114,22 @@ def _restored(codes: np.ndarray, moves) -> np.ndarray:
     return out
 
 
-def _gray_rank(code):
-    """Position of a code in Gray order, as a column of signed longs that sort alike."""
+def _ranks(codes: np.ndarray) -> np.ndarray:
+    """Positions of codes in Gray order, as signed numbers that sort alike."""
     for shift in (1, 2, 4, 8, 16, 32):
-        code = code.bitwiseXOR(F.shiftrightunsigned(code, shift))
-    return code.bitwiseXOR(F.lit(-1 << 63))
+        codes = codes ^ (codes >> np.uint64(shift))
+    return (codes ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _ranked(orders):
+    """Batches (fp) to the rank of each code in each order of bits."""
+    def work(batches):
+        for batch in batches:
+            codes = batch.column(0).to_numpy().view(np.uint64)
+            for i, (_, moves) in enumerate(orders):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), i, np.int32)), pa.array(_ranks(_placed(codes, moves)))],
+                                                 names=["order", "rank"])
+    return work
 
 
 def _codes(ranks: np.ndarray) -> np.ndarray:
@@ -296,10 +303,8 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # one spare block as soon as nodes under 64 / (radius + 1) shared bits outgrow a chunk
     blocks = radius + 1 if count >> (64 // (radius + 1)) <= CHUNK else radius + 2
     orders = bit_orders(blocks, radius)
-    ranks = F.array(*[F.struct(F.lit(i).alias("order"), _gray_rank(_placed(F.col("fp"), moves)).alias("rank"))
-                      for i, (_, moves) in enumerate(orders)])
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(orders) * count // CODES_A_TASK)
-    found = cut_lineage(nodes.select(F.inline(ranks)).repartitionByRange(tasks, "order", "rank")
+    found = cut_lineage(nodes.select("fp").mapInArrow(_ranked(orders), "order int, rank long").repartitionByRange(tasks, "order", "rank")
                         .sortWithinPartitions("order", "rank").mapInArrow(_index_range(orders, radius), OUT), "links", folder)
     links = found.where(F.col("codes").isNull()).select("a", "b").union(
         _piece_links(found.where(F.col("codes").isNotNull()), orders, radius))
