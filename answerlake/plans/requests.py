@@ -21,13 +21,20 @@ from answerlake.sources.requests import explode_chat_info
 @dataclass(frozen=True)
 class Outcome:
     """Responses of a batch, its log rows, the tables after it, and the wall
-    times (seconds) of its embedding and search steps."""
+    times (seconds) of its embedding and search steps.
+
+    ``changes`` are the same changes of the entry table as small frames (hits, removes,
+    inserts) for ``EntryTable.apply``, which writes no entry that they leave alone.
+    ``query_log`` is the stored log after the batch, if one was given: without the rows of
+    truncated tenants, with the rows of the batch."""
 
     responses: DataFrame
     log: DataFrame
     entries: DataFrame
     collections: DataFrame
     times: dict
+    changes: dict
+    query_log: DataFrame = None
 
 
 def op_times(spark, times: dict, at: Column) -> DataFrame:
@@ -65,7 +72,7 @@ def _delete(entries: DataFrame, removes: DataFrame) -> DataFrame:
 def handle_requests(requests: DataFrame, entries: DataFrame, collections: DataFrame,
                     embed: Callable, dim: int, gate: Gate = Gate(),
                     key: Callable = with_role, normalize: bool = True, at: Column = None,
-                    **search) -> Outcome:
+                    query_log: DataFrame = None, **search) -> Outcome:
     """Run parsed requests (see ``parse_requests``) against the tables.
 
     ``key(query)`` shapes the cache key and ``embed(rows)`` adds ``embedding``
@@ -145,6 +152,12 @@ def handle_requests(requests: DataFrame, entries: DataFrame, collections: DataFr
                         F.when(F.col("error_code") == S.BAD_TYPE, 0.0)
                         .otherwise(round(sum(times.values()), 2)).alias("delta_time"))
 
+    inserts = rows.drop("request_id")
     after = _delete(M.apply_hit_counts(entries, found, at), routed["remove"])
-    after = M.insert_entries(after, rows.drop("request_id"), normalize=normalize, at=at)
-    return Outcome(named(responses), named(log), after.select(*entries.columns), known, times)
+    after = M.insert_entries(after, inserts, normalize=normalize, at=at)
+    if query_log is not None:
+        truncated = routed["remove"].where("remove_type = 'truncate_by_model'").select("model").distinct()
+        query_log = query_log.join(broadcast_if_small(cut_lineage(truncated, "truncated")), "model", "left_anti") \
+            .select(*query_log.columns).unionByName(log, allowMissingColumns=True)
+    return Outcome(named(responses), named(log), after.select(*entries.columns), known, times,
+                   {"hits": found, "removes": routed["remove"], "inserts": inserts}, query_log)
