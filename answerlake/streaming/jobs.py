@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from answerlake.operators.maintain import fresh_entries
+from answerlake.operators.maintain import assign_ids, fresh_entries, new_entries
 from answerlake.plans.cache_lookup import cache_lookup
-from answerlake.runtime import scratch
+from answerlake.runtime import cut_lineage, remove_folder, scratch
+from answerlake.sources.entry_table import folder_names
+
+RUNS = 8
 
 
 def _start(writer, checkpoint: str, trigger: dict = None) -> StreamingQuery:
@@ -21,11 +24,12 @@ def _start(writer, checkpoint: str, trigger: dict = None) -> StreamingQuery:
 
 
 def _each_batch(stream: DataFrame, run, path: str, checkpoint: str, trigger: dict = None,
-                mode: str = "append"):
+                folders: list = ()):
     def write(batch: DataFrame, batch_id: int):
         with scratch(batch.sparkSession):  # a batch leaves only its output
-            run(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    return _start(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint, trigger)
+            (run(batch, batch_id).write.mode("overwrite").partitionBy(*folders)
+             .parquet(f"{path}/batch={batch_id}"))
+    return _start(stream.writeStream.outputMode("append").foreachBatch(write), checkpoint, trigger)
 
 
 def stream_lookup(requests: DataFrame, entries, path: str, checkpoint: str,
@@ -40,31 +44,30 @@ def stream_lookup(requests: DataFrame, entries, path: str, checkpoint: str,
                        path, checkpoint, trigger)
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Ids written by other batches."""
-    try:
-        written = spark.read.parquet(path)
-    except Exception as e:  # no folder before the first batch
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return spark.createDataFrame([], "id string")
-    return written.where(F.col("batch") != batch_id).select("id")
-
-
 def stream_insert(rows: DataFrame, path: str, checkpoint: str, embed, at=None,
-                  trigger: dict = None, entries=None) -> StreamingQuery:
-    """Append the entries of a (model, question, answer) stream.
-
-    ``embed(batch)`` adds the vectors. Ids are content hashes, so rows seen
-    before, in this or an earlier batch, add nothing; nor do rows that the table which
-    ``entries()`` gives holds live.
+                  trigger: dict = None, entries=None, within: str = None) -> StreamingQuery:
+    """Append the entries of a (model, question, answer) stream, a folder for each tenant.
+
+    Ids are content hashes, and the state store of the query remembers those it has seen, so
+    rows seen before, in this or an earlier batch, add nothing, and no batch reads what
+    earlier ones wrote. ``embed(batch)`` adds the vectors and is called with new rows only.
+    ``within`` forgets an id that long (event time ``ts``) after it came; a job that forgets
+    should give ``entries()``, the entry table: rows that it holds live add nothing either.
+    Large states want the RocksDB state store.
     """
-    def insert(batch, batch_id):
-        known = _earlier(batch.sparkSession, path, batch_id)
-        if entries is not None:
-            known = known.union(entries().where(~F.col("is_deleted")).select("id"))
-        return fresh_entries(known, embed(batch), at=at)
-    return _each_batch(rows, insert, path, checkpoint, trigger)
+    ided = assign_ids(rows)
+    if within:
+        once = _timed(ided, within).dropDuplicatesWithinWatermark(["id"]) if rows.isStreaming else ided
+    else:
+        once = ided.dropDuplicates(["id"])
+
+    def insert(batch, _):
+        batch = cut_lineage(batch, "batch")  # the state is advanced once
+        new = embed(batch)
+        if entries is None:
+            return new_entries(new, at=at)
+        return fresh_entries(entries().select("id", "is_deleted"), new, at=at)
+    return _each_batch(once, insert, path, checkpoint, trigger, ["model"])
 
 
 def stream_log(responses: DataFrame, path: str, checkpoint: str,
@@ -119,18 +122,64 @@ def append_windows(windows: DataFrame, path: str, checkpoint: str,
                   .option("path", path), checkpoint, trigger)
 
 
+def _runs(spark: SparkSession, path: str) -> list:
+    """Complete runs (first batch, last batch) of counters."""
+    found = [n for n in folder_names(spark, path) if n.startswith("run=")]
+    return [tuple(int(x) for x in n.removeprefix("run=").split("-")) for n in found
+            if "_SUCCESS" in folder_names(spark, f"{path}/{n}")]
+
+
+def _run_path(path: str, run: tuple) -> str:
+    return f"{path}/run={run[0]:012d}-{run[1]:012d}"
+
+
+def _covered(run: tuple, runs: list) -> bool:
+    return any(other != run and other[0] <= run[0] and run[1] <= other[1] for other in runs)
+
+
+def _counters(spark: SparkSession, path: str, runs: list) -> DataFrame:
+    """Counters only grow, so the newest of an entry is its largest."""
+    schema = "id string, hit_count long"
+    rows = spark.read.schema(schema).parquet(*[_run_path(path, r) for r in runs]) if runs else \
+        spark.createDataFrame([], schema)
+    return rows.groupBy("id").agg(F.max("hit_count").alias("hit_count"))
+
+
 def stream_hit_counts(responses: DataFrame, path: str, checkpoint: str,
                       trigger: dict = None) -> StreamingQuery:
-    """Running hits per entry: each batch writes the counters it changed."""
+    """Running hits per entry: each batch writes a run of the counters it changed.
+
+    Every ``RUNS`` batches their runs are merged to one, every ``RUNS * RUNS`` batches those,
+    and so on, so the live runs are fewer than ``RUNS`` a level. A run counts from the moment it
+    is complete; runs that it covers are deleted at the next merge, so a reader that has
+    listed them has ``RUNS`` batches to read them. A batch that runs again writes the same.
+    """
+    session = responses.sparkSession
     counts = (responses.where("cache_hit").groupBy(F.col("hit_id").alias("id"))
               .agg(F.count(F.lit(1)).alias("hit_count")))
-    return _each_batch(counts, lambda batch, _: batch, path, checkpoint, trigger, "update")
+
+    def write(batch: DataFrame, batch_id: int):
+        before = _runs(session, path)
+        batch.write.mode("overwrite").parquet(_run_path(path, (batch_id, batch_id)))
+        width = RUNS
+        while (batch_id + 1) % width == 0:
+            whole = (batch_id + 1 - width, batch_id)
+            runs = [r for r in _runs(session, path) if r != whole and whole[0] <= r[0] and r[1] <= whole[1]]
+            live = [r for r in runs if not _covered(r, runs)]
+            _counters(session, path, live).write.mode("overwrite").parquet(_run_path(path, whole))
+            width *= RUNS
+        if width > RUNS:
+            for run in before:
+                if run[1] != batch_id and _covered(run, before):
+                    remove_folder(session, _run_path(path, run))
+
+    return _start(counts.writeStream.outputMode("update").foreachBatch(write), checkpoint, trigger)
 
 
 def current_hit_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Newest counter of each entry from the folder of ``stream_hit_counts``."""
-    return spark.read.parquet(path).groupBy("id").agg(
-        F.max_by("hit_count", "batch").alias("hit_count"))
+    """Newest counter of each entry from the folder of ``stream_hit_counts``, also while it runs."""
+    runs = _runs(spark, path)
+    return _counters(spark, path, [r for r in runs if not _covered(r, runs)])
 
 
 def dedup_requests(requests: DataFrame, delay: str = "1 hour") -> DataFrame:

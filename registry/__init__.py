@@ -14,6 +14,6 @@ def query(name, sql=None):
 
 
 def load():
-    from registry import (analytics, embedding, evaluation, lifecycle, maintenance,  # noqa: F401
+    from registry import (analytics, deltas, embedding, evaluation, lifecycle, maintenance,  # noqa: F401
                           retention, search, shaping, sources, streams)
     return QUERIES, ORACLES

@@ -31,13 +31,23 @@ def fresh_rows(spark, sf):
 _ID = "sha256('team_a_1' || chr(31) || key || chr(31) || answer)"
 
 
-@query("insert_entries", f"""WITH {t.PAIRS}, {t.ENTRIES}
-SELECT id, model, question, answer, answer_type, hit_count, is_deleted, len(embedding)::INTEGER AS dim FROM entries
-UNION ALL SELECT DISTINCT {_ID}, 'team_a_1', key, answer, 0::INTEGER, 0::BIGINT, false, {DIM}::INTEGER FROM pairs""")
+# new rows with their unit vectors
+FRESH = f"""{t.PAIRS}, asked AS (SELECT conv_id || ':' || turn AS ref, question AS text FROM pairs),
+{sql_tokens('asked', 'ref')},
+means AS (SELECT ref, list(x ORDER BY pos) AS v FROM (SELECT w.ref, d.pos, avg(d.x) AS x
+  FROM words w JOIN dims d ON w.token = d.token GROUP BY ALL) GROUP BY ref),
+fresh AS (SELECT {_ID} AS id, 'team_a_1' AS model, key AS question, answer,
+    any_value(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))) AS embedding
+  FROM pairs p JOIN means m ON m.ref = conv_id || ':' || turn GROUP BY ALL)"""
+
+
+@query("insert_entries", f"""WITH {FRESH}, {t.ENTRIES}
+SELECT id, model, question, answer, answer_type, hit_count, is_deleted, {t.sql_digest()} FROM entries
+UNION ALL SELECT id, model, question, answer, 0::INTEGER, 0::BIGINT, false, {t.sql_digest()} FROM fresh""")
 def insert_entries(spark, sf):
     grown = M.insert_entries(t.entries(spark, sf), fresh_rows(spark, sf), at=at())
     return grown.select("id", "model", "question", "answer", "answer_type", "hit_count",
-                        "is_deleted", F.size("embedding").alias("dim"))
+                        "is_deleted", *t.vector_digest())
 
 
 @query("assign_ids", f"WITH {t.PAIRS} SELECT conv_id, turn, {_ID} AS id FROM pairs")
@@ -76,12 +86,14 @@ def _sides(spark, sf):
         F.transform(side("user"), lambda q: F.array(F.char_length(q))).alias("embeddings"))
 
 
-@query("mm_insert", f"""WITH kinds AS (SELECT vec_id, CASE WHEN label < 7 AND label <> 1 AND label > 2 THEN 'mm'
+@query("mm_insert", f"""WITH kinds AS (SELECT vec_id, embedding, CASE WHEN label < 7 AND label <> 1 AND label > 2 THEN 'mm'
     WHEN label < 7 AND label <> 1 THEN 'image' WHEN label > 2 THEN 'text' END AS mm_type FROM embeddings)
 SELECT sha256({t.sql_norm(t.sql_tenant('vec_id'))} || chr(31) || 'q' || vec_id || chr(31) || 'a' || vec_id
     || chr(31) || '0=' || mm_type || chr(31) || '1=http://img/' || vec_id || chr(31) || '2=img' || vec_id) AS id,
   mm_type, 'http://img/' || vec_id AS image_url, 'img' || vec_id AS image_id,
-  (CASE mm_type WHEN 'mm' THEN 128 ELSE 64 END)::INTEGER AS dim FROM kinds WHERE mm_type IS NOT NULL""")
+  {t.sql_digest("v")} FROM (SELECT *, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS v
+    FROM (SELECT *, (CASE mm_type WHEN 'mm' THEN list_concat(embedding, list_reverse(embedding)) WHEN 'text' THEN list_reverse(embedding)
+      ELSE embedding END)::DOUBLE[] AS w FROM kinds)) WHERE mm_type IS NOT NULL""")
 def mm_insert(spark, sf):
     e = t.entries(spark, sf)
     label = F.col("label")
@@ -89,8 +101,7 @@ def mm_insert(spark, sf):
                     F.when((label < 7) & (label != 1), F.col("embedding")).alias("image_vec"),
                     F.when(label > 2, F.reverse("embedding")).alias("text_vec"))
     good, _ = E.mm_concat(rows)
-    return M.new_entries(good, at=at()).select("id", "mm_type", "image_url", "image_id",
-                                             F.size("embedding").alias("dim"))
+    return M.new_entries(good, at=at()).select("id", "mm_type", "image_url", "image_id", *t.vector_digest())
 
 
 def responses(spark, sf):
@@ -148,12 +159,12 @@ def purge_deleted(spark, sf):
 
 
 @query("compact_entries", f"""WITH {t.ENTRIES} SELECT id, model, question, is_deleted,
-  len(embedding)::INTEGER AS dim FROM entries WHERE NOT is_deleted""")
+  {t.sql_digest()} FROM entries WHERE NOT is_deleted""")
 def compact_entries(spark, sf):
     path = shared_dir(spark, "compact")
     M.compact_entries(t.entries(spark, sf).select(*S.ENTRY.names), path)
     return spark.read.schema(S.ENTRY).parquet(path).select(
-        "id", "model", "question", "is_deleted", F.size("embedding").alias("dim"))
+        "id", "model", "question", "is_deleted", *t.vector_digest())
 
 
 @query("ids_by_state", f"WITH {t.ENTRIES} SELECT id, is_deleted AS marked FROM entries")

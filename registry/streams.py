@@ -7,25 +7,29 @@ from answerlake.streaming import jobs as J
 from registry import query
 from registry import tables as t
 from registry.evaluation import _lookup_sql
-from registry.maintenance import _ID, at, fresh_rows
-from registry.embedding import DIM
+from registry.maintenance import FRESH, at, fresh_rows
 
 _FILES = 4
 
 
-def as_stream(df, name, per_batch=1):
+def as_stream(df, name, per_batch=1, time=None):
     """Write a frame as several files and read them as a stream of batches.
 
-    ``per_batch=None`` reads all files in one batch: the files are not in time
-    order, and a watermark would drop the later read ones as late.
+    With ``time`` a file holds a span of that column and the spans are read in order, as a
+    watermark drops rows that come much later than others.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.repartition(_FILES).write.parquet(path)
-    reader = spark.readStream.schema(df.schema)
-    if per_batch:
-        reader = reader.option("maxFilesPerTrigger", per_batch)
-    return reader.parquet(path)
+    if time is None:
+        df.repartition(_FILES).write.parquet(path)
+    else:
+        low, high = df.agg(F.min(time), F.max(time)).first()
+        cuts = [low + (high - low) * i / _FILES for i in range(1, _FILES)]
+        for a, b in zip([None, *cuts], [*cuts, None]):
+            span = df if a is None else df.where(F.col(time) >= F.lit(a).cast("timestamp_ntz"))
+            span = span if b is None else span.where(F.col(time) < F.lit(b).cast("timestamp_ntz"))
+            span.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 def _run(start, spark, name):
@@ -44,14 +48,12 @@ def stream_lookup(spark, sf):
     return spark.read.parquet(path).drop("batch").withColumn("rank", F.round("rank", 6))
 
 
-@query("stream_insert", f"""WITH {t.PAIRS} SELECT DISTINCT {_ID} AS id, 'team_a_1' AS model, key AS question, answer,
-  {DIM}::INTEGER AS dim FROM pairs""")
+@query("stream_insert", f"""WITH {FRESH} SELECT id, model, question, answer, {t.sql_digest()} FROM fresh""")
 def stream_insert(spark, sf):
     rows = fresh_rows(spark, sf).select("model", "question", "answer", "embedding")
     twice = as_stream(rows.unionByName(rows), "chat", per_batch=2)
     path = _run(lambda p, c: J.stream_insert(twice, p, c, lambda batch: batch, at=at()), spark, "entries")
-    return spark.read.parquet(path).select("id", "model", "question", "answer",
-                                           F.size("embedding").alias("dim"))
+    return spark.read.parquet(path).select("id", "model", "question", "answer", *t.vector_digest())
 
 
 @query("stream_log", f"""WITH {t.LOG} SELECT log_id, ts, error_code, cache_hit, model, query, answer, delta_time FROM query_log""")
@@ -71,7 +73,7 @@ GROUP BY window_start, model"""
 
 
 def _hit_rate(spark, sf, slide=None):
-    log = as_stream(t.query_log(spark, sf), "log", per_batch=None)
+    log = as_stream(t.query_log(spark, sf), "log", time="ts")
     path = _run(lambda p, c: J.append_windows(J.hit_rate_windows(log, slide=slide), p, c),
                 spark, "hit-rate")
     return spark.read.parquet(path).withColumn("hit_rate", F.round("hit_rate", 6))
@@ -95,7 +97,7 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS sessio
 FROM numbered GROUP BY user_id, session
 HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_sessions(spark, sf):
-    turns = as_stream(t.read(spark, sf, "events").select("user_id", "ts"), "turns", per_batch=None)
+    turns = as_stream(t.read(spark, sf, "events").select("user_id", "ts"), "turns", time="ts")
     path = _run(lambda p, c: J.append_windows(J.session_windows(turns), p, c), spark, "sessions")
     return spark.read.parquet(path)
 
@@ -113,6 +115,6 @@ def stream_dedup_requests(spark, sf):
     """Every request arrives twice."""
     e = t.read(spark, sf, "events").select(F.col("event_id").cast("string").alias("request_id"),
                                            "ts", F.col("event_type").alias("type"))
-    twice = as_stream(e.unionByName(e), "requests", per_batch=None)
+    twice = as_stream(e.unionByName(e), "requests", time="ts")
     path = _run(lambda p, c: J.stream_dedup_requests(twice, p, c), spark, "requests-once")
     return spark.read.parquet(path)

@@ -13,6 +13,20 @@ def read(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def vector_digest(c="embedding"):
+    """First, last and weighted sum of a vector, for comparison with SQL."""
+    wide = lambda x: x.cast("double")
+    total = F.aggregate(F.transform(F.col(c), lambda x, i: wide(x) * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return [F.size(c).alias("dim"), F.round(wide(F.col(c)[0]), 6).alias("v_first"),
+            F.round(wide(F.element_at(c, -1)), 6).alias("v_last"), F.round(total, 5).alias("v_sum")]
+
+
+def sql_digest(v="embedding"):
+    wide = f"(({v})::FLOAT[]::DOUBLE[])"
+    return f"""len({v})::INTEGER AS dim, round({wide}[1], 6) AS v_first, round({wide}[-1], 6) AS v_last,
+  round(list_sum(list_transform({wide}, lambda x, i: x * i)), 5) AS v_sum"""
+
+
 def tenant(i):
     return F.element_at(F.array(*[F.lit(t) for t in TENANTS]), (i % 4 + 1).cast("int"))
 

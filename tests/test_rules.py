@@ -392,3 +392,25 @@ def test_lookup_with_a_callers_evaluator(spark):
         got = {r.request_id: r.hit_query for r in cache_lookup(asked, entries, k=2, pick=pick, scorer=scorer).collect()}
         assert got == {"r1": "wanted", "r2": ""}
     assert {r.hit_query for r in cache_lookup(asked, entries, k=2).collect()} == {"near"}
+
+
+def test_exact_percentiles_over_many_ranges(spark):
+    """Ranks across range borders, ties, null groups and values, against numpy."""
+    import random
+
+    import numpy as np
+
+    from answerlake.operators.analytics import exact_percentiles
+
+    r, rows = random.Random(4), []
+    for g, n in (("a", 1), ("b", 2), ("c", 501), (None, 300), ("d", 0)):
+        rows += [(g, r.choice([r.gauss(0, 1e6), 1.5, -3.0, 1e-300, float(r.randrange(5))])) for _ in range(n)]
+    df = spark.createDataFrame([*rows, ("c", None), ("e", None)], "g string, v double")
+    for task_rows in (7, 1 << 20):
+        got = {x.g: x for x in exact_percentiles(df, ["g"], "v", [0.0, 0.25, 0.5, 0.95, 1.0], task_rows).collect()}
+        assert set(got) == {"a", "b", "c", None}
+        for g, x in got.items():
+            v = [y for k, y in rows if k == g]
+            assert x.rows == len(v) and x.mean == pytest.approx(np.mean(v), rel=1e-9)
+            assert x.p == pytest.approx(np.quantile(v, [0.0, 0.25, 0.5, 0.95, 1.0]).tolist(), rel=1e-12)
+    assert exact_percentiles(df.limit(0), ["g"], "v", [0.5]).count() == 0

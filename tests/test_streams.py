@@ -126,3 +126,63 @@ def test_insert_checks_the_entry_table(spark):
     add(spark, src, [("m", "q", "a"), ("m", "q2", "a")], schema)
     J.stream_insert(stream(spark, src, schema), out, ck, embed, entries=lambda: held).awaitTermination()
     assert [r.question for r in spark.read.parquet(out).collect()] == ["q2"]
+
+
+def test_insert_reads_no_earlier_output(spark):
+    """Ids seen before are known by the state alone, over many batches and a restart."""
+    from answerlake.runtime import remove_folder
+
+    src, out, ck = (shared_dir(spark, n) for n in ("in", "out", "ck"))
+    schema = "model string, question string, answer string"
+    calls = []
+
+    def embed(rows):
+        calls.append(rows.count())
+        return rows.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
+    run = lambda: J.stream_insert(stream(spark, src, schema), out, ck, embed).awaitTermination()
+    for i in range(4):
+        add(spark, src, [("m", "q0", "a"), (f"m{i % 2}", f"q{i}", "a"), (f"m{i % 2}", f"q{i}", "a")], schema)
+    run()
+    assert calls == [2, 1, 1, 1]  # only new rows are embedded
+    rows = spark.read.parquet(out)
+    assert sorted((r.model, r.question) for r in rows.collect()) == [
+        ("m", "q0"), ("m0", "q0"), ("m0", "q2"), ("m1", "q1"), ("m1", "q3")]
+    assert "/model=m1/" in "".join(rows.where("model = 'm1'").inputFiles())
+    remove_folder(spark, out)
+    add(spark, src, [("m", "q0", "a"), ("m", "new", "a")], schema)
+    run()
+    assert [r.question for r in spark.read.parquet(out).collect()] == ["new"]
+
+
+def test_insert_that_forgets_asks_the_table(spark):
+    src, out, ck = (shared_dir(spark, n) for n in ("in", "out", "ck"))
+    schema = "model string, question string, answer string, ts timestamp_ntz"
+    embed = lambda rows: rows.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
+    held = new_entries(embed(spark.createDataFrame([("m", "q", "a", at(0))], schema)))
+    for hour in (0, 5, 10, 15):
+        add(spark, src, [("m", "q", "a", at(hour)), ("m", f"q{hour}", "a", at(hour))], schema)
+    J.stream_insert(stream(spark, src, schema), out, ck, embed, entries=lambda: held, within="1 hour").awaitTermination()
+    assert sorted(r.question for r in spark.read.parquet(out).collect()) == ["q0", "q10", "q15", "q5"]
+
+
+def test_hit_count_runs_are_merged(spark, monkeypatch):
+    """Same counters at any time, few live runs, and a reader never misses a run."""
+    monkeypatch.setattr(J, "RUNS", 3)
+    src, out, ck = (shared_dir(spark, n) for n in ("in", "out", "ck"))
+    schema = "hit_id string, cache_hit boolean"
+    want, n = {}, 0
+    for batches in (5, 14, 10):
+        for _ in range(batches):
+            rows = [(f"e{(n * k) % 7}", True) for k in range(1, 4)] + [("miss", False)]
+            add(spark, src, rows, schema)
+            for e, hit in rows:
+                if hit:
+                    want[e] = want.get(e, 0) + 1
+            n += 1
+        J.stream_hit_counts(stream(spark, src, schema), out, ck).awaitTermination()
+        assert {r.id: r.hit_count for r in J.current_hit_counts(spark, out).collect()} == want
+        runs = J._runs(spark, out)
+        live = sorted(r for r in runs if not J._covered(r, runs))
+        assert live[0][0] == 0 and live[-1][1] == n - 1 and all(a[1] + 1 == b[0] for a, b in zip(live, live[1:]))
+        assert len(live) <= 2 * 4 and len(runs) <= 16
+    assert J.current_hit_counts(spark, shared_dir(spark, "none")).count() == 0
