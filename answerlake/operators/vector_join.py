@@ -232,12 +232,13 @@ def _result_schema(df, by, q_type, e_type):
 
 
 def _tile_join(q: DataFrame, e: DataFrame, by: list, reducer: str, arg, metric: str,
-               tile_rows: int) -> DataFrame:
-    def tiles(df, name):
-        return df.groupBy(*by).agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int").alias(name))
-
-    counts = broadcast_if_small(tiles(q, "_nq").join(tiles(e, "_ne"), by))
+               tile_rows: int, counts: DataFrame = None) -> DataFrame:
+    """``counts`` has the rows of both sides, (by..., _q_rows, _e_rows), where the caller knows them."""
+    if counts is None:
+        rows = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+        counts = rows(q, "_q_rows").join(rows(e, "_e_rows"), by)
+    tiles = lambda name: F.ceil(F.col(name) / F.lit(tile_rows)).cast("int")
+    counts = broadcast_if_small(counts.select(*by, tiles("_q_rows").alias("_nq"), tiles("_e_rows").alias("_ne")))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     repeat = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = (q.join(counts, by).withColumn("_qt", spread("_q", "_nq"))
@@ -366,9 +367,9 @@ def knn(requests: DataFrame, entries: DataFrame, k: int = 1, metric: str = "l2",
 
 
 def tile_matches(q: DataFrame, e: DataFrame, by: list, radius: float, metric: str = "l2",
-                 first_smaller: bool = False, tile_rows: int = TILE_ROWS) -> DataFrame:
+                 first_smaller: bool = False, tile_rows: int = TILE_ROWS, counts: DataFrame = None) -> DataFrame:
     """Matches within ``radius`` between frames of (by..., _q|_e, _v)."""
-    return _tile_join(q, e, by, "first" if first_smaller else "within", radius, metric, tile_rows)
+    return _tile_join(q, e, by, "first" if first_smaller else "within", radius, metric, tile_rows, counts)
 
 
 def two_nearest(requests: DataFrame, entries: DataFrame, metric: str = "l2",

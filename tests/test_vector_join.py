@@ -81,29 +81,33 @@ def test_two_nearest(spark):
     assert got == brute(e, q, 2, "l2")
 
 
-@pytest.mark.parametrize("radius", [0.05, 0.5, 20.0])
-def test_range_join_is_exact(spark, radius):
+@pytest.mark.parametrize("radius, reach", [(0.05, 1.0), (0.5, 1.0), (0.5, 0.0), (20.0, 0.5)])
+def test_range_join_is_exact(spark, radius, reach):
+    """By balls and by tiles, with tenants of two dimensions."""
     e, q = data(entries=200, requests=60)
+    wide = lambda rows, n: [(f"w{i}", t, [*v, 0.25, float(len(i) % 2)]) for i, t, v in rows[:n]]
+    e, q = e + wide(e, 70) + [("bad", "hot", None), ("nan", "hot", [float("nan")] * len(e[0][2]))], q + wide(q, 20)
     q.append(("r9999", "hot", q[0][2]))  # a repeated request vector
     got = {(r.request_id, r.id, r.copies) for r in range_join(
         spark.createDataFrame(q, REQUEST), spark.createDataFrame(e, ENTRY), radius,
-        pivots=9, tile_rows=23).collect()}
+        pivots=9, tile_rows=23, reach=reach).collect()}
     want = set()
     groups = {}
     for eid, t, v in e:
-        groups.setdefault((t, tuple(v)), []).append(eid)
+        if eid not in ("bad", "nan"):
+            groups.setdefault((t, tuple(v)), []).append(eid)
     for rid, t, v in q:
         for (tenant, w), ids in groups.items():
-            if tenant == t and ((np.array(v) - np.array(w, dtype=np.float64)) ** 2).sum() <= radius:
+            if tenant == t and len(v) == len(w) and ((np.array(v) - np.array(w, dtype=np.float64)) ** 2).sum() <= radius:
                 want.add((rid, min(ids), len(ids)))
     assert got == want
 
 
-@pytest.mark.parametrize("radius", [0.0, 6.0])
-def test_semantic_dups_is_exact(spark, radius):
+@pytest.mark.parametrize("radius, reach", [(0.0, 1.0), (6.0, 1.0), (6.0, 0.0)])
+def test_semantic_dups_is_exact(spark, radius, reach):
     e, _ = data(entries=150)
     got = {(r.id, r.duplicate_of) for r in semantic_dups(
-        spark.createDataFrame(e, ENTRY), radius, pivots=7, tile_rows=19).collect()}
+        spark.createDataFrame(e, ENTRY), radius, pivots=7, tile_rows=19, reach=reach).collect()}
     want = set()
     for eid, t, v in e:
         near = [o for o, s, w in e if s == t and o < eid
@@ -129,3 +133,24 @@ def test_lsh_recall(spark):
     df = approx.knn_lsh(spark.createDataFrame(q, REQUEST), spark.createDataFrame(e, ENTRY), 1,
                         bucket_length=4.0, tables=8)
     assert recall(found(df), brute(e, q, 1, "l2")) >= 0.8
+
+
+def test_balls_prune_and_write_no_vectors(spark, monkeypatch):
+    """Far apart clusters: few pairs are compared, and the tables written in between hold no cell copies."""
+    from answerlake.operators import range_join as R
+
+    r = np.random.default_rng(3)
+    centers = r.normal(0, 100, (20, 6))
+    rows = [(f"e{i}", "m", (centers[i % 20] + r.normal(0, 0.1, 6)).tolist()) for i in range(600)]
+    written, counts = [], []
+    cut, tiles = R.cut_lineage, R.tile_matches
+    monkeypatch.setattr(R, "cut_lineage", lambda df, name: (written.append((name, df.columns)), cut(df, name))[1])
+    monkeypatch.setattr(R, "tile_matches", lambda q, e, by, radius, **o: (counts.append(o["counts"]), tiles(q, e, by, radius, **o))[1])
+    e = spark.createDataFrame(rows, ENTRY)
+    got = {(x.id, x.duplicate_of) for x in semantic_dups(e, 0.05, tile_rows=100).collect()}
+    v = {i: np.array(w) for i, _, w in rows}
+    want = {(i, min(near)) for i in v if (near := [j for j in v if j < i and ((v[i] - v[j]) ** 2).sum() <= 0.05])}
+    assert got == want
+    assert {n for n, c in written if "_v" in c} == {"vectors", "pivots"}
+    assert "_cell" in counts[0].columns
+    assert counts[0].selectExpr("sum(_q_rows * _e_rows)").first()[0] <= 600 * 600 / 10
