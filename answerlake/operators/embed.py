@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from answerlake.functions.vectors import as_double, is_finite
 from answerlake.runtime import broadcast_if_small, few_rows, salted_join
 
 VECTOR_ROWS, VECTOR_BYTES = 2_000_000, 64 << 20
-WIDE = 64  # dimensions from which sums are made in Arrow batches first
+SLICE_CELLS = 1 << 22
 
 
 def embed_with(df: DataFrame, text_col: str, load: Callable, dim: int,
@@ -37,91 +38,164 @@ def embed_with(df: DataFrame, text_col: str, load: Callable, dim: int,
     return df.withColumn(out, embed(F.col(text_col)))
 
 
-def _weighted_mean(rows: DataFrame, by: list, weight: Column, total: Column, dim: int,
-                   out: str, vec: str = "vec") -> DataFrame:
-    """Mean vector by group, one aggregate per dimension: partial sums are made
-    before the shuffle and vectors are never exploded to rows."""
-    sums = [F.sum(F.col(vec)[i] * weight) / total for i in range(dim)]
-    return rows.groupBy(*by).agg(F.array(*sums).alias(out))
-
-
-def _batch_sums(rows: DataFrame, by: list, vec: str) -> DataFrame:
-    """Rows (by..., n, vec) with ``vec`` already weighted by ``n`` and summed per
-    group inside each Arrow batch; for wide vectors, before the SQL aggregate."""
-    rows = rows.select(*by, F.col("n").cast("double").alias("n"),
-                       F.col(vec).cast("array<double>").alias(vec))
-
+def _sums(by: list, vec: str, ordered: bool):
+    """Batches (by..., n, vec) to rows of the same columns, summed over equal groups: inside
+    each batch, or with ``ordered`` over a whole partition sorted by group, whose groups are
+    held one at a time. Groups without a vector keep a row with n = 0."""
     def run(batches):
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            group = table.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup()
-            order = np.argsort(group.to_numpy(), kind="stable")
-            first = np.flatnonzero(np.diff(group.to_numpy()[order], prepend=-1))
-            n = table["n"].to_numpy()[order]
-            flat = table[vec].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            m = flat.reshape(table.num_rows, -1)[order] * n[:, None]
-            sums = np.add.reduceat(m, first, axis=0)
-            offsets = np.arange(len(first) + 1, dtype=np.int32) * sums.shape[1]
-            out = table.select(by).take(order[first])
-            out = out.append_column("n", pa.array(np.add.reduceat(n, first)))
-            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))
-            yield from out.append_column(vec, vectors).to_batches()
-
-    return rows.mapInArrow(run, rows.schema)
-
-
-def _token_mean(rows: DataFrame, by: list, dim: int, out: str) -> DataFrame:
-    """Mean of (by..., n, vec) rows, weighted by n."""
-    if dim > WIDE:
-        # one sum per (group, dimension): hundreds of aggregates at once are slow
-        cells = _batch_sums(rows, by, "vec").select(*by, "n", F.posexplode("vec").alias("pos", "x"))
-        means = cells.groupBy(*by, "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
-        return (means.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias(out))
-                .withColumn(out, F.col(f"{out}.x")))
-    return _weighted_mean(rows, by, F.col("n"), F.sum("n"), dim, out)
+            group = table.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            first = np.flatnonzero(np.diff(group[order], prepend=-1))
+            vectors = table[vec].combine_chunks()
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0))
+            dim = int(lengths.max())
+            known = (lengths == dim) & (dim > 0)
+            matrix = np.zeros((table.num_rows, dim))
+            if dim:
+                matrix[known] = pc.list_flatten(vectors.filter(pa.array(known))).to_numpy(zero_copy_only=False).reshape(-1, dim)
+            n = np.where(known, table["n"].to_numpy(), 0.0)
+            keys = table.select(by).take(pa.array(order[first]))
+            total, size = np.add.reduceat(matrix[order], first, axis=0), np.add.reduceat(n[order], first)
+            held = yield from _merged(held, keys, total, size, vec) if ordered else _emitted(keys, total, size, vec)
+        if held is not None:
+            yield from _emitted(*held, vec)
+    return run
+
+
+def _emitted(keys: pa.Table, total: np.ndarray, size: np.ndarray, vec: str):
+    offsets = np.arange(len(size) + 1, dtype=np.int32) * total.shape[1]
+    out = keys.append_column("n", pa.array(size)).append_column(
+        vec, pa.ListArray.from_arrays(pa.array(offsets), pa.array(total.ravel())))
+    yield from out.combine_chunks().to_batches()
+
+
+def _merged(held, keys: pa.Table, total: np.ndarray, size: np.ndarray, vec: str):
+    """Emit all but the last group, which may go on; returns it."""
+    if held is not None:
+        if held[0].to_pylist() == keys.slice(0, 1).to_pylist():
+            wide = max(held[1].shape[1], total.shape[1])
+            grow = lambda m: np.pad(m, ((0, 0), (0, wide - m.shape[1])))
+            total = grow(total)
+            total[0] += grow(held[1])[0]
+            size[0] += held[2][0]
+        else:
+            yield from _emitted(*held, vec)
+    if len(size) > 1:
+        yield from _emitted(keys.slice(0, len(size) - 1), total[:-1], size[:-1], vec)
+    return keys.slice(len(size) - 1), total[-1:], size[-1:]
+
+
+def _mean(rows: DataFrame, by: list, out: str, least: float = 0.0, vec: str = "vec") -> DataFrame:
+    """Mean of (by..., n, vec) rows whose ``vec`` is already weighted by ``n``, at any width: whole
+    arrays are summed per batch, the sums meet by group and are merged in order of groups.
+    The mean of a group without vectors is null; ``least`` bounds the divisor from below."""
+    rows = rows.select(*by, F.col("n").cast("double").alias("n"), F.col(vec).cast("array<double>").alias("vec"))
+    parts = rows.mapInArrow(_sums(by, "vec", False), rows.schema)
+    sums = parts.repartition(*by).sortWithinPartitions(*by).mapInArrow(_sums(by, "vec", True), rows.schema)
+    divisor = F.greatest("n", F.lit(least)) if least else F.col("n")
+    mean = F.transform("vec", lambda x: x / divisor)
+    return sums.select(*by, F.when((F.size("vec") > 0) & (divisor > 0), mean).alias(out))
+
+
+class _TokenTable:
+    """A token table measured to be small, as words and a matrix."""
+
+    def __init__(self, rows: pa.Table, dim: int):
+        vectors = rows["vec"].combine_chunks()
+        self.words = rows["token"].combine_chunks()
+        self.matrix = pc.list_flatten(vectors).to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), dim)
+
+    def means(self, lists: pa.Array, window: int = None):
+        """Mean vector of each list's known tokens, or of its windows' means; and whether there is one."""
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        owner = np.repeat(np.arange(len(lists)), lengths)
+        group, groups = owner, len(lists)
+        if window:
+            windows = -(-lengths // window)
+            starts, groups = np.cumsum(windows) - windows, int(windows.sum())
+            group = starts[owner] + (np.arange(len(owner)) - (np.cumsum(lengths) - lengths)[owner]) // window
+        at = np.asarray(pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=self.words), -1))
+        sums, n = self._summed(self.matrix, at[at >= 0], group[at >= 0], groups)
+        if window:
+            good = n > 0
+            sums, n = self._summed(sums / np.maximum(n, 1)[:, None], np.flatnonzero(good),
+                                   np.repeat(np.arange(len(lists)), windows)[good], len(lists))
+        return sums / np.maximum(n, 1)[:, None], n > 0
+
+    @staticmethod
+    def _summed(matrix, at, group, groups):
+        """Sums of rows ``at`` by ``group`` (sorted), in slices of bounded size."""
+        sums, step = np.zeros((groups, matrix.shape[1])), max(1, SLICE_CELLS // max(1, matrix.shape[1]))
+        for s in range(0, len(at), step):
+            own = group[s:s + step]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            sums[own[first]] += np.add.reduceat(matrix[at[s:s + step]], first, axis=0)
+        return sums, np.bincount(group, minlength=groups)
+
+
+def _table_means(docs: DataFrame, id_col: str, words: Column, token_vectors: DataFrame, dim: int, out: str,
+                 window: int = None) -> DataFrame:
+    """Means by a token table that every task holds: no token leaves its text's row."""
+    table = token_vectors.select("token", "vec").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(_TokenTable(table, dim))
+    given = docs.select(id_col, words.alias("words"))
 
+    def run(batches):
+        for batch in batches:
+            means, known = shared.value.means(batch.column(1), window)
+            offsets = np.concatenate([[0], np.cumsum(np.where(known, means.shape[1], 0))]).astype(np.int32)
+            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(means[known].ravel()), mask=pa.array(~known))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["id", "vec"])
 
-def _with_vectors(words: DataFrame, by: list, token_vectors: DataFrame) -> DataFrame:
-    """Rows (by..., n, vec) for the tokens of a text.
+    kind = given.schema[id_col].dataType.simpleString()
+    return given.mapInArrow(run, f"id {kind}, vec array<double>").select(F.col("id").alias(id_col), F.col("vec").alias(out))
 
-    A token table measured to fit the byte bound is broadcast: a text's tokens
-    stay in one task and their sums need one small shuffle. A larger one is
-    joined by shuffle, each token once per group and salted, since one frequent
-    token may stand in every text.
-    """
-    if few_rows(token_vectors, VECTOR_ROWS, VECTOR_BYTES):
-        return words.withColumn("n", F.lit(1)).join(F.broadcast(token_vectors), "token")
+
+def _with_vectors(words: DataFrame, by: list, token_vectors: DataFrame) -> DataFrame:
+    """Rows (by..., n, vec), weighted, for the tokens of a text: each token once per group, joined
+    salted, since one frequent token may stand in every text. Groups without a known
+    token keep a row."""
     counts = words.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("n"))
-    return salted_join(counts, token_vectors, ["token"], "inner", spread=by)
+    return salted_join(counts, token_vectors, ["token"], "left", spread=by).withColumn(
+        "vec", F.transform("vec", lambda x: x.cast("double") * F.col("n")))
 
 
 def embed_token_mean(docs: DataFrame, id_col: str, text_col: str, token_vectors: DataFrame,
                      dim: int, out: str = "embedding") -> DataFrame:
-    """Mean of the vectors of a text's tokens (token_vectors: token, vec)."""
-    words = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
-    rows = _with_vectors(words, [id_col], token_vectors)
-    return _token_mean(rows, [id_col], dim, out)
+    """Mean of the vectors of a text's tokens (token_vectors: token, vec); null for a text without
+    a known token. A token table measured to be small is held by every task."""
+    words = tokens(F.col(text_col))
+    if few_rows(token_vectors, VECTOR_ROWS, VECTOR_BYTES):
+        return _table_means(docs, id_col, words, token_vectors, dim, out)
+    exploded = docs.select(id_col, F.explode_outer(words).alias("token"))
+    return _mean(_with_vectors(exploded, [id_col], token_vectors), [id_col], out)
 
 
 def embed_masked_mean(rows: DataFrame, by: str, dim: int, vec: str = "vec", mask: str = "mask",
                       out: str = "embedding") -> DataFrame:
     """Mask-weighted mean of token vectors; the divisor is at least 1e-9."""
-    return _weighted_mean(rows, [by], F.col(mask), F.greatest(F.sum(mask), F.lit(1e-9)),
-                          dim, out, vec)
+    weighted = rows.select(by, F.col(mask).cast("double").alias("n"), F.transform(
+        vec, lambda x: x.cast("double") * F.col(mask)).alias("vec"))
+    return _mean(weighted, [by], out, 1e-9)
 
 
 def embed_long_windowed(docs: DataFrame, id_col: str, text_col: str, token_vectors: DataFrame,
                         dim: int, window: int = S.TOKEN_WINDOW,
                         out: str = "embedding") -> DataFrame:
     """Long texts: mean vector per window of tokens, then the plain mean of the
-    window means. Texts of one window are simply averaged."""
-    placed = docs.select(id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "token"))
-    words = placed.select(id_col, F.expr(f"pos div {window}").alias("window"), "token")
-    rows = _with_vectors(words, [id_col, "window"], token_vectors)
-    windows = _token_mean(rows, [id_col, "window"], dim, "vec")
-    return _weighted_mean(windows, [id_col], F.lit(1), F.count(F.lit(1)), dim, out)
+    window means. Texts of one window are simply averaged; a text without a known token is null."""
+    words = tokens(F.col(text_col))
+    if few_rows(token_vectors, VECTOR_ROWS, VECTOR_BYTES):
+        return _table_means(docs, id_col, words, token_vectors, dim, out, window)
+    placed = docs.select(id_col, F.posexplode_outer(words).alias("pos", "token"))
+    exploded = placed.select(id_col, F.expr(f"pos div {window}").alias("window"), "token")
+    windows = _mean(_with_vectors(exploded, [id_col, "window"], token_vectors), [id_col, "window"], "vec")
+    return _mean(windows.withColumn("n", F.lit(1)), [id_col], out)
 
 
 def embed_identity(df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:

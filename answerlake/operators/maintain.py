@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from answerlake import schema as S
 from answerlake.functions.vectors import l2_normalize
-from answerlake.runtime import broadcast_if_small
+from answerlake.runtime import broadcast_if_small, cut_lineage
 
 
 def now() -> Column:
@@ -68,16 +68,14 @@ def rejected_vectors(rows: DataFrame) -> DataFrame:
 def fresh_entries(entries: DataFrame, rows: DataFrame, **options) -> DataFrame:
     """The entries of ``rows`` whose id the table does not hold live; append these.
 
-    Few new ids are broadcast to the scan of the table's ids; vectors take no
-    part in the check.
+    The rows are made once and written; few new ids are broadcast to the scan of the
+    table's ids, and vectors take no part in the check.
     """
     from answerlake.operators.lookup import keep_wanted
-    if "id" not in rows.columns:
-        rows = assign_ids(rows)
+    new = cut_lineage(new_entries(rows, **options).dropDuplicates(["id"]), "new-entries")
     live = entries.where(~F.col("is_deleted")) if "is_deleted" in entries.columns else entries
-    known = keep_wanted(live.select("id"), rows.select("id").distinct(), ["id"])
-    return (new_entries(rows, **options).dropDuplicates(["id"])
-            .join(known, "id", "left_anti").select(*S.ENTRY.names))
+    known = keep_wanted(live.select("id"), new.select("id"), ["id"])
+    return new.join(known, "id", "left_anti").select(*S.ENTRY.names)
 
 
 def insert_entries(entries: DataFrame, rows: DataFrame, **options) -> DataFrame:

@@ -191,18 +191,52 @@ def test_embed_with_loads_once_per_task(spark):
         E.embed_with(df, "t", load, 3).collect()
 
 
-@pytest.mark.parametrize("wide", [64, 1])
 @pytest.mark.parametrize("limit", [1 << 30, 0])
-def test_token_mean_by_broadcast_and_by_shuffle(spark, monkeypatch, limit, wide):
+def test_token_mean_by_broadcast_and_by_shuffle(spark, monkeypatch, limit):
     monkeypatch.setattr(E, "VECTOR_BYTES", limit)
-    monkeypatch.setattr(E, "WIDE", wide)
-    docs = spark.createDataFrame([(1, "the cat the"), (2, " The\ndog "), (3, "")], "id long, text string")
+    docs = spark.createDataFrame([(1, "the cat the"), (2, " The\ndog "), (3, ""), (4, None), (5, "no such words"),
+                                  (6, "no such the")], "id long, text string")
     vec = spark.createDataFrame([("the", [1.0, 0.0]), ("cat", [4.0, 3.0]), ("dog", [0.0, 1.0])],
                                 "token string, vec array<double>")
     got = {r.id: r.embedding for r in E.embed_token_mean(docs, "id", "text", vec, 2).collect()}
-    assert got == {1: pytest.approx([2.0, 1.0]), 2: pytest.approx([0.5, 0.5])}
+    assert got == {1: pytest.approx([2.0, 1.0]), 2: pytest.approx([0.5, 0.5]), 3: None, 4: None, 5: None,
+                   6: pytest.approx([1.0, 0.0])}
     long = {r.id: r.embedding for r in E.embed_long_windowed(docs, "id", "text", vec, 2, window=2).collect()}
-    assert long == {1: pytest.approx([(2.5 + 1) / 2, 1.5 / 2]), 2: pytest.approx([0.5, 0.5])}
+    assert long == {1: pytest.approx([(2.5 + 1) / 2, 1.5 / 2]), 2: pytest.approx([0.5, 0.5]), 3: None, 4: None, 5: None,
+                    6: pytest.approx([1.0, 0.0])}
+    assert E.embed_token_mean(docs.limit(0), "id", "text", vec, 2).count() == 0
+    assert E.embed_token_mean(docs, "id", "text", vec.limit(0), 2).where("embedding is not null").count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_means_at_real_width(spark, monkeypatch, limit):
+    """768 dimensions, sums cut by batches and slices, against numpy."""
+    monkeypatch.setattr(E, "VECTOR_BYTES", limit)
+    monkeypatch.setattr(E, "SLICE_CELLS", 768 * 7)
+    r = np.random.default_rng(5)
+    table = {f"t{i}": r.standard_normal(768) for i in range(40)}
+    texts = {i: [f"t{k}" for k in r.integers(0, 44, size=int(r.integers(1, 60)))] for i in range(60)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string").repartition(3)
+    vec = spark.createDataFrame([(t, v.tolist()) for t, v in table.items()], "token string, vec array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        one = {x.id: x.embedding for x in E.embed_token_mean(docs, "id", "text", vec, 768).collect()}
+        long = {x.id: x.embedding for x in E.embed_long_windowed(docs, "id", "text", vec, 768, window=7).collect()}
+        rows = docs.select("id", F.explode(F.split("text", " ")).alias("token")).join(vec, "token").withColumn(
+            "mask", F.when(F.col("token") < "t3", 1).otherwise(0))
+        masked = {x.id: x.embedding for x in E.embed_masked_mean(rows, "id", 768).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i, words in texts.items():
+        known = [table[t] for t in words if t in table]
+        windows = [m for s in range(0, len(words), 7) if (m := [table[t] for t in words[s:s + 7] if t in table])]
+        if not known:
+            assert one[i] is None and long[i] is None and i not in masked
+            continue
+        assert np.allclose(one[i], np.mean(known, axis=0))
+        assert np.allclose(long[i], np.mean([np.mean(w, axis=0) for w in windows], axis=0))
+        low = [table[t] for t in words if t in table and t < "t3"]
+        assert np.allclose(masked[i], np.sum(low, axis=0) / max(len(low), 1e-9) if low else 0)
 
 
 def test_tenant_folders_are_pruned_and_replaced_alone(spark, tmp_path):
