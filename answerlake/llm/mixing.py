@@ -19,8 +19,9 @@ its mean; rates within 1/1000 of a whole number are that number.
 Cases: null and empty texts have no tokens; they get posteriors as any other and no
 weight. Labels with a null id or domain are not used; repeated labels count
 each. Without any labels all domains are equally likely. An empty corpus gives no rows.
-A domain without tokens has no residual, and a target that ``max_rate``
-does not allow is lowered to what it allows. Null ids share one hash. Repeated rows get the
+A domain without tokens has no residual. Rates have no upper bound unless ``max_rate`` sets
+one, as the pipeline does; a target that the bound does not allow is then lowered to what it
+allows, which ``reached_totals`` shows. Null ids share one hash. Repeated rows get the
 same rate. Extra columns are ignored, or carried by ``mixed_documents``.
 """
 
@@ -175,7 +176,7 @@ def _fit(scored: DataFrame, targets: dict, anchor: str, max_rate: float) -> list
                          .where(F.col("tokens") > 0), "groups")
     mass = [float(m or 0) for m in groups.agg(*[F.sum(F.col("tokens") * F.col(c)) for c in p]).first()]
     total = mass[domains.index(anchor)] / targets[anchor] if targets[anchor] else sum(mass)
-    goal = [min(total * targets[d], m * max_rate) for d, m in zip(domains, mass)]
+    goal = [min(total * targets[d], m * max_rate) if m else 0.0 for d, m in zip(domains, mass)]
 
     def gaps(history):
         sums = groups.withColumn("rate", _rate(history, k, max_rate)).agg(
@@ -235,7 +236,7 @@ def _model(docs, labels, targets, anchor, key, text, label_key, domain, sample_r
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict, anchor: str, key: str = "doc_id",
                  text: str = "text", label_key: str = "doc_id", domain: str = "domain",
-                 sample_rows: int = SAMPLE_ROWS, max_rate: float = 4.0, seed: int = 0) -> DataFrame:
+                 sample_rows: int = SAMPLE_ROWS, max_rate: float = math.inf, seed: int = 0) -> DataFrame:
     """Per document: key, n_tokens, p_<domain>, rate, copies."""
     domains = list(targets)
     _, features, posteriors, history = _model(docs, labels, targets, anchor, key, text, label_key, domain,
@@ -247,6 +248,15 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict, anchor: str,
                          _copies(F.col("own.rate"), F.col("doc"), seed).alias("copies")))
 
 
+def reached_totals(rates: DataFrame, targets: dict, anchor: str) -> DataFrame:
+    """Per domain of ``mixing_rates``: the tokens asked for and those that the rates give."""
+    own = lambda d: F.col("n_tokens") * col(f"p_{d}")
+    sums = rates.agg(F.sum(own(anchor)).alias("anchor"), *[F.sum(own(d) * F.col("rate")).alias(f"r{i}") for i, d in enumerate(targets)])
+    return sums.select(F.inline(F.array(*[F.struct(
+        F.lit(d).alias("domain"), (F.col("anchor") * (share / targets[anchor])).alias("target"), F.col(f"r{i}").alias("reached"))
+        for i, (d, share) in enumerate(targets.items())])))
+
+
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict, anchor: str, key: str = "doc_id",
                     text: str = "text", label_key: str = "doc_id", domain: str = "domain",
                     sample_rows: int = SAMPLE_ROWS, max_rate: float = 1.0, seed: int = 0) -> DataFrame:

@@ -172,9 +172,14 @@ def _read(folder: str, gap: int, most: int):
 def read_records(wanted: DataFrame, folder: str, gap: int = GAP, most: int = RANGE) -> DataFrame:
     """The records of index rows: page_id, url, payload, payload_bytes, payload_digest,
     record_type, refers_to; revisits have an empty payload.
+
+    As many tasks as the wanted records have ranges of ``most`` bytes: index rows are so
+    small that their own bytes say nothing about the reads.
     """
+    size = wanted.agg(F.sum("length")).first()[0] or 0
     sorted_rows = (wanted.select("file", "offset", "length")
-                   .repartition("file", F.floor(F.col("offset") / most)).sortWithinPartitions("file", "offset"))
+                   .repartition(max(1, -(-size // most)), "file", F.floor(F.col("offset") / most))
+                   .sortWithinPartitions("file", "offset"))
     return sorted_rows.mapInArrow(
         _read(folder, gap, most), "page_id long, url string, payload binary, payload_bytes long, "
         "payload_digest string, record_type string, refers_to long")
