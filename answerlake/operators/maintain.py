@@ -15,15 +15,15 @@ def now() -> Column:
 
 def content_id(model: Column, key: Column, answer: Column, *image: Column) -> Column:
     """The same (tenant, key, answer) always gets the same id, so a repeated
-    insert adds nothing. Of multimodal rows, ``image`` columns (kind, url, image id)
-    that are not null are part of the content."""
+    insert adds nothing. Of multimodal rows, ``image`` columns (kind, url, image id, hash
+    of a raw image) that are not null are part of the content."""
     parts = F.array_compact(F.array(*[F.concat(F.lit(f"{i}="), c) for i, c in enumerate(image)])) if image else F.array()
     return F.sha2(F.concat_ws("\x1f", model, key, answer, parts), 256)
 
 
 def assign_ids(rows: DataFrame, kind: str = "content") -> DataFrame:
     """Add ``id``: content hash, random uuid, or ascending number."""
-    image = [F.col(c) for c in ("mm_type", "image_url", "image_id") if c in rows.columns]
+    image = [F.col(c) for c in ("mm_type", "image_url", "image_id", "image_hash") if c in rows.columns]
     ids = {"content": content_id(F.col("model"), F.col("question"), F.col("answer"), *image),
            "uuid": F.expr("uuid()"),
            "ascending": F.monotonically_increasing_id().cast("string")}

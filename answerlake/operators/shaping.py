@@ -8,11 +8,14 @@ from answerlake.functions.text import mm_type, normalize_model
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
-    """Add ``model`` and ``error_code``: an unusable scope is 103, a missing or
-    unknown verb 102, an unknown removal kind 401; an earlier error stays."""
-    verb = F.col("type")
-    code = (F.when(F.col("raw_model").isNull(), S.BAD_PARAMS)
+    """Add ``model`` and ``error_code``: a scope without a tenant is 103, a missing or
+    unknown verb 102, then a missing scope 103 and an unknown removal kind 401; an
+    earlier error stays. Without the column ``has_scope`` a row without tenant has no scope."""
+    verb, no_model = F.col("type"), F.col("raw_model").isNull()
+    scope = F.col("has_scope") if "has_scope" in requests.columns else F.lit(False)
+    code = (F.when(no_model & F.coalesce(scope, F.lit(False)), S.BAD_PARAMS)
             .when(verb.isNull() | ~verb.isin(*S.VERBS), S.BAD_TYPE)
+            .when(no_model, S.BAD_PARAMS)
             .when((verb == "remove") & ~F.coalesce(F.col("remove_type").isin(*S.REMOVE_TYPES),
                                                    F.lit(False)), S.REMOVE_INVALID)
             .otherwise(S.OK))

@@ -48,7 +48,7 @@ RESPONSE = ["request_id", "error_code", "error_desc", "cache_hit", "hit_id", "ra
             "answer", "status"]
 
 
-def _plain(rows: DataFrame, code: Column, desc: Column, status: Column) -> DataFrame:
+def plain(rows: DataFrame, code: Column, desc: Column, status: Column) -> DataFrame:
     """Responses without a lookup."""
     return rows.select(
         "request_id", code.cast("int").alias("error_code"), desc.alias("error_desc"),
@@ -57,7 +57,7 @@ def _plain(rows: DataFrame, code: Column, desc: Column, status: Column) -> DataF
         F.lit("").alias("answer"), status.alias("status"))
 
 
-def _delete(entries: DataFrame, removes: DataFrame) -> DataFrame:
+def delete_entries(entries: DataFrame, removes: DataFrame) -> DataFrame:
     """Soft-delete listed ids inside their tenant and drop truncated tenants."""
     listed = removes.where("remove_type = 'delete_by_id'").select(
         "model", F.explode("id_list").alias("id")).distinct()
@@ -69,6 +69,28 @@ def _delete(entries: DataFrame, removes: DataFrame) -> DataFrame:
             .select(*entries.columns))
 
 
+def log_rows_of(answered: DataFrame, texts: DataFrame, rejected: DataFrame, given: DataFrame, at: Column,
+                times: dict) -> DataFrame:
+    """Log rows of a batch: its queries, and requests of unknown verbs."""
+    logged = (answered.join(texts, "request_id")
+              .unionByName(rejected.where(F.col("error_code") == S.BAD_TYPE).join(
+                  given.select("request_id", "model"), "request_id").withColumn("query", F.lit(""))))
+    return logged.select("request_id", at.alias("ts"), "error_code", "error_desc", "cache_hit",
+                         "model", "query", "hit_query", "answer",
+                         # every request of a batch waits for the whole batch
+                         F.when(F.col("error_code") == S.BAD_TYPE, 0.0)
+                         .otherwise(round(sum(times.values()), 2)).alias("delta_time"))
+
+
+def without_truncated(query_log: DataFrame, removes: DataFrame, log: DataFrame) -> DataFrame:
+    """The stored log without the tenants that the batch truncates, with the rows of the batch."""
+    if query_log is None:
+        return None
+    gone = cut_lineage(removes.where("remove_type = 'truncate_by_model'").select("model").distinct(), "truncated")
+    return (query_log.join(broadcast_if_small(gone), "model", "left_anti").select(*query_log.columns)
+            .unionByName(log, allowMissingColumns=True))
+
+
 def handle_requests(requests: DataFrame, entries: DataFrame, collections: DataFrame,
                     embed: Callable, dim: int, gate: Gate = Gate(),
                     key: Callable = with_role, normalize: bool = True, at: Column = None,
@@ -117,7 +139,7 @@ def handle_requests(requests: DataFrame, entries: DataFrame, collections: DataFr
     kept = rows.where(usable.isNotNull()).groupBy("request_id").agg(F.count(F.lit(1)).alias("_kept"))
     asked_for = F.greatest(F.size("chat_info"), F.lit(0))
     lost = asked_for - F.coalesce("_kept", F.lit(0))
-    inserted = _plain(
+    inserted = plain(
         routed["insert"].join(kept, "request_id", "left"),
         F.when(asked_for == 0, S.INSERT_FAILED).when(lost > 0, S.INSERT_REJECTED).otherwise(S.OK),
         F.when(asked_for == 0, "no chat_info").when(lost > 0, F.concat(
@@ -125,7 +147,7 @@ def handle_requests(requests: DataFrame, entries: DataFrame, collections: DataFr
         F.when((asked_for == 0) | (lost > 0), "exception").otherwise("success"))
 
     status = M.remove_status(routed["remove"], entries).withColumn("error_desc", F.lit(""))
-    removed = _plain(status, F.col("error_code"), F.col("error_desc"), F.col("status"))
+    removed = plain(status, F.col("error_code"), F.col("error_desc"), F.col("status"))
 
     wanted = routed["register"].select("request_id", "model", F.lit(None).cast("string").alias("mm_type"))
     result, known = M.register_collections(
@@ -133,31 +155,19 @@ def handle_requests(requests: DataFrame, entries: DataFrame, collections: DataFr
             "request_id", "model", F.lit(None).cast("string").alias("mm_type"))), collections, dim,
         gate.metric)
     registered = wanted.join(result.select("model", "error_code", "response"), "model")
-    registered = _plain(registered, F.col("error_code"), F.lit(""), F.col("response"))
+    registered = plain(registered, F.col("error_code"), F.lit(""), F.col("response"))
 
-    rejected = _plain(routed["rejected"], F.col("error_code"), F.col("error_desc"), F.lit(""))
-    failed = _plain(no_key, F.lit(S.QUERY_FAILED), F.lit("no query"), F.lit(""))
+    rejected = plain(routed["rejected"], F.col("error_code"), F.col("error_desc"), F.lit(""))
+    failed = plain(no_key, F.lit(S.QUERY_FAILED), F.lit("no query"), F.lit(""))
     responses = answered.select(*RESPONSE)
     for part in (failed, inserted, removed, registered, rejected):
         responses = responses.unionByName(part)
 
     texts = routed["query"].select("request_id", "model", F.to_json("query").alias("query"))
-    logged = (answered.select(*RESPONSE).unionByName(failed).join(texts, "request_id")
-              .unionByName(rejected.where(F.col("error_code") == S.BAD_TYPE).join(
-                  routed["rejected"].select("request_id", "model"), "request_id")
-                  .withColumn("query", F.lit(""))))
-    log = logged.select("request_id", at.alias("ts"), "error_code", "error_desc", "cache_hit",
-                        "model", "query", "hit_query", "answer",
-                        # every request of a batch waits for the whole batch
-                        F.when(F.col("error_code") == S.BAD_TYPE, 0.0)
-                        .otherwise(round(sum(times.values()), 2)).alias("delta_time"))
-
+    log = log_rows_of(answered.select(*RESPONSE).unionByName(failed), texts, rejected, routed["rejected"], at, times)
     inserts = rows.drop("request_id")
-    after = _delete(M.apply_hit_counts(entries, found, at), routed["remove"])
+    after = delete_entries(M.apply_hit_counts(entries, found, at), routed["remove"])
     after = M.insert_entries(after, inserts, normalize=normalize, at=at)
-    if query_log is not None:
-        truncated = routed["remove"].where("remove_type = 'truncate_by_model'").select("model").distinct()
-        query_log = query_log.join(broadcast_if_small(cut_lineage(truncated, "truncated")), "model", "left_anti") \
-            .select(*query_log.columns).unionByName(log, allowMissingColumns=True)
     return Outcome(named(responses), named(log), after.select(*entries.columns), known, times,
-                   {"hits": found, "removes": routed["remove"], "inserts": inserts}, query_log)
+                   {"hits": found, "removes": routed["remove"], "inserts": inserts},
+                   without_truncated(query_log, routed["remove"], log))

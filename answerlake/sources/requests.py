@@ -14,7 +14,8 @@ def parse_requests(lines: DataFrame, value: str = "value") -> DataFrame:
     keep = [c for c in lines.columns if c != value]
     return parsed.select(
         *keep, F.col("_r.requestId").alias("request_id"), F.col("_r.type").alias("type"),
-        F.col("_r.scope.model").alias("raw_model"), F.col("_r.query").alias("query"),
+        F.col("_r.scope.model").alias("raw_model"), F.col("_r.scope").isNotNull().alias("has_scope"),
+        F.col("_r.query").alias("query"),
         F.col("_r.chat_info").alias("chat_info"), F.col("_r.remove_type").alias("remove_type"),
         F.col("_r.id_list").alias("id_list"),
         F.when(broken, S.BAD_REQUEST).otherwise(S.OK).alias("error_code"))
@@ -33,7 +34,8 @@ def parse_mm_requests(lines: DataFrame, value: str = "value") -> DataFrame:
     keep = [c for c in lines.columns if c != value]
     return parsed.select(
         *keep, F.col("_r.UUID").alias("request_id"), F.col("_r.request_type").alias("type"),
-        F.col("_r.scope.model").alias("raw_model"), F.col("_r.type").alias("kind"),
+        F.col("_r.scope.model").alias("raw_model"), F.col("_r.scope").isNotNull().alias("has_scope"),
+        F.col("_r.type").alias("kind"),
         F.when(F.col("_r.request_type") == "insert", last["query"])
         .otherwise(F.col("_r.query")).alias("part"),
         last["answer"].alias("answer"), F.col("_r.remove_type").alias("remove_type"),

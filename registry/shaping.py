@@ -19,8 +19,9 @@ def normalize_model(spark, sf):
 
 _CODES = f"""{t.REQUESTS},
 checked AS (SELECT request_id, type, {t.sql_norm('raw_model')} AS model, (CASE
-    WHEN raw_model IS NULL THEN 103
+    WHEN raw_model IS NULL AND has_scope THEN 103
     WHEN type IS NULL OR type NOT IN ('query', 'insert', 'remove', 'register') THEN 102
+    WHEN raw_model IS NULL THEN 103
     WHEN type = 'remove' AND remove_type = 'drop' THEN 401 ELSE 0 END)::INTEGER AS error_code
   FROM requests),
 barred AS (SELECT request_id, type, model, (CASE WHEN error_code <> 0 THEN error_code

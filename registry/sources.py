@@ -59,7 +59,7 @@ def request_lines(spark, sf):
     r = t.typed_requests(spark, sf)
     body = F.to_json(F.struct(
         F.col("request_id").alias("requestId"), "type",
-        F.struct(F.col("raw_model").alias("model")).alias("scope"), "query",
+        F.when(F.col("has_scope"), F.struct(F.col("raw_model").alias("model"))).alias("scope"), "query",
         F.array(F.struct("query", F.concat(F.lit("answer "), "request_id").alias("answer")))
         .alias("chat_info"), "remove_type", F.array("request_id").alias("id_list")))
     number = F.col("request_id").cast("long")

@@ -204,14 +204,15 @@ def typed_requests(spark, sf):
                           (F.expr("conv_id div 6") % 3 + 1).cast("int"))
     return messages(spark, sf).select(
         i.cast("string").alias("request_id"), verb.alias("type"),
-        F.when(i % 13 != 0, tenant(i)).alias("raw_model"), remove.alias("remove_type"), "query")
+        F.when(i % 13 != 0, tenant(i)).alias("raw_model"), (i % 26 != 0).alias("has_scope"),
+        remove.alias("remove_type"), "query")
 
 
 REQUESTS = f"""requests AS (
   SELECT conv_id::VARCHAR AS request_id,
     CASE conv_id % 6 WHEN 0 THEN 'query' WHEN 1 THEN 'insert' WHEN 2 THEN 'remove'
       WHEN 3 THEN 'register' WHEN 4 THEN 'bogus' END AS type,
-    CASE WHEN conv_id % 13 <> 0 THEN {sql_tenant('conv_id')} END AS raw_model,
+    CASE WHEN conv_id % 13 <> 0 THEN {sql_tenant('conv_id')} END AS raw_model, conv_id % 26 <> 0 AS has_scope,
     CASE (conv_id // 6) % 3 WHEN 0 THEN 'delete_by_id' WHEN 1 THEN 'truncate_by_model' ELSE 'drop' END AS remove_type,
     count(*) AS n_messages, arg_max(text, turn) AS last_text, arg_max(role, turn) AS last_role,
     conv_id

@@ -12,6 +12,7 @@ from answerlake.functions import vectors as V
 from answerlake.functions.ranking import COSINE, Gate, scale_threshold
 from answerlake.operators import embed as E
 from answerlake.operators import maintain as M
+from answerlake.runtime import cut_lineage
 from answerlake.operators.shaping import blacklist_filter, mm_key, validate_requests
 from answerlake.plans.cache_lookup import cache_lookup
 from answerlake.plans.requests import handle_requests
@@ -112,6 +113,9 @@ def test_validation_and_blacklist(spark):
          ("remove", "m", None), ("remove", "m", "delete_by_id"), ("insert", "DI_COPILOT-LAB", None),
          ("query", "DI_COPILOT_THIRD", None), ("register", "DI_COPILOT_SECOND", None)],
         "type string, raw_model string, remove_type string")
+    verbs = Q.parse_requests(spark.createDataFrame([('{"type":"bogus"}',), ('{"type":"bogus","scope":{}}',), ('{"type":"query"}',)],
+                                                   "value string"))
+    assert [r.error_code for r in validate_requests(verbs).collect()] == [102, 103, 103]
     rows = blacklist_filter(validate_requests(df)).collect()
     assert [r.error_code for r in rows] == [0, 102, 102, 103, 401, 0, 305, 105, 0]
     assert rows[0].model == "a_b_c"
@@ -448,3 +452,53 @@ def test_exact_percentiles_over_many_ranges(spark):
             assert x.rows == len(v) and x.mean == pytest.approx(np.mean(v), rel=1e-9)
             assert x.p == pytest.approx(np.quantile(v, [0.0, 0.25, 0.5, 0.95, 1.0]).tolist(), rel=1e-12)
     assert exact_percentiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def _vectors_of(rows):
+    """A vector for each image and each text, by their first letters."""
+    letter = lambda c: (F.ascii(F.substring(c, 1, 1)).cast("double") - 64) / 8
+    return (rows.withColumn("image_vec", F.when(F.col("image").isNotNull(), F.array(F.lit(1.0), letter("image"))))
+            .withColumn("text_vec", F.when(F.col("key") != "", F.array(letter("key"), F.lit(1.0)))))
+
+
+def test_multimodal_batch(spark):
+    """Query, insert, remove, register, errors, raw images, hit counts, log and collections in one batch."""
+    from answerlake.plans.mm_requests import handle_mm_requests, mm_entries
+
+    def line(uuid, verb, model="m-1", **more):
+        scope = {"scope": {"model": model}} if model else {}
+        return json.dumps({"UUID": uuid, "request_type": verb, **scope, **more})
+
+    part = lambda text, raw=None, url=None, kind=None: {"text": [text] if text else [], "imageRaw": raw, "imageUrl": url, "multiType": kind}
+    pair = lambda p, a: {"chat_info": [{"query": part("ignored"), "answer": "x"}, {"query": p, "answer": a}]}
+    parse = lambda lines: Q.parse_mm_requests(spark.createDataFrame([(x,) for x in lines], "value string"))
+    stored = parse([line("s1", "insert", **pair(part("alpha", raw="Raw picture"), "one")),
+                    line("s2", "insert", **pair(part("zeta"), "two")), line("s3", "insert", model="gone", **pair(part("q"), "three"))])
+    rows, rejects = mm_entries(stored.withColumn("model", F.translate("raw_model", "-.", "__")), _vectors_of)
+    assert rejects.count() == 0
+    collections = spark.createDataFrame([("m_1", "mm", 4, "l2")], "model string, mm_type string, dim int, metric string")
+    log = spark.createDataFrame([("m_1", 1.0), ("gone", 2.0)], "model string, delta_time double")
+    out = handle_mm_requests(parse([
+        line("q1", "query", query=part("alpha", raw="Raw picture", kind="IMG_TEXT")), line("q2", "query", query=part("zeta", kind="TEXT")),
+        line("q3", "query", query=part("x", kind="OTHER")), line("q4", "query", query=part("0", kind="TEXT")),
+        line("i1", "insert", **pair(part("same", raw="A image"), "ans")), line("i2", "insert", **pair(part("same", raw="B image"), "ans")),
+        line("i3", "insert", **pair(part("", None, None), "ans")), line("i4", "insert"), line("i5", "insert", **pair(part("same", raw="A image"), "ans")),
+        line("r1", "remove", model="gone", remove_type="truncate_by_model"), line("r2", "remove", remove_type="drop"),
+        line("g1", "register", type="IMG_TEXT"), line("g2", "register", type="TEXT"), line("g3", "register", type="sound"),
+        line("b1", "bogus"), line("b2", "bogus", model=None), "{broken", line("n", "query", model=None)]),
+        cut_lineage(rows, "mm-stored"), collections, _vectors_of, 4, query_log=log)
+    got = {r.request_id: r for r in out.responses.collect()}
+    code = {i: (r.error_code, r.cache_hit, r.answer, r.status) for i, r in got.items()}
+    assert code == {
+        "q1": (0, True, "one", ""), "q2": (0, True, "two", ""), "q3": (201, False, "", ""), "q4": (0, False, "", ""),
+        "i1": (0, False, "", "success"), "i2": (0, False, "", "success"), "i3": (301, False, "", "exception"),
+        "i4": (301, False, "", "exception"), "i5": (0, False, "", "success"),
+        "r1": (0, False, "", "success"), "r2": (401, False, "", ""),
+        "g1": (0, False, "", "already_exists"), "g2": (0, False, "", "create_success"), "g3": (502, False, "", "exception"),
+        "b1": (102, False, "", ""), "b2": (102, False, "", ""), None: (301, False, "", ""), "n": (103, False, "", "")}
+    after = sorted((r.model, r.question, r.answer, r.hit_count) for r in out.entries.collect())
+    assert after == [("m_1", "alpha", "one", 1), ("m_1", "same", "ans", 0), ("m_1", "same", "ans", 0), ("m_1", "zeta", "two", 1)]
+    assert sorted(r.request_id for r in out.log.collect()) == ["b1", "b2", "q1", "q2", "q3", "q4"]
+    assert {(r.model, r.mm_type) for r in out.collections.collect()} == {("m_1", "mm"), ("m_1", "text")}
+    assert sorted((r.model or "", r.delta_time is not None) for r in out.query_log.collect()).count(("m_1", True)) >= 5
+    assert out.query_log.where("model = 'gone'").count() == 0
