@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from answerlake.operators import embed as E
 from answerlake.operators import maintain as M
-from answerlake.plans.mm_requests import answer_mm, mm_entries
+from answerlake.plans.mm_requests import answer_mm, handle_mm_requests, mm_entries
 from answerlake.plans.requests import handle_requests
 from answerlake.runtime import cut_lineage
 from answerlake.sources.requests import parse_mm_requests, parse_requests
@@ -16,7 +16,7 @@ from registry.shaping import _CODES, MM, mm_requests
 from registry.sources import request_lines
 
 
-def _outcome(spark, sf):
+def _outcome(spark, sf, query_log=None):
     turns = t.read(spark, sf, "conversations")
     said = turns.select(F.explode(E.tokens(F.concat("role", F.lit(": "), "text"))).alias("token"))
     vectors = cut_lineage(said.distinct().withColumn("vec", unit(F.col("token"))), "token-vectors")
@@ -33,7 +33,7 @@ def _outcome(spark, sf):
     collections = (entries.where("model <> 'images_test'").groupBy("model", "mm_type").agg(F.lit(1))
                    .select("model", "mm_type", F.lit(DIM).alias("dim"), F.lit("l2").alias("metric")))
     return handle_requests(parse_requests(request_lines(spark, sf)), entries, collections, embed,
-                           DIM, at=at())
+                           DIM, at=at(), query_log=query_log)
 
 
 _BATCH = f"""WITH {_CODES},
@@ -88,6 +88,14 @@ def log_after(spark, sf):
     return _outcome(spark, sf).log.select("request_id", "error_code", "cache_hit", "model")
 
 
+@query("log_after_truncate", f"""{_BATCH}, {t.LOG}
+SELECT model, count(*) AS rows FROM (SELECT model FROM query_log WHERE model NOT IN (SELECT model FROM truncated)
+  UNION ALL SELECT model FROM lines WHERE error_code = 102 OR (type = 'query' AND error_code = 0)) GROUP BY model""")
+def log_after_truncate(spark, sf):
+    log = t.query_log(spark, sf).drop("user_id")
+    return _outcome(spark, sf, log).query_log.groupBy("model").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("collections_after_requests", f"""{_BATCH}
 SELECT DISTINCT model FROM stored WHERE model <> 'images_test'
 UNION SELECT model FROM lines WHERE type IN ('register', 'insert') AND error_code = 0""")
@@ -167,3 +175,40 @@ def answered_mm(spark, sf):
     out = answer_mm(_mm_parsed(spark, sf, "query"), cut_lineage(rows, "mm-entries"), _mm_embed)
     return out.select("request_id", "error_code", "cache_hit", F.round("rank", 5).alias("rank"),
                       "image_url", "answer")
+
+
+def _mm_outcome(spark, sf):
+    """Everything is stored, then asked for, and inserted again with other answers."""
+    rows, _ = mm_entries(_mm_parsed(spark, sf, "insert"), _mm_embed, at())
+    again = _mm_parsed(spark, sf, "insert").withColumns({
+        "request_id": F.concat(F.lit("i"), "request_id"), "answer": F.concat(F.lit("b"), F.substring("answer", 2, 20))})
+    none = spark.createDataFrame([], "model string, mm_type string, dim int, metric string")
+    return handle_mm_requests(_mm_parsed(spark, sf, "query").unionByName(again), cut_lineage(rows, "mm-entries"),
+                              none, _mm_embed, DIM, at=at())
+
+
+@query("handle_mm_requests", f"""{_MM}
+SELECT a.item_id::VARCHAR AS request_id, (CASE WHEN a.bad THEN 201 ELSE 0 END)::INTEGER AS error_code,
+  coalesce(b.rank >= 3.8, false) AS cache_hit, CASE WHEN b.rank >= 3.8 THEN 'a' || b.hit ELSE '' END AS answer, '' AS status
+FROM asks a LEFT JOIN best b ON a.item_id = b.item_id
+UNION ALL SELECT 'i' || item_id, (CASE WHEN bad THEN 301 ELSE 0 END)::INTEGER, false, '',
+  CASE WHEN bad THEN 'exception' ELSE 'success' END FROM inserts""")
+def handled_mm(spark, sf):
+    return _mm_outcome(spark, sf).responses.select("request_id", "error_code", "cache_hit", "answer", "status")
+
+
+@query("mm_entries_after", f"""{_MM},
+hits AS (SELECT hit, count(*) AS n FROM best WHERE rank >= 3.8 GROUP BY hit)
+SELECT model, key AS question, 'a' || item_id AS answer, mm_type, image_url, coalesce(n, 0)::BIGINT AS hit_count, {t.sql_digest('u')}
+FROM stored_unit LEFT JOIN hits ON hit = item_id
+UNION ALL SELECT model, key, 'b' || item_id, mm_type, image_url, 0, {t.sql_digest('u')} FROM stored_unit""")
+def mm_entries_after(spark, sf):
+    return _mm_outcome(spark, sf).entries.select("model", "question", "answer", "mm_type", "image_url", "hit_count",
+                                                 *t.vector_digest())
+
+
+@query("mm_log_after", f"""{_MM}
+SELECT a.item_id::VARCHAR AS request_id, (CASE WHEN a.bad THEN 201 ELSE 0 END)::INTEGER AS error_code,
+  coalesce(b.rank >= 3.8, false) AS cache_hit, a.model FROM asks a LEFT JOIN best b ON a.item_id = b.item_id""")
+def mm_log_after(spark, sf):
+    return _mm_outcome(spark, sf).log.select("request_id", "error_code", "cache_hit", "model")
