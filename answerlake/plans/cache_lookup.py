@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlake import schema as S
-from answerlake.functions.ranking import COSINE, Gate
+from answerlake.functions.ranking import COSINE, Gate, evaluated_question
 from answerlake.operators.gate import length_gate, pick_all, pick_first, pick_random, rerank, score_gate
 from answerlake.operators.lookup import scalar_fetch
 from answerlake.operators.vector_join import knn, small_batch
@@ -48,8 +48,11 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k
 
     ``scorer`` is a caller's evaluator: a rank made from the columns key, question,
     answer, score and rank of each fetched candidate. It replaces the rank, the gate is
-    applied again, and the pick is made among what passes.
+    applied again, and the pick is made among what passes. If requests and entries both have
+    a column ``deps`` (dependent questions: name, data, dep_type), the scorer sees the first
+    one's data as key and question wherever both sides of a pair have any.
     """
+    deps = ["deps"] if scorer is not None and "deps" in requests.columns and "deps" in entries.columns else []
     live = entries.where(~F.col("is_deleted"))
     batch = None if method == "tiles" else small_batch(requests, by)
     if batch is None and method == "scan":
@@ -73,10 +76,18 @@ def cache_lookup(requests: DataFrame, entries: DataFrame, gate: Gate = Gate(), k
     if not bounded:
         kept = cut_lineage(kept, "candidates")
         bounded = few_rows(kept)
-    fetched = scalar_fetch(kept, entries, columns=("question", "answer", *extra), bounded=bounded,
+    fetched = scalar_fetch(kept, entries, columns=("question", "answer", *extra, *deps), bounded=bounded,
                            by=by[:1])
     if scorer is not None:
-        fetched = picked(rerank(fetched.join(requests.select("request_id", "key"), "request_id"), scorer, gate))
+        asked = requests.select("request_id", "key", F.col("key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in deps])
+        pairs = fetched.join(asked, "request_id").withColumn("_question", F.col("question"))
+        if deps:
+            pairs = pairs.withColumns({
+                "key": evaluated_question(F.col("_deps"), F.col("deps"), F.col("key")),
+                "question": evaluated_question(F.col("deps"), F.col("_deps"), F.col("question"))})
+        # lengths are those of the whole key
+        passed = rerank(pairs, scorer, gate, "_key").withColumn("question", F.col("_question"))
+        fetched = picked(passed.drop("_key", "_question", "_deps", "deps"))
     if pick == "all":
         none = F.array().cast("array<string>")
         lists = [F.coalesce(c, none).alias(c) for c in ("ids", "questions", "answers")]

@@ -215,3 +215,23 @@ def dependency_question(spark, sf):
     compared = R.evaluated_question(F.col("stored_deps"), F.col("deps"), F.col("stored"))
     return e.select("event_id", asked.alias("asked"), compared.alias("compared"),
                     R.rank_exact(asked, compared).alias("rank"))
+
+
+_DEP = """deps AS (SELECT vec_id, CASE WHEN vec_id % 5 < 4 THEN (vec_id % 3)::VARCHAR END AS asked,
+  CASE WHEN vec_id % 7 < 6 THEN (CASE WHEN vec_id % 11 < 8 THEN vec_id % 3 ELSE 9 END)::VARCHAR END AS stored FROM embeddings)"""
+
+
+@query("cache_lookup_deps", f"""WITH {t.ENTRIES}, {t.PLANTED}, {t.knn_sql(1)}, {_DEP},
+passed AS (SELECT n.request_id, n.id FROM near n JOIN deps a ON a.vec_id::VARCHAR = n.truth JOIN deps b ON b.vec_id::VARCHAR = n.id
+  WHERE 4 - least(n.score, 4) >= 3.8 AND CASE WHEN a.asked IS NOT NULL AND b.stored IS NOT NULL THEN a.asked = b.stored ELSE n.key = 'q' || n.id END)
+SELECT p.request_id, x.id IS NOT NULL AS cache_hit, coalesce('q' || x.id, '') AS hit_query, coalesce('a' || x.id, '') AS answer
+FROM planted p LEFT JOIN passed x ON x.request_id = p.request_id""")
+def cache_lookup_deps(spark, sf):
+    """An evaluator that compares dependent questions where both sides have any, else the questions."""
+    part = lambda use, data: F.when(use, F.array(F.struct(
+        F.lit("part").alias("name"), data.cast("string").alias("data"), F.lit(0).alias("dep_type"))))
+    i, j = F.col("truth").cast("long"), F.col("id").cast("long")
+    asked = t.planted(spark, sf).withColumn("deps", part(i % 5 < 4, i % 3))
+    stored = t.entries(spark, sf).withColumn("deps", part(j % 7 < 6, F.when(j % 11 < 8, j % 3).otherwise(9)))
+    scorer = F.when(F.col("question") == F.col("key"), 4.0).otherwise(0.0)
+    return plan.cache_lookup(asked, stored, scorer=scorer).select("request_id", "cache_hit", "hit_query", "answer")
