@@ -133,3 +133,26 @@ def distinct_queries(spark, sf):
 @query("approx_distinct_queries")
 def approx_distinct_queries(spark, sf):
     return A.distinct_queries(t.query_log(spark, sf))
+
+
+@query("approx_distinct_within", f"WITH {t.LOG} SELECT model, count(DISTINCT query) AS queries, true AS within FROM query_log GROUP BY model")
+def approx_distinct_within(spark, sf):
+    """Whether the estimate is within five times its stated relative error of 0.02."""
+    log = t.query_log(spark, sf)
+    near = A.distinct_queries(log).withColumnRenamed("queries", "estimate")
+    return A.distinct_queries(log, exact=True).join(near, "model").select(
+        "model", "queries", (F.abs(F.col("estimate") - F.col("queries")) <= 0.1 * F.col("queries")).alias("within"))
+
+
+@query("latency_approx_within", f"""WITH {t.LOG} SELECT cache_hit, count(*) AS rows, true AS p50_within, true AS p95_within
+FROM query_log GROUP BY cache_hit""")
+def latency_approx_within(spark, sf):
+    """Whether the ranks of the approximate percentiles are within 1/10 000 of the rows (and one row)."""
+    log = t.query_log(spark, sf)
+    near = A.latency_by_hit(log, exact=False).select("cache_hit", "p50", "p95")
+    share = lambda c: F.count_if(c) / F.count(F.lit(1))
+    slack = 1 / 10_000 + 1 / F.count(F.lit(1))
+    within = lambda c, p: ((share(F.col("delta_time") <= F.col(c)) >= p - slack)
+                           & (share(F.col("delta_time") < F.col(c)) <= p + slack)).alias(f"{c}_within")
+    return log.join(F.broadcast(near), "cache_hit").groupBy("cache_hit").agg(
+        F.count(F.lit(1)).alias("rows"), within("p50", 0.5), within("p95", 0.95))

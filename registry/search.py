@@ -177,3 +177,19 @@ def knn_ivf(spark, sf):
 @query("knn_lsh")
 def knn_lsh(spark, sf):
     return _knn(approx.knn_lsh(t.planted(spark, sf), live(spark, sf), k=1))
+
+
+@query("knn_ivf_all_cells", _knn_sql(1))
+def knn_ivf_all_cells(spark, sf):
+    """With every cell probed the search is exact."""
+    return _knn(approx.knn_ivf(t.planted(spark, sf), live(spark, sf), k=1, cells=16, probes=16))
+
+
+@query("knn_ivf_recall", f"WITH {t.ENTRIES}, {t.PLANTED}, {t.knn_sql(1)} SELECT count(*) AS requests, true AS recall_reached FROM near")
+def knn_ivf_recall(spark, sf):
+    """Whether 10 of 16 cells give at least 0.9 of the exact nearest entries."""
+    exact = vj.knn(t.planted(spark, sf), live(spark, sf), k=1).select("request_id", "id")
+    near = approx.knn_ivf(t.planted(spark, sf), live(spark, sf), k=1, cells=16, probes=10).select(
+        "request_id", F.col("id").alias("found"))
+    return exact.join(near, "request_id", "left").agg(
+        F.count(F.lit(1)).alias("requests"), (F.avg(F.coalesce(F.col("id") == F.col("found"), F.lit(False)).cast("int")) >= 0.9).alias("recall_reached"))
