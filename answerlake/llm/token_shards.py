@@ -11,8 +11,11 @@
    shorter): slot s is at byte ``(s % per_shard) * length * 2`` of shard ``s // per_shard``.
 
 A folder that already holds the table or shards of an earlier run is continued: the
-table is not made again and shards in the manifest are not written again. Shards are
-written under another name and moved, so a lost task leaves no half shard.
+table is not made again and shards in the manifest are not written again. It must be
+continued with the same documents, order key, length, range, vocabulary and end token,
+which stand in ``parameters`` and in the table's digests; anything else raises
+``ValueError`` before it writes. Shards are written under another name and moved, so a
+lost task leaves no half shard. A task writes consecutive shards, one at a time.
 
 Cases: null and empty texts are a lone end token; long texts run over as many sequences
 as they need; repeated rows are encoded each; null ids are carried; an empty corpus has
@@ -39,6 +42,7 @@ from answerlake.llm.common import col, table
 from answerlake.runtime import shared_dir
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 8192, 20_240_117, 6
+MAX_WRITERS = 50_000
 VOCABULARY, END = "byte_bpe_50k.tiktoken", 50_256
 CHUNK_CACHE, BATCH = 200_000, 4096
 
@@ -79,13 +83,19 @@ class Encoder:
             return b"".join([known[c] for c in chunks])
 
 
+def _signed(number: int) -> int:
+    """The number modulo 2**64, as a signed one."""
+    return (number + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
 def _pack(vocabulary, length, end):
-    """Batches (doc, text) to sequences: part, place, tokens, and the documents in them."""
+    """Batches (doc, text, digest) to sequences: part, place, tokens, the documents in them
+    and the sum of the digests of those that begin in them."""
     def work(batches):
         encode, part, place = Encoder(vocabulary.value), TaskContext.get().partitionId(), 0
         last, room = np.array([end], "<u2").tobytes(), 2 * length
         kind, full, filled = None, [], 0
-        tokens, docs, starts, sizes = [], [], [], []
+        tokens, docs, starts, sizes, digest = [], [], [], [], 0
 
         def rows():
             nonlocal full, place
@@ -94,15 +104,17 @@ def _pack(vocabulary, length, end):
                 [pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()),
                  pa.array([x[0] for x in full], pa.binary()), pa.array([x[1] for x in full], pa.list_(kind)),
                  pa.array([x[2] for x in full], pa.list_(pa.int32())),
-                 pa.array([x[3] for x in full], pa.list_(pa.int32()))],
-                names=["part", "place", "tokens", "docs", "starts", "sizes"])
+                 pa.array([x[3] for x in full], pa.list_(pa.int32())),
+                 pa.array([_signed(x[4]) for x in full], pa.int64())],
+                names=["part", "place", "tokens", "docs", "starts", "sizes", "digest"])
             place, full = place + n, []
             return out
 
         for batch in batches:
             kind = batch.column(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text, own in zip(*[c.to_pylist() for c in batch.columns]):
                 ids, at = encode(text) + last, 0
+                digest += own
                 while at < len(ids):
                     piece = ids[at:at + room - filled]
                     tokens.append(piece)
@@ -111,12 +123,12 @@ def _pack(vocabulary, length, end):
                     sizes.append(len(piece) // 2)
                     at, filled = at + len(piece), filled + len(piece)
                     if filled == room:
-                        full.append((b"".join(tokens), docs, starts, sizes))
-                        tokens, docs, starts, sizes, filled = [], [], [], [], 0
+                        full.append((b"".join(tokens), docs, starts, sizes, digest))
+                        tokens, docs, starts, sizes, filled, digest = [], [], [], [], 0, 0
                         if len(full) == BATCH:
                             yield rows()
         if tokens:
-            full.append((b"".join(tokens) + last * ((room - filled) // 2), docs, starts, sizes))
+            full.append((b"".join(tokens) + last * ((room - filled) // 2), docs, starts, sizes, digest))
         if full:
             yield rows()
     return work
@@ -229,6 +241,27 @@ def _table(spark: SparkSession, path: str):
         return None
 
 
+def _digest_of(df: DataFrame, digest) -> int:
+    """The sum of a long column modulo 2**64, in no order."""
+    return _signed(int(df.agg(F.sum(digest.cast("decimal(38,0)"))).first()[0] or 0))
+
+
+def _same_parameters(spark: SparkSession, folder: str, own: dict) -> None:
+    """Write the parameters of a new folder, or raise if a used one has others."""
+    found = _table(spark, f"{folder}/parameters")
+    if found is None:
+        if _table(spark, f"{folder}/sequences") is not None:
+            raise ValueError(f"{folder} has sequences of unknown parameters")
+        spark.createDataFrame([own], ", ".join(
+            f"{n} {'string' if isinstance(v, str) else 'long'}" for n, v in own.items())).coalesce(1) \
+            .write.parquet(f"{folder}/parameters")
+        return
+    then = found.first().asDict()
+    other = [n for n in own if then.get(n) != own[n]]
+    if other:
+        raise ValueError(f"{folder} was written with other values of: {', '.join(other)}")
+
+
 def materialise(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
                 length: int = LENGTH, per_shard: int = PER_SHARD, order_key: int = KEY,
                 vocabulary: str = None, end: int = END) -> DataFrame:
@@ -236,17 +269,23 @@ def materialise(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
     every piece of every document is: key, n_tokens, slot, shard, byte_offset.
     """
     spark, stride = docs.sparkSession, 2 * length
+    with open(vocabulary or vocabulary_path(), "rb") as f:
+        ranks = f.read()
+    given = docs.select(col(key).alias("doc"), col(text).cast("string").alias("text")) \
+        .withColumn("digest", F.xxhash64("doc", "text"))
+    kind = given.schema["doc"].dataType.simpleString()
+    _same_parameters(spark, folder, {
+        "order_key": str(order_key), "length": length, "per_shard": per_shard, "end": end, "id_type": kind,
+        "vocabulary": hashlib.sha256(ranks).hexdigest()})
     sequences = _table(spark, f"{folder}/sequences")
     if sequences is None:
-        with open(vocabulary or vocabulary_path(), "rb") as f:
-            ranks = spark.sparkContext.broadcast(f.read())
-        given = docs.select(col(key).alias("doc"), col(text).cast("string").alias("text"))
-        kind = given.schema["doc"].dataType.simpleString()
         schema = (f"part int, place long, tokens binary, docs array<{kind}>, "
-                  "starts array<int>, sizes array<int>")
-        given.mapInArrow(_pack(ranks, length, end), schema).write.option("compression", "zstd") \
-            .parquet(f"{folder}/sequences")
-        sequences = spark.read.parquet(f"{folder}/sequences")
+                  "starts array<int>, sizes array<int>, digest long")
+        given.mapInArrow(_pack(spark.sparkContext.broadcast(ranks), length, end), schema) \
+            .write.option("compression", "zstd").parquet(f"{folder}/sequences")
+        sequences = spark.read.schema(schema).parquet(f"{folder}/sequences")
+    elif _digest_of(sequences, F.col("digest")) != _digest_of(given, F.col("digest")):
+        raise ValueError(f"{folder} holds shards of other documents")
     # one number for each task that encoded
     counts = sorted((r["part"], r["n"]) for r in
                     sequences.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -260,7 +299,10 @@ def materialise(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
     if finished is not None:
         dealt = dealt.join(finished.select("shard"), "shard", "left_anti")
     if total:
-        (dealt.repartition(-(-total // per_shard), "shard").sortWithinPartitions("shard")
+        shards = -(-total // per_shard)
+        each = -(-shards // MAX_WRITERS)
+        writer = F.floor(F.col("shard") / each).cast("int")
+        (dealt.repartitionById(-(-shards // each), writer).sortWithinPartitions("shard")
          .mapInArrow(_write_shards(folder, total, per_shard, stride),
                      "shard long, first_slot long, n_sequences long, n_bytes long, sha256 string")
          .write.mode("append").parquet(f"{folder}/manifest"))

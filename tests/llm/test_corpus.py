@@ -269,6 +269,32 @@ def test_shards_hold_every_document_in_slot_order(spark, odd_docs, no_docs, tmp_
     again = token_shards.materialise(docs, folder, **options)
     assert sorted(again.collect(), key=repr) == sorted(rows, key=repr) and spark.read.parquet(f"{folder}/manifest").count() == len(data)
     assert token_shards.materialise(no_docs, (tmp_path / "none").as_uri()).count() == 0
+    # other parameters or documents on a used folder are refused, and nothing is written
+    written = sorted(p.name for p in (tmp_path / "shards").iterdir())
+    for change in ({"order_key": 5}, {"length": 32}, {"per_shard": 50}, {"end": 0}):
+        with pytest.raises(ValueError, match=next(iter(change))):
+            token_shards.materialise(docs, folder, **{**options, **change})
+    for others in (docs.limit(5), no_docs, docs.union(docs.limit(1)), docs.withColumn("text", F.upper("text"))):
+        with pytest.raises(ValueError, match="other documents"):
+            token_shards.materialise(others, folder, **options)
+    assert written == sorted(p.name for p in (tmp_path / "shards").iterdir())
+
+
+def test_shards_are_dealt_in_ranges(spark, sf, tmp_path, monkeypatch):
+    docs, read = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for writers in (50_000, 2):
+        monkeypatch.setattr(token_shards, "MAX_WRITERS", writers)
+        folder = tmp_path / str(writers)
+        token_shards.materialise(docs, folder.as_uri(), length=64, per_shard=16)
+        rows = spark.read.parquet(f"{folder.as_uri()}/manifest").withColumn("file", F.input_file_name()).collect()
+        by = {}
+        for r in rows:
+            by.setdefault(r.file, []).append(r.shard)
+        shards = sorted(r.shard for r in rows)
+        assert shards == list(range(len(shards))) and len(shards) > 10
+        assert len(by) == min(writers, len(shards)) and all(max(v) - min(v) == len(v) - 1 for v in by.values())
+        read[writers] = {r.shard: r.sha256 for r in rows}
+    assert read[2] == read[50_000]
 
 
 def test_pipeline_stages(spark, sf):
