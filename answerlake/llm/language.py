@@ -1,9 +1,12 @@
 """Language of texts from character n-grams in bit-sliced Bloom filters.
 
 Learning counts the n-grams (three code points of a lower-cased letter run with a blank
-before and after) of all labelled texts per language. A language's filter holds every
-n-gram that makes up at least ``MIN_SHARE`` of the language's n-grams, so no filter holds
-more than ``1 / MIN_SHARE`` of them however large the corpus is. The filters are
+before and after; of Han, kana and Hangul, whose runs are whole clauses, single letters)
+of all labelled texts per language. A language's filter holds its most frequent n-grams,
+as many as make up ``COVERED`` of 100 of its occurrences, with all that are as frequent as
+the last of them (counts that differ by less than one in ``STEPS`` are one frequency). So
+the size of a filter follows the language's alphabet, not the corpus; two languages are
+told apart by the letters of wide scripts that only one of them uses often. The filters are
 sliced by bit: row b of one table has a bit for each language whose filter has bit b set,
 and the AND of an n-gram's rows is the mask of all languages that may contain it.
 
@@ -23,17 +26,24 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlake.llm import query
 from answerlake.llm.common import col, per_text, table
+from answerlake.runtime import cut_lineage
 
-MIN_SHARE, BITS_PER_GRAM, HASHES = 5e-5, 16, 4
+COVERED, STEPS, BITS_PER_GRAM, HASHES = 99, 64, 16, 4
 WORD_CACHE = 200_000
 _letters = re.compile(r"[^\W\d_]+")
 
 
+# First and last code points of scripts without blanks between words, or of
+# whole syllables: Han and kana with their radicals and extensions, Hangul.
+WIDE = np.array([(0x2E80, 0xA4CF), (0xAC00, 0xD7FF), (0xF900, 0xFAFF), (0xFF66, 0xFFDC), (0x1B000, 0x1B16F),
+                 (0x20000, 0x3FFFF)], np.int64)
+
+
 def words_of(text) -> list:
     return _letters.findall(text.lower()) if text else []
 
@@ -42,6 +52,10 @@ def grams_of(words: list) -> tuple:
     """All n-grams of the words as numbers, and the position of the word of each."""
     codes = np.frombuffer(f" {'  '.join(words)} ".encode("utf-32-le"), "<u4").astype(np.int64)
     gram = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
+    if codes.max() >= WIDE[0, 0]:
+        at = np.searchsorted(WIDE[:, 0], codes[1:-1], "right") - 1
+        wide = (at >= 0) & (codes[1:-1] <= WIDE[at, 1])
+        gram[wide] = codes[1:-1][wide] << 21
     # words are parted by two blanks; n-grams with both of them belong to no word
     blank = codes == 32
     own = ~((blank[:-2] & blank[1:-1]) | (blank[1:-1] & blank[2:]))
@@ -119,14 +133,21 @@ class Filters:
         return out
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE) -> Filters:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", covered: int = COVERED) -> Filters:
     counts = (docs.select(col(text).cast("string").alias("text"), col(lang).cast("string").alias("lang"))
               .dropna().mapInArrow(_count(), "lang string, gram long, n long")
-              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    # at most 1 / min_share rows of each language reach the driver
-    kept = (counts.join(total, "lang").where(F.col("n") >= min_share * F.col("total"))
-            .select("lang", "gram", "total").toArrow())
+              .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+              .withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")))
+    counts = cut_lineage(counts, "grams")
+    # a language has at most 64 * STEPS frequencies
+    steps = counts.groupBy("lang", "step").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+    more = Window.partitionBy("lang").orderBy(F.desc("step"))
+    whole = Window.partitionBy("lang")
+    least = (steps.withColumn("before", F.sum("n").over(more) - F.col("n")).withColumn("total", F.sum("n").over(whole))
+             .where(100 * F.col("before") < covered * F.col("total"))
+             .groupBy("lang").agg(F.min("step").alias("least"), F.max("total").alias("total")))
+    kept = (counts.join(least, "lang").where("step >= least")
+            .select("lang", "gram", F.col("total").cast("long").alias("total")).toArrow())
     by = {}
     for lang_, gram, n in zip(*[c.to_pylist() for c in kept.columns]):
         by.setdefault((-n, lang_), []).append(gram)

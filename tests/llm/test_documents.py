@@ -4,8 +4,10 @@ import os
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from answerlake.llm import decontaminate, language, licenses, quality, token_counts
+from pyspark.sql import functions as F
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -226,6 +228,9 @@ def test_languages_of_held_out_documents(spark, sf, odd_docs, no_docs):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     got = entry.queries()["op7_language_id"](spark, sf).join(docs, "doc_id").where("held_out").collect()
+    for lang in {r.lang for r in got if r.lang}:
+        own = [r.lang_pred for r in got if r.lang == lang]
+        assert sum(p == lang for p in own) >= 0.9 * len(own), lang
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
     filters = language.learn(odd_docs)
     rows = {r.doc_id: r for r in language.predict(odd_docs, filters).collect() if r.doc_id}
@@ -235,8 +240,6 @@ def test_languages_of_held_out_documents(spark, sf, odd_docs, no_docs):
 
 
 def test_filters_contain_what_they_learned_and_count_like_sets():
-    import numpy as np
-
     sets = [np.arange(i * 37, i * 37 + 400) ** 2 for i in range(70)]  # more languages than bits of a word
     filters = language.Filters([f"l{i}" for i in range(70)], sets)
     for i, own in enumerate(sets):
@@ -248,3 +251,42 @@ def test_filters_contain_what_they_learned_and_count_like_sets():
     unpack = lambda g: "".join(chr(int(g) >> s & 0x1FFFFF) for s in (42, 21, 0))
     assert [(int(w), unpack(g)) for g, w in zip(grams, word)] == want
     assert re.fullmatch(r"\w+", "straße")
+
+
+def wide_docs(spark, copies):
+    """Texts of two languages whose frequent Han letters differ, one with kana, and one in Latin letters."""
+    import random
+
+    r, rows = random.Random(copies), []
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    kana = [chr(0x3042 + i) for i in range(60)]
+    for i in range(40 * copies):
+        pick = lambda signs: signs[min(int(r.expovariate(10 / len(signs))), len(signs) - 1)]  # noqa: B023, E731
+        rows.append((3 * i, "\u3002".join("".join(pick(han) for _ in range(12)) for _ in range(10)), "zh"))
+        rows.append((3 * i + 1, "\u3002".join("".join(pick(kana if r.random() < 0.6 else han[1500:] + han[:1500]) for _ in range(12))
+                                          for _ in range(10)), "ja"))
+        rows.append((3 * i + 2, " ".join("".join(pick("etaoinshrdlu") for _ in range(5)) for _ in range(30)), "en"))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_wide_scripts_at_two_sizes(spark):
+    trial = wide_docs(spark, 1)
+    for copies in (2, 20):
+        found = language.predict(trial, language.learn(wide_docs(spark, copies)), keep={"lang": F.col("lang")}).collect()
+        for lang in ("zh", "ja", "en"):
+            own = [r for r in found if r.lang == lang]
+            assert sum(r.lang_pred == lang for r in own) >= 0.95 * len(own), (copies, lang)
+            assert all(r.score > 0.5 for r in own)
+
+
+def test_filters_cover_what_they_say(spark):
+    docs = wide_docs(spark, 3)
+    filters, counts = language.learn(docs), {}
+    for r in docs.collect():
+        for g in language.grams_of(language.words_of(r.text))[0].tolist():
+            counts.setdefault(r.lang, Counter())[g] += 1
+    for i, lang in enumerate(filters.languages):
+        grams = np.array(list(counts[lang]), np.int64)
+        n = np.array(list(counts[lang].values()))
+        hit = ((filters.masks(grams)[:, 0] >> np.uint64(i)) & np.uint64(1)).astype(bool)
+        assert n[hit].sum() >= 0.99 * n.sum(), lang
