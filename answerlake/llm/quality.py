@@ -4,26 +4,27 @@ Every line is judged alone; failing lines go; a document goes when it fails the
 base rules or loses more than ``max_lost`` of its word characters with its lines.
 Lines are the ``\\n``-split parts of the text, words ``[^\\x20\\x09-\\x0D]+``.
 
-A line fails when it has at least five words and
-
-* punctuation: more than 15 of 100 of its word characters are ASCII punctuation,
-  or it has ten words or more and no sentence end of any script, neither itself nor
-  in the lines that continue it or that it continues;
-* navigation: at least four of its words are separators and they are at least
-  15 of 100 words;
-
-or, whatever its length up to 30 words, when it has a boilerplate phrase between word
-boundaries (a plural s may follow).
+A line fails for
+
+* punctuation: five words or more, and over 15 of 100 of its word characters are ASCII
+  punctuation, unless it is code or a formula: at most 65 of 100, and it has an operator
+  for a word (``=``, ``:=``, ``->`` ...) or stands in a run of three such lines or more;
+* no sentence: ten words or more and no sentence end of any script, neither itself nor in
+  the lines that continue it or that it continues, unless it has an operator for a word or
+  is verse: in a run of three lines or more, at least half of its words without a capital;
+* navigation: at least four of its words are separators and they are at least 15 of 100
+  words; or at least two are bars, bullets or angle quotes, with at most four other words
+  for each part on average, and the line (with those it is read with) has no sentence end;
+* boilerplate: up to 30 words, and phrases of notices and menus make up most of its words,
+  or it has such a phrase and no sentence end (with those it is read with). A whole
+  sentence that only mentions one stays. Phrases are whole words, with a plural s or not,
+  without the punctuation around words.
 
 A line is continued by the next one, with no line without words between, when the next
 starts with a lower-case letter, or when both stand in a hard-wrapped paragraph: at
 least three lines of at most 120 characters, each but the last too long to take the
 next one's first word within the longest. Thai and Lao have no sentence ends; a letter
-of theirs counts as one.
-
-The SQL of ``op1_quality_rules`` is older than these rules: it knows ``.!?;:``, the
-ideographic full stop and the ellipsis, looks at lines alone and finds phrases anywhere.
-The query keeps to it with ``plain``.
+of theirs counts as one. Runs are counted between lines without words.
 
 Cases: a null text has no words (all counts 0, base_failed, not kept) and stays
 null when cleaned; an empty text likewise stays empty. Lines without words never
@@ -31,6 +32,8 @@ fail. Repeated rows are judged each. Other columns are carried along untouched.
 """
 
 import re
+from itertools import groupby
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlake.llm import query
-from answerlake.llm.common import (CONTINUATION, SPACES, code_points, col, ids_of, per_text, table,
+from answerlake.llm.common import (CONTINUATION, LOWER, SPACES, code_points, col, ids_of, per_text, table,
                                    windows)
 
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -60,23 +63,30 @@ ALL_ENDS = (
     r"\u0e01-\u0e2f\u0e5a\u0e5b\u0e81-\u0eae")
 # Words that only separate menu items.
 SEPARATORS = frozenset(x.encode() for x in ("|", ">", "<", "/", "»", "«", "›", "•", "·", "::", "-", "–"))
+BARS = frozenset(x.encode() for x in ("|", "»", "«", "›", "•", "·", "::"))
+OPERATORS = frozenset(x.encode() for x in ("=", "==", "!=", ":=", "+=", "-=", "<=", ">=", "=>", "->"))
 # Phrases of notices and menus, in lower case.
 PHRASES = (
+    "we use cookies", "cookies help us", "copyright",
     "all rights reserved", "accept cookies", "cookie policy", "cookie settings", "privacy policy",
     "terms of use", "terms of service", "terms and conditions", "subscribe to our", "newsletter",
     "click here", "read more", "sign in", "sign up", "log in", "skip to content", "back to top",
     "share this", "follow us", "enable javascript", "powered by", "lorem ipsum",
 )
 MIN_WORDS, LONG_LINE, PHRASE_WORDS = 5, 10, 30
-PUNCTUATION_PCT, SEPARATOR_PCT, MIN_SEPARATORS = 15, 15, 4
+PUNCTUATION_PCT, CODE_PCT, SEPARATOR_PCT, MIN_SEPARATORS = 15, 65, 15, 4
+MIN_BARS, PART_WORDS, RUN_LINES = 2, 4, 3
 WRAP_LINES, WRAP_CHARS = 3, 120
 MAX_LOST_PCT = 50
 MIN_DOC_WORDS, REPEAT_WIDTH, MAX_REPEAT_PCT = 10, 5, 20
 
 COUNTS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "n_lines long, n_cut_lines long, cut_chars long")
-_anywhere = re.compile("|".join(map(re.escape, PHRASES)).encode())
-_phrase = re.compile(rb"(?<![0-9a-z_\x80-\xff])(?:" + _anywhere.pattern + rb")s?(?![0-9a-z_\x80-\xff])")
+# words stand between blanks of their own, so that phrases that follow each other all match
+_spaced = "|".join(p.replace(" ", "  ") for p in PHRASES)
+_phrase = re.compile(f" (?:{_spaced})s? ".encode())
+_perhaps = re.compile("|".join(p.replace(" ", "[^0-9a-z_]+") for p in PHRASES).encode())
+_edges = re.compile(rb"^[^0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff]+$")
 _end = re.compile(f"[{ALL_ENDS}]")
 
 
@@ -93,7 +103,7 @@ def continued(lines: list) -> list:
     if len(lines) >= WRAP_LINES and longest <= WRAP_CHARS and all(
             n + 1 + w > longest for n, w in zip(chars, first[1:])):
         return [True] * (len(lines) - 1)
-    return [line.lstrip()[:4].decode("utf-8", "ignore")[:1].islower() for line in lines[1:]]
+    return [category(line.lstrip()[:4].decode("utf-8", "ignore")[:1]) == "Ll" for line in lines[1:]]
 
 
 def without_end(lines: list) -> list:
@@ -119,19 +129,64 @@ def without_end(lines: list) -> list:
     return out
 
 
-def line_fails(line: bytes, words: list, no_end: bool, phrase=_phrase) -> bool:
-    n = len(words)
-    if n <= PHRASE_WORDS and phrase.search(line.lower()):
-        return True
-    if n < MIN_WORDS:
-        return False
+def phrase_words(words: list) -> int:
+    """Words of the line that belong to phrases of notices and menus."""
+    bare = b"".join(b" %b " % _edges.sub(b"", w.translate(LOWER)) for w in words)
+    return sum(len(m.split()) for m in _phrase.findall(bare))
+
+
+def much_punctuation(line: bytes, words: list) -> int:
+    """0, 1 for more than ``PUNCTUATION_PCT``, 2 for more than ``CODE_PCT``."""
     marks = len(line) - len(line.translate(None, PUNCTUATION))
-    if 100 * marks > PUNCTUATION_PCT * len(line.translate(None, SPACES + CONTINUATION)):
-        return True
-    if n >= LONG_LINE and no_end:
-        return True
-    parts = sum(w in SEPARATORS for w in words)
-    return parts >= MIN_SEPARATORS and 100 * parts >= SEPARATOR_PCT * n
+    if len(words) < MIN_WORDS or not marks:
+        return 0
+    chars = len(line.translate(None, SPACES + CONTINUATION))
+    return (100 * marks > PUNCTUATION_PCT * chars) + (100 * marks > CODE_PCT * chars)
+
+
+def capital(word: bytes) -> bool:
+    """Whether the word begins with a capital letter of any script."""
+    return 65 <= word[0] <= 90 or word[0] > 127 and category(word[:4].decode("utf-8", "ignore")[:1]) in ("Lu", "Lt")
+
+
+def runs(flags: list) -> list:
+    """For each line the number of lines with its flag in a row that it stands in; 0 without."""
+    out = [0] * len(flags)
+    for flag, group in groupby(range(len(flags)), flags.__getitem__):
+        if flag:
+            group = list(group)
+            out[group[0]:group[-1] + 1] = [len(group)] * len(group)
+    return out
+
+
+def failing(lines: list) -> list:
+    """Whether each line fails; None for lines without words."""
+    words = [line.split() for line in lines]
+    no_end = [bool(w) and not any(e in line for e in ENDS) for line, w in zip(lines, words)]
+    if any(no_end):
+        no_end = without_end(lines)
+    marks = [much_punctuation(line, w) for line, w in zip(lines, words)]
+    code_run = runs([m == 1 for m in marks]) if 1 in marks else marks
+    run = runs([bool(w) for w in words]) if any(no_end) else marks
+    perhaps = bool(_perhaps.search(b"\n".join(lines).translate(LOWER)))
+    out = []
+    for k, own in enumerate(words):
+        n = len(own)
+        if not n:
+            out.append(None)
+            continue
+        seps = sum(w in SEPARATORS for w in own)
+        bars = sum(w in BARS for w in own) if seps else 0
+        formula = (marks[k] or no_end[k]) and any(w in OPERATORS for w in own)
+        phrases = phrase_words(own) if perhaps and n <= PHRASE_WORDS else 0
+        out.append(
+            marks[k] == 2 or marks[k] == 1 and code_run[k] < RUN_LINES and not formula
+            or seps >= MIN_SEPARATORS and 100 * seps >= SEPARATOR_PCT * n
+            or no_end[k] and bars >= MIN_BARS and n - bars <= PART_WORDS * (bars + 1)
+            or 2 * phrases > n or phrases > 0 and no_end[k]
+            or n >= LONG_LINE and no_end[k] and not formula and not (
+                run[k] >= RUN_LINES and 2 * sum(map(capital, own)) <= n))
+    return out
 
 
 def repeated_words(words: list, width: int = REPEAT_WIDTH) -> int:
@@ -146,20 +201,16 @@ def repeated_words(words: list, width: int = REPEAT_WIDTH) -> int:
     return int(np.count_nonzero(np.cumsum(edge[:-1])))
 
 
-def judge(text: bytes, plain: bool = False) -> tuple:
+def judge(text: bytes) -> tuple:
     """The counts of a text as in ``COUNTS``, and the text without failing lines."""
     if not text:
         return (0,) * 8, text
     words, lines = text.split(), text.split(b"\n")
     full, kept, n_cut, cut_chars = [], [], 0, 0
-    no_end = [not any(e in line for e in ENDS) for line in lines]
-    if not plain and any(no_end):
-        no_end = without_end(lines)
-    for line, open_end in zip(lines, no_end):
-        own = line.split()
-        if own:
+    for line, fails in zip(lines, failing(lines)):
+        if fails is not None:
             full.append(line)
-            if line_fails(line, own, open_end, _anywhere if plain else _phrase):
+            if fails:
                 n_cut += 1
                 cut_chars += len(line.translate(None, SPACES + CONTINUATION))
                 continue
@@ -170,11 +221,11 @@ def judge(text: bytes, plain: bool = False) -> tuple:
     return counts, b"\n".join(kept) if n_cut else text
 
 
-def _counts(plain: bool = False):
+def _counts():
     names = [c.split()[0] for c in COUNTS.split(", ")]
 
     def apply(texts):
-        rows = [judge(t, plain) for t in texts]
+        rows = [judge(t) for t in texts]
         made = {n: pa.array([r[0][k] for r in rows], pa.int64()) for k, n in enumerate(names)}
         made["clean"] = pa.array([r[1] for r in rows], pa.binary()).cast(pa.string())
         made["clean_chars"] = pa.array([None if r[1] is None else code_points(r[1]) for r in rows],
@@ -191,9 +242,9 @@ def _verdicts(df: DataFrame) -> DataFrame:
                         & (100 * F.col("cut_chars") <= MAX_LOST_PCT * F.col("word_chars"))))
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", plain: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, counts, base_failed, kept, and the cleaned text."""
-    judged = per_text(docs, text, lambda: _counts(plain), f"{COUNTS}, clean string, clean_chars long",
+    judged = per_text(docs, text, _counts, f"{COUNTS}, clean string, clean_chars long",
                       {key: col(key)})
     return _verdicts(judged)
 
@@ -219,34 +270,69 @@ def clean_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars
 
 def _sql() -> str:
     marks = r"[!-/:-@\[-`{-~]"
-    phrase = "|".join(PHRASES)
-    seps = ", ".join(f"'{s.decode()}'" for s in sorted(SEPARATORS))
+    listed = lambda values: ", ".join(f"'{v.decode()}'" for v in sorted(values))
+    ends = re.sub(r"\\(?:u|U000)([0-9a-f]+)", r"\\x{\1}", ALL_ENDS)
+    edge = r"[^0-9a-z_\x{80}-\x{10ffff}]+"
+    upper, lower = (bytes(range(x, x + 26)).decode() for x in (65, 97))
     return rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
            FROM documents),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS no
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM w)),
+split AS (
+  SELECT doc_id, no, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws,
+         length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+         length(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS width,
+         len(regexp_extract_all(line, '{marks}')) AS marks FROM lines),
 judged AS (
-  SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws,
-         length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM lines),
+  SELECT *, len(ws) AS n, len(list_filter(ws, lambda x: x IN ({listed(SEPARATORS)}))) AS seps,
+         len(list_filter(ws, lambda x: x IN ({listed(BARS)}))) AS bars,
+         len(list_filter(ws, lambda x: x IN ({listed(OPERATORS)}))) AS operators,
+         len(list_filter(ws, lambda x: regexp_matches(x, '^[\p{{Lu}}\p{{Lt}}]'))) AS capitals,
+         regexp_matches(line, '[{ends}]') AS ends,
+         CASE WHEN len(ws) < {MIN_WORDS} OR marks = 0 THEN 0
+              WHEN 100 * marks > {CODE_PCT} * chars THEN 2
+              WHEN 100 * marks > {PUNCTUATION_PCT} * chars THEN 1 ELSE 0 END AS much,
+         list_sum(list_transform(regexp_extract_all(array_to_string(list_transform(ws, lambda x:
+           ' ' || regexp_replace(translate(x, '{upper}', '{lower}'), '^{edge}|{edge}$', '', 'g') || ' '), ''),
+           ' (?:{_spaced})s? '), lambda m: len(regexp_extract_all(m, '[^ ]+')))) AS found
+  FROM split),
+-- paragraphs are the lines between lines without words, code runs those of like lines
+parts AS (
+  SELECT *, count(*) FILTER (WHERE n = 0) OVER so_far AS para, count(*) FILTER (WHERE much <> 1) OVER so_far AS code
+  FROM judged WINDOW so_far AS (PARTITION BY doc_id ORDER BY no)),
+full_lines AS (
+  SELECT *, count(*) OVER p AS run, count(*) FILTER (WHERE much = 1) OVER (PARTITION BY doc_id, code) AS code_run,
+         max(width) OVER p AS longest, lag(width) OVER o AS width_before
+  FROM (SELECT * FROM parts WHERE n > 0)
+  WINDOW p AS (PARTITION BY doc_id, para), o AS (PARTITION BY doc_id, para ORDER BY no)),
+wrapped AS (
+  SELECT *, run >= {WRAP_LINES} AND longest <= {WRAP_CHARS}
+            AND coalesce(bool_and(width_before + 1 + length(ws[1]) > longest) OVER (PARTITION BY doc_id, para), true)
+            AS wraps FROM full_lines),
+units AS (
+  SELECT *, count(*) FILTER (WHERE NOT (width_before IS NOT NULL
+              AND (wraps OR regexp_matches(line, '^[\x20\x09-\x0D]*\p{{Ll}}'))))
+            OVER (PARTITION BY doc_id, para ORDER BY no) AS unit FROM wrapped),
+known AS (SELECT *, NOT bool_or(ends) OVER (PARTITION BY doc_id, para, unit) AS no_end,
+                 CASE WHEN n <= {PHRASE_WORDS} THEN coalesce(found, 0) ELSE 0 END AS phrases FROM units),
 failing AS (
-  SELECT *, CASE
-    WHEN len(ws) <= {PHRASE_WORDS} AND regexp_matches(lower(line), '{phrase}') THEN true
-    WHEN len(ws) < {MIN_WORDS} THEN false
-    WHEN 100 * len(regexp_extract_all(line, '{marks}')) > {PUNCTUATION_PCT} * chars THEN true
-    WHEN len(ws) >= {LONG_LINE} AND NOT regexp_matches(line, '[.!?;:。…]') THEN true
-    ELSE len(list_filter(ws, lambda x: x IN ({seps}))) >= {MIN_SEPARATORS}
-     AND 100 * len(list_filter(ws, lambda x: x IN ({seps}))) >= {SEPARATOR_PCT} * len(ws) END AS fails
-  FROM judged WHERE len(ws) > 0),
+  SELECT *, much = 2 OR much = 1 AND code_run < {RUN_LINES} AND operators = 0
+    OR seps >= {MIN_SEPARATORS} AND 100 * seps >= {SEPARATOR_PCT} * n
+    OR no_end AND bars >= {MIN_BARS} AND n - bars <= {PART_WORDS} * (bars + 1)
+    OR 2 * phrases > n OR phrases > 0 AND no_end
+    OR n >= {LONG_LINE} AND no_end AND operators = 0 AND NOT (run >= {RUN_LINES} AND 2 * capitals <= n) AS fails
+  FROM known),
 line_counts AS (
   SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
          count(*) FILTER (WHERE fails) AS n_cut_lines,
          coalesce(sum(chars) FILTER (WHERE fails), 0) AS cut_chars
   FROM failing GROUP BY doc_id),
-runs AS (
+word_runs AS (
   SELECT doc_id, i, words[i : i + {REPEAT_WIDTH - 1}] AS run
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - {REPEAT_WIDTH - 2})) AS i FROM w)),
-often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs)
+often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM word_runs)
           WHERE n > 1),
 repeated AS (SELECT doc_id, count(*) AS n_repeat_words
              FROM (SELECT DISTINCT doc_id, i + k AS at FROM often, range(0, {REPEAT_WIDTH}) AS r(k))
@@ -269,4 +355,4 @@ FROM counts"""
 
 @query("op1_quality_rules", _sql())
 def op1(spark, sf_dir):
-    return quality_rules(table(spark, sf_dir, "documents"), plain=True).drop("clean", "clean_chars")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("clean", "clean_chars")

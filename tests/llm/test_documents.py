@@ -64,7 +64,51 @@ def test_prose_of_other_scripts_and_wrapped_prose_stays():
     for cut in (menu, "Sign in", "Read more", "Our newsletters", menu + "\nSport Weather Contact About Help Jobs Press Shop Deals Home News"):
         kept = quality.judge(f"{cut}\n{hindi}".encode())[1]
         assert kept == hindi.encode(), cut
-    assert quality.judge("They design in steel.".encode(), plain=True)[1] == b""  # as the SQL of op1
+
+
+GOOD_LINES = [
+    "The mill, powered by the river, ground corn for the whole valley until the war.",
+    "She could not log in before noon, so the report came late.",
+    "The society printed its first newsletter in 1920 and sold it at the harbour for a penny.",
+    "Shall I compare thee to a summer's day in all of its early light\nThou art more lovely and more temperate than that\n"
+    "Rough winds do shake the darling buds of May in the cold\nAnd summer's lease hath all too short a date for us",
+    "for (int i = 0; i < n; i++) {\n  total[i] += (a[i] * b[i]) - c[i];\n  if (total[i] > 0) { count += 1; }\n}",
+    "E = m c^2 + (p^2 / (2 * m)) - V(x)", "Note.", "Read the copyright act of 1911 with care.", "A | B"]
+BAD_LINES = [
+    "Accept | Reject | Settings", "Copyright 2024 Example Ltd", "Cookies help us deliver our services", "Sign in",
+    "Please subscribe to our newsletter.", "\u00a9 2024 All rights reserved.", "Home \u2022 About us \u2022 Contact",
+    "Sign in Sign up", "Click here to read more.", "We use cookies to improve your experience on this site",
+    "### $$$ %%% &&& *** <<<", "Home News Sport Weather Contact About Help Jobs Press Shop Deals"]
+
+
+def test_lines_that_stay_and_go():
+    for line in GOOD_LINES:
+        assert quality.judge(line.encode())[1] == line.encode(), line
+    for line in BAD_LINES:
+        assert quality.judge(line.encode())[1] == b"", line
+        assert quality.judge(f"{GOOD_LINES[0]}\n\n{line}\n\n{GOOD_LINES[1]}".encode())[0][6] == 1, line
+
+
+def test_rules_equal_their_sql_on_mixed_lines(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    r, texts = random.Random(5), [None, "", " \n\t\n"]
+    pieces = [p for t in GOOD_LINES + BAD_LINES for p in t.split("\n")] + [
+        "", "  ", "Sign-in", "\u00c9t\u00e9 sign  IN, (log in)", "\u0939\u093f\u0928\u094d\u0926\u0940 \u0964",
+        "and so it went on", "\u00e9lan and more of it", "a  b\tc\x0bd", "x == y -> z ((((", "- one - two - three - four"]
+    for _ in range(400):
+        texts.append("\n".join(r.choice(pieces) if r.random() < 0.7 else " ".join(
+            r.choice(r.choice(pieces).split() or ["x"]) for _ in range(r.randrange(1, 20))) for _ in range(r.randrange(1, 9))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "d"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = db.sql(quality._sql())
+    names = want.columns
+    got = quality.quality_rules(docs).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
 def test_token_counts_are_those_of_the_library(spark, odd_docs, no_docs, tmp_path):
