@@ -10,6 +10,9 @@ is read from it.
 Encoding adds up the counts of a text's words; words that a task has seen are looked up.
 A single task therefore asks the library about each word once, as long as its cache holds.
 
+Texts that over one in ``HOT`` of all rows share get their counts from a broadcast of fewer
+than ``HOT`` rows, and blank texts need none, so the join's keys are spread evenly.
+
 Cases: null and empty texts, and texts of white space, have no tokens; texts of any
 length are encoded whole; repeated texts are encoded once and counted each; null ids are
 carried; an empty table leaves the cache as it is. Extra columns are not read.
@@ -28,7 +31,7 @@ from answerlake.llm.common import col, per_text, table, utf8
 from answerlake.runtime import cut_lineage, shared_dir
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
-WORD_CACHE, ENCODE_BATCH = 150_000, 1_000
+WORD_CACHE, ENCODE_BATCH, HOT = 150_000, 1_000, 10_000
 CACHE_SCHEMA = "version binary, digest binary, n_tokens long"
 
 
@@ -129,6 +132,13 @@ def _encode(vocabulary, version):
     return work
 
 
+def _hot(keyed: DataFrame) -> DataFrame:
+    """Digests that over one in ``HOT`` of all rows have, so fewer than ``HOT`` of them."""
+    total = keyed.count()
+    return (keyed.where(F.col("own").isNotNull()).groupBy(F.col("own").alias("digest"))
+            .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT > total).select("digest"))
+
+
 def token_counts(docs: DataFrame, cache: str, key: str = "doc_id", text: str = "text",
                  vocabulary: str = None, limit: int = LIMIT) -> DataFrame:
     """One row per document: key, n_bytes, n_tokens, over_limit. ``cache`` is the folder
@@ -145,7 +155,7 @@ def token_counts(docs: DataFrame, cache: str, key: str = "doc_id", text: str = "
             found = spark.read.schema(CACHE_SCHEMA).parquet(cache)
         except AnalysisException:
             return None
-        return found.where(F.col("version") == F.lit(version)).select("digest", "n_tokens").dropDuplicates(["digest"])
+        return found.where(F.col("version") == F.lit(version)).select("digest", "n_tokens")
 
     # the texts of missing digests meet at the encoder, which takes one of each
     misses, known = docs.select(col(text).cast("string").alias("text")).mapInArrow(
@@ -153,7 +163,14 @@ def token_counts(docs: DataFrame, cache: str, key: str = "doc_id", text: str = "
     if known is not None:
         misses = misses.join(known.select("digest"), "digest", "left_anti")
     misses.repartition("digest").mapInArrow(_encode(sent, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
-    return (keyed.join(stored(), "digest", "left")
+    counts, keyed = stored(), keyed.withColumnRenamed("digest", "own")
+    found = cut_lineage(counts.join(F.broadcast(_hot(keyed)), "digest", "left_semi")
+                        .dropDuplicates(["digest"]), "hot-counts")
+    once = keyed.join(F.broadcast(found), F.col("own") == F.col("digest"), "left").drop("digest")
+    open_ = F.col("own").isNotNull() & F.col("n_tokens").isNull()
+    rest = once.where(open_).drop("n_tokens").join(
+        counts.dropDuplicates(["digest"]).withColumnRenamed("digest", "own"), "own", "left")
+    return (once.where(~open_).unionByName(rest)
             .withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("long")))
             .select(F.col("doc_key").alias(key), "n_bytes", "n_tokens",
                     (F.col("n_tokens") > limit).alias("over_limit")))

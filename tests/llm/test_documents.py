@@ -132,6 +132,22 @@ def test_token_counts_are_those_of_the_library(spark, odd_docs, no_docs, tmp_pat
     assert token_counts.token_counts(no_docs, cache).count() == 0
 
 
+def test_hot_texts_meet_no_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "HOT", 5)
+    texts = ["the same text"] * 40 + [""] * 30 + [None] * 10 + [f"text {i % 15}" for i in range(45)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = token_counts.per_text(docs, "text", token_counts._keys, "n_bytes long, digest binary")
+    assert token_counts._hot(keyed.withColumnRenamed("digest", "own")).count() == 1
+    with open(token_counts.vocabulary_path(), "rb") as f:
+        count = token_counts.Counter(f.read())
+    cache = str(tmp_path / "cache")
+    token_counts.token_counts(docs.limit(80), cache).collect()  # some counts are stored, some are missing
+    for _ in range(2):
+        got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, cache).collect()}
+        assert got == {i: count((t or "").encode()) for i, t in enumerate(texts)}
+    assert spark.read.parquet(cache).count() == 16
+
+
 def test_word_cache_smaller_than_a_text(monkeypatch):
     monkeypatch.setattr(token_counts, "WORD_CACHE", 10)
     with open(token_counts.vocabulary_path(), "rb") as f:
