@@ -502,3 +502,20 @@ def test_multimodal_batch(spark):
     assert {(r.model, r.mm_type) for r in out.collections.collect()} == {("m_1", "mm"), ("m_1", "text")}
     assert sorted((r.model or "", r.delta_time is not None) for r in out.query_log.collect()).count(("m_1", True)) >= 5
     assert out.query_log.where("model = 'gone'").count() == 0
+
+
+def test_only_a_local_session_may_use_a_local_folder():
+    from types import SimpleNamespace
+
+    from answerlake.runtime import shared_dir
+
+    for master, fine in (("local", True), ("local[8]", True), ("local[*,3]", True),
+                         ("local-cluster[2,1,1024]", False), ("spark://host:7077", False)):
+        kept = {}
+        session = SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(
+            get=lambda name, default=None: kept.get(name, default), set=kept.__setitem__))
+        if fine:
+            assert shared_dir(session, "x").startswith(kept["spark.checkpoint.dir"])
+        else:
+            with pytest.raises(RuntimeError):
+                shared_dir(session, "x")
