@@ -1,16 +1,20 @@
 """Main text of web pages: flat blocks, described with their neighbours, kept by a tree.
 
-A page is cut at block tags into blocks of text; inline tags, comments, scripts, styles
-and other elements whose content is no prose leave no text. A block is described by its
-word count and link density, those of the blocks before and after it, whether it stands
-in the article, whether the page has one, and whether an element around it (inside the
+A page is cut at block tags into blocks of text; inline tags, comments, scripts, styles and
+other elements whose content is no prose leave no text. A block is described by its word
+count and link density, those of the blocks before and after it (an article's blocks have
+neighbours in the article alone), whether it stands in the article, whether the page has
+one, whether it ends like a sentence, and how firmly an element around it (inside the
 article, if it is in one) is a menu, header, footer, sidebar, notice, advert, form or
-comment list by its tag, role, class or id. A name that only says that something is there
-or not (no-sidebar, has-comments, comments-open) marks nothing. A form marks neither an
-article that it holds nor blocks of which it has over half of the page's words. What else
-is around an ``article`` or ``main`` by class or id marks it only on pages that have
-another that nothing marks. A decision tree, trained on a small table of
-labelled blocks that is built from rules below, decides which blocks stay.
+comment list by its tag, role, class or id: 1 for a tag or a name of such words alone (site-
+footer), 0.5 for a name that also has others (header-image), of which the tree decides by
+words, links and neighbours. A name that only says that something is there or not (no-
+sidebar, has-comments, comments-open) marks nothing. A form marks neither an article that it
+holds nor blocks of which it has over half of the page's words. What else is around an
+``article`` or ``main`` by class or id marks it only on pages that have another that nothing
+marks. A decision tree decides which blocks stay. It is trained on a small table of labelled
+blocks: pages with hand-set labels (labelled_pages.txt), in several sizes, and pages that
+are built from rules below.
 
 Character references are decoded, white space inside a block becomes one blank, blocks
 are trimmed and joined by one blank in page order.
@@ -22,6 +26,7 @@ repeated rows are extracted each; null ids and urls are carried; extra columns a
 
 import html as references
 import itertools
+import pkgutil
 import re
 
 import pyarrow as pa
@@ -33,8 +38,8 @@ from answerlake.llm import query
 from answerlake.llm.common import col, per_text, table
 
 FEATURES = ("n_words", "link_density", "words_before", "links_before", "words_after", "links_after",
-            "in_article", "has_article", "marked", "heading", "item")
-MAX_DEPTH = 8
+            "in_article", "has_article", "marked", "heading", "item", "sentence")
+MAX_DEPTH, SIZES = 12, (0.5, 1, 1.6, 2.5)
 
 _attributes = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
 _tag = re.compile(
@@ -45,6 +50,8 @@ _tag = re.compile(
     rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_attributes}|[^>]*)>", re.S | re.I)
 _attribute = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_end = re.compile(r"""[.!?:;\u2026\u3002\uff01\uff1f\u0964\u06d4\u061f\u1362]["'\u2019\u201d\u00bb)\]]*\Z""")
+_placeholder = re.compile(r"\{(\d+)(?::(\d+))?(\.?)\}")
 
 # Elements that end a block, and those of them that hold others.
 CONTAINERS = frozenset("""html body div section article main nav header footer aside form ul ol dl table
@@ -65,32 +72,38 @@ disclaimer""".split())
 # Words of names that describe a layout or state, not the element's role.
 STATES = frozenset("""no not non without has have with is open opened on off closed enabled disabled layout template
 theme columns""".split())
+# Words of names that add nothing to a mark beside them.
+PLAIN = frozenset("""wrapper wrap container inner outer block box area section zone region group holder panel pane
+module list item items link links bar top bottom left right site page main global primary secondary row col column
+content text title thread button slot unit post entry story article body view large small mobile desktop sticky
+fixed message""".split())
 ARTICLE_MARKS = frozenset("article content post entry story main maincontent articlebody".split())
 
 
 def _named(attributes: str) -> tuple:
-    """The words of class, id and role, those that may mark, and whether the element is hidden."""
-    words, marks, hidden = set(), set(), False
+    """The words of class, id and role, how firmly they mark, and whether the element is hidden."""
+    words, mark, hidden = set(), 0.0, False
     for name, value in _attribute.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
             for one in value.split():
                 parts = {w.lower() for w in _part.findall(one)}
                 words |= parts
-                if not parts & STATES:
-                    marks |= parts & MARKS
+                marks = parts & MARKS
+                if marks and not parts & STATES and not (marks == {"header"} and parts & ARTICLE_MARKS):
+                    mark = max(mark, 1.0 if parts <= MARKS | PLAIN else 0.5)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    return words, marks, hidden
+    return words, mark, hidden
 
 
 def blocks(page: str) -> list:
     """(text, words, words in links, in article, marked, heading, item) of each block."""
     out, parts, state = [], [], {"links": 0, "heading": 0, "item": 0}
-    # open containers: (tag, in article, marked, marked around the article only, in a form)
-    stack, nothing = [], ("", False, (False, False), False, False)
+    # open containers: (tag, in article, marked by tag and by name, by names around the article only, in a form)
+    stack, nothing = [], ("", False, (False, 0.0), 0.0, False)
     in_link = 0
 
     def flush():
@@ -131,41 +144,60 @@ def blocks(page: str) -> list:
             in_link = 0
             continue
         _, article, (firm, soft), around, form = stack[-1] if stack else nothing
-        words, marks, hidden = _named(m.group(4) or "")
-        named = bool(marks)
+        words, named, hidden = _named(m.group(4) or "")
         own = tag in MARKED_TAGS and tag != "form" or tag == "header" and not article or hidden
         in_form = form or tag == "form"
-        enters = not article and not own and not named and tag != "form" and (
-            tag in ARTICLE_TAGS or "main" in words or bool(words & ARTICLE_MARKS and tag in ("div", "section")))
+        enters = not article and not own and named < 1 and tag != "form" and (
+            tag in ARTICLE_TAGS or not named and (
+                "main" in words or bool(words & ARTICLE_MARKS and tag in ("div", "section"))))
         if tag in ("body", "html"):
-            own = named = enters = False
+            own, named, enters = False, 0.0, False
         if enters:
             in_form = False
             if tag in ARTICLE_TAGS or "main" in words:
-                soft, around = False, soft
-        stack.append((tag, article or enters, (firm or own, soft or named), around, in_form))
+                soft, around = 0.0, soft
+        stack.append((tag, article or enters, (firm or own, max(soft, named)), around, in_form))
     if at < len(page):
         parts.append((page[at:], in_link > 0))
     flush()
     clear = any(b[3] and not any(b[4]) and not b[7] for b in out)
     whole = 2 * sum(b[1] for b in out if b[8] and not b[3]) > sum(b[1] for b in out)
-    return [(*b[:4], any(b[4]) or b[7] and clear or b[8] and (b[3] or not whole), *b[5:7]) for b in out]
+    return [(*b[:4], max(*map(float, b[4]), b[7] if clear else 0.0, float(b[8] and (b[3] or not whole))), *b[5:7])
+            for b in out]
 
 
 def described(found: list) -> list:
     """The features of each block."""
     has_article = float(any(b[3] for b in found))
     size = [(float(b[1]), min(1.0, b[2] / b[1])) for b in found]
-    none = (0.0, 0.0)
-    return [(*size[i], *(size[i - 1] if i else none), *(size[i + 1] if i + 1 < len(found) else none),
-             float(b[3]), has_article, float(b[4]), float(b[5]), float(b[6])) for i, b in enumerate(found)]
 
+    def beside(i, k):
+        return size[k] if 0 <= k < len(found) and found[k][3] == found[i][3] else (0.0, 0.0)
 
-def _prose(n: int, links: int = 0) -> str:
+    return [(*size[i], *beside(i, i - 1), *beside(i, i + 1),
+             float(b[3]), has_article, b[4], float(b[5]), float(b[6]),
+             float(bool(_end.search(b[0])))) for i, b in enumerate(found)]
+
+
+def _prose(n: int, links: int = 0, end: str = ".") -> str:
     words = ("river stone market early walks under clouds while people carry paper lamps toward old "
              "houses near quiet fields").split()
     text = [words[(7 * i + n) % len(words)] for i in range(n)]
-    return " ".join(f'<a href="/{i}">{w}</a>' if i < links else w for i, w in enumerate(text)) + "."
+    return " ".join(f'<a href="/{i}">{w}</a>' if i < links else w for i, w in enumerate(text)) + end
+
+
+def hand_labelled_pages():
+    """Pages as lists of (html, whether its blocks are main text): the layouts of the file, in several sizes."""
+    lines = pkgutil.get_data(__package__, "labelled_pages.txt").decode().splitlines()
+    layouts = [list(g) for full, g in itertools.groupby((x for x in lines if not x.startswith("#")), bool) if full]
+    for layout, size in itertools.product(layouts, SIZES):
+        def prose(m, size=size):
+            n, linked = (int(m.group(1)), int(m.group(2) or 0))
+            words = max(1, round(n * size)) if n > 1 else n
+            return _prose(words, words if linked == n else round(linked * size), m.group(3))
+
+        yield [(_placeholder.sub(prose, html), sign[0] == "+") for sign, html in (x.split(" ", 1) for x in layout)
+               for _ in range(int(sign[1:] or 1))]
 
 
 def labelled_pages():
@@ -202,7 +234,7 @@ def labelled_pages():
 def labelled_blocks() -> list:
     """(features, label) of every block of the labelled pages."""
     rows = []
-    for page in labelled_pages():
+    for page in itertools.chain(hand_labelled_pages(), labelled_pages()):
         html = "".join(part for part, _ in page)
         labels, done = [], 0
         for k in range(1, len(page) + 1):
@@ -217,7 +249,7 @@ def train(spark: SparkSession, rows: list = None, max_depth: int = MAX_DEPTH):
     """The tree as nested (feature, threshold, left, right) with labels as leaves."""
     data = spark.createDataFrame([(Vectors.dense(f), y) for f, y in rows or labelled_blocks()],
                                  ["features", "label"])
-    model = DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=1, seed=0).fit(data.coalesce(1))
+    model = DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=3, seed=0).fit(data.coalesce(1))
 
     def read(node):
         if node.getClass().getSimpleName() == "LeafNode":

@@ -38,6 +38,92 @@ def test_main_text_of_small_pages(tree):
         assert main_text.main_text(page, tree) == want
 
 
+HELD_OUT = [  # pages and their main text, none of which trained the tree
+    # bare divs: menu, list of stories, article, copyright
+    ('<body><div><a href="/">The Harbour Post</a></div><div><a href="/n">News</a></div><div><a href="/s">Sport</a></div>'
+     '<div><a href="/w">Weather</a></div><div>Top stories</div><div><a href="/1">Ferry to the islands is late again</a></div>'
+     '<div><a href="/2">School roof mended after the storm</a></div><div><a href="/3">New lamps for the old pier</a></div>'
+     "<h1>Council agrees to rebuild the sea wall before winter</h1><div><p>The council agreed on Monday to rebuild the sea "
+     "wall, which two storms in January had broken in three places, and to pay for it from the money kept for roads.</p>"
+     "<h2>Three places</h2><p>Engineers walked the whole length of the wall in March and found cracks near the school, the "
+     "market and the old pier, where the ground behind it has already begun to sink.</p><p>Work begins in June.</p><p>The "
+     "harbour stays open while the work goes on, but boats over ten metres must lie at the outer mole until autumn.</p></div>"
+     '<div>More stories</div><div><a href="/4">What the fishermen say about the plan</a></div><div><a href="/5">A short '
+     "history of the mole</a></div><div><a href='/6'>Storm damage in pictures</a></div><div>Copyright 2024 Example Ltd</div></body>",
+     "Council agrees to rebuild the sea wall before winter The council agreed on Monday to rebuild the sea wall, which two "
+     "storms in January had broken in three places, and to pay for it from the money kept for roads. Three places Engineers "
+     "walked the whole length of the wall in March and found cracks near the school, the market and the old pier, where the "
+     "ground behind it has already begun to sink. Work begins in June. The harbour stays open while the work goes on, but "
+     "boats over ten metres must lie at the outer mole until autumn."),
+    # related links inside the article, a heading between paragraphs
+    ('<nav><ul><li><a href="/">Home</a></li><li><a href="/g">Garden</a></li></ul></nav><article><h1>How to prune an old apple '
+     "tree</h1><p>An old tree wants three winters, not one: take out the dead wood first, then the branches that cross, and "
+     "only in the last year those that shade the middle of the crown.</p><h3>Read on</h3><ul><li><a href='/a'>When to plant a "
+     "young pear tree</a></li><li><a href='/b'>Tools for the winter garden</a></li><li><a href='/c'>What to do with windfalls"
+     "</a></li></ul><p>Cut on a dry day with a sharp saw, just outside the ring of bark where the branch begins, and leave "
+     "the wound open, since paint keeps the water in.</p><h2>Afterwards</h2><p>Feed the tree in spring with compost and keep "
+     "the grass away from the trunk until midsummer.</p></article><footer>The garden pages, written by readers</footer>",
+     "How to prune an old apple tree An old tree wants three winters, not one: take out the dead wood first, then the "
+     "branches that cross, and only in the last year those that shade the middle of the crown. Cut on a dry day with a sharp "
+     "saw, just outside the ring of bark where the branch begins, and leave the wound open, since paint keeps the water in. "
+     "Afterwards Feed the tree in spring with compost and keep the grass away from the trunk until midsummer."),
+    # names that hold a mark but are none
+    ('<header>Law notes</header><article><h1>Ending a lease early</h1><div class="header-image"><p>The picture shows the first '
+     "printed lease of the town, which bound the tenant for ninety-nine years without any way out of it.</p></div><section "
+     'class="notice-period"><h2>How long it takes</h2><p>A tenant who wants to leave must write three months before the day, '
+     "and the letter counts from the end of the month in which the owner has received it.</p><p>Shorter times hold only where "
+     'both sides have signed them.</p></section></article><div class="cookie-banner">We use cookies on this site and ask you '
+     "to agree to all of them before you read any further.</div>",
+     "Ending a lease early The picture shows the first printed lease of the town, which bound the tenant for ninety-nine years "
+     "without any way out of it. How long it takes A tenant who wants to leave must write three months before the day, and the "
+     "letter counts from the end of the month in which the owner has received it. Shorter times hold only where both sides "
+     "have signed them."),
+    # a table layout
+    ('<table><tr><td><a href="/1">Start page</a><br><a href="/2">Old maps</a><br><a href="/3">Guest book</a></td><td><h2>The '
+     "mill on the upper river</h2><p>The mill was built of stone from the quarry behind it and ground corn for four villages "
+     "until the railway brought cheaper flour from the coast.</p><p>Its wheel was sold in the war, but the race and both "
+     "stones can be seen on any day on which the gate is open.</p></td></tr></table>",
+     "The mill on the upper river The mill was built of stone from the quarry behind it and ground corn for four villages until "
+     "the railway brought cheaper flour from the coast. Its wheel was sold in the war, but the race and both stones can be seen "
+     "on any day on which the gate is open."),
+]
+
+
+def test_held_out_pages_by_words(tree):
+    from collections import Counter
+
+    common = made = wanted = 0
+    for page, want in HELD_OUT:
+        got, right = Counter(main_text.main_text(page, tree).split()), Counter(want.split())
+        common, made, wanted = common + (got & right).total(), made + got.total(), wanted + right.total()
+    assert common >= 0.97 * made and common >= 0.97 * wanted
+
+
+def test_tree_splits_on_neighbours(tree):
+    def used(node):
+        return {main_text.FEATURES[node[0]]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
+
+    assert used(tree) >= {"link_density", "links_after", "words_before"}
+
+
+def test_short_blocks_of_an_article_stay(tree):
+    text = "The mill was built of stone from the quarry behind it and ground corn for four villages"
+    menu = '<ul><li><a href="/">One two</a></li></ul>'
+    for n in (1, 2, 4, 9, 16):
+        for end in ("", "."):
+            x = " ".join(text.split()[:n]) + end
+            for before, inside, after in (("", [text + ".", x], ""), ("<nav><a>x</a></nav>", [x], ""), ("", [x, text, x], menu),
+                                          (menu, [text, x], "<footer>One two</footer>"), (menu, [x, x, text + "."], menu)):
+                page = f"{before}<article>{''.join(f'<p>{p}</p>' for p in inside)}</article>{after}"
+                assert main_text.main_text(page, tree) == " ".join(inside), page
+
+
+def test_marks_in_full_names_and_in_parts_of_names():
+    for name, mark in (("site-footer", 1), ("header-image", 0.5), ("notice-period", 0.5), ("ad", 1), ("adSlot top", 1),
+                       ("no-sidebar", 0), ("entry-header", 0), ("story", 0), ("cookieNotice", 1)):
+        assert main_text._named(f' class="{name}"')[1] == mark, name
+
+
 def test_wrappers_keep_the_article(tree):
     one, two = (f"The {w} of the committee met on Tuesday and agreed to publish its findings in the spring." for w in ("head", "whole"))
     article = f"<p>{one}</p><p>{two}</p>"
