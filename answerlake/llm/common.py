@@ -32,13 +32,21 @@ def code_points(data: bytes) -> int:
     return len(data.translate(None, CONTINUATION))
 
 
-def per_text(df: DataFrame, text: str, fn, out: str, keep=None) -> DataFrame:
+def slices(batches, rows: int):
+    """The batches in pieces of at most ``rows`` rows, so that what a task makes of them stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def per_text(df: DataFrame, text: str, fn, out: str, keep=None, rows: int = None) -> DataFrame:
     """Columns made from a text column, beside the other columns.
 
     ``fn`` is called in each task and returns a function from a list of texts
     (bytes, None for null) to a dictionary of Arrow arrays as in ``out``, a DDL
     schema. ``keep`` maps names of the result to columns that are carried
-    through; they travel in one struct, so their names cannot clash.
+    through; they travel in one struct, so their names cannot clash. With ``rows``
+    tasks work on and return pieces of at most so many rows.
     """
     keep = keep or {}
     carried = F.struct(*[c.alias(n) for n, c in keep.items()]) if keep else F.struct(F.lit(1).alias("_"))
@@ -46,7 +54,7 @@ def per_text(df: DataFrame, text: str, fn, out: str, keep=None) -> DataFrame:
 
     def work(batches):
         apply = fn()
-        for batch in batches:
+        for batch in slices(batches, rows) if rows else batches:
             made = apply(utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *made.values()], names=["carried", *made])

@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlake.llm import query
-from answerlake.llm.common import ALNUM_LOWER, col, table, utf8
+from answerlake.llm.common import ALNUM_LOWER, col, slices, table, utf8
 from answerlake.runtime import cut_lineage
 
 WIDTH = 10
 BLOCK_BYTES = 1 << 20
 PIECE_WORDS = 20_000
 MAX_COVERAGE_PCT = 50
+ROWS = 1000  # rows that a task holds at once
 
 _word = re.compile(rb"[^ ]+")
 FOUND = "n_words long, spans array<long>, items array<string>"
@@ -181,7 +182,7 @@ def _pass(block, width, last, remove):
     """
     def work(batches):
         automaton = Automaton(block.value, width) if block else None
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             texts = utf8(batch.column(1))
             counts, spans, items, clean = [], [], [], []
             for text, s, i in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):

@@ -77,6 +77,7 @@ MIN_WORDS, LONG_LINE, PHRASE_WORDS = 5, 10, 30
 PUNCTUATION_PCT, CODE_PCT, SEPARATOR_PCT, MIN_SEPARATORS = 15, 65, 15, 4
 MIN_BARS, PART_WORDS, RUN_LINES = 2, 4, 3
 WRAP_LINES, WRAP_CHARS = 3, 120
+ROWS = 1000  # rows that a task of the cleaning stage holds at once
 MAX_LOST_PCT = 50
 MIN_DOC_WORDS, REPEAT_WIDTH, MAX_REPEAT_PCT = 10, 5, 20
 
@@ -221,11 +222,14 @@ def judge(text: bytes) -> tuple:
     return counts, b"\n".join(kept) if n_cut else text
 
 
-def _counts():
+def _counts(only_cut: bool = False):
+    """With ``only_cut`` a text that loses no line has a null in place of its cleaned text."""
     names = [c.split()[0] for c in COUNTS.split(", ")]
 
     def apply(texts):
         rows = [judge(t) for t in texts]
+        if only_cut:
+            rows = [(counts, clean if counts[6] else None) for counts, clean in rows]
         made = {n: pa.array([r[0][k] for r in rows], pa.int64()) for k, n in enumerate(names)}
         made["clean"] = pa.array([r[1] for r in rows], pa.binary()).cast(pa.string())
         made["clean_chars"] = pa.array([None if r[1] is None else code_points(r[1]) for r in rows],
@@ -254,8 +258,8 @@ def clean_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars
 
     ``n_chars``, where there is such a column, is set anew for texts that lost lines.
     """
-    judged = _verdicts(per_text(docs, text, _counts, f"{COUNTS}, clean string, clean_chars long",
-                                {f"given_{i}": col(c) for i, c in enumerate(docs.columns)}))
+    judged = _verdicts(per_text(docs, text, lambda: _counts(True), f"{COUNTS}, clean string, clean_chars long",
+                                {f"given_{i}": col(c) for i, c in enumerate(docs.columns)}, ROWS))
     kept, cut = judged.where("kept"), F.col("n_cut_lines") > 0
     out = []
     for i, c in enumerate(docs.columns):
