@@ -350,3 +350,23 @@ def test_filters_cover_what_they_say(spark):
         n = np.array(list(counts[lang].values()))
         hit = ((filters.masks(grams)[:, 0] >> np.uint64(i)) & np.uint64(1)).astype(bool)
         assert n[hit].sum() >= 0.99 * n.sum(), lang
+
+
+def test_small_pieces_give_the_same_documents(spark, odd_docs, monkeypatch):
+    line = "Home | News | Sport | Contact | About | Help\n"
+    good = "The committee met on Tuesday and agreed to publish its findings in the spring of next year."
+    docs = spark.createDataFrame([(i, line * (i % 3) + f"{good} It has {i} parts.", None) for i in range(12)] + [(12, None, 1), (13, "", 1)],
+                                 "doc_id long, text string, n_chars long").coalesce(1)
+    items = spark.createDataFrame([("a", good)], "item_id string, text string")
+
+    def made():
+        clean = quality.clean_documents(docs)
+        return [sorted(map(repr, frame.collect())) for frame in (
+            clean, quality.clean_documents(odd_docs), decontaminate.remove_benchmark(docs, items),
+            decontaminate.contamination(docs, items))]
+
+    whole = made()
+    monkeypatch.setattr(quality, "ROWS", 2)
+    monkeypatch.setattr(decontaminate, "ROWS", 2)
+    # the base rules reject the four documents with a repeated menu
+    assert made() == whole and len(whole[0]) == 8
