@@ -154,3 +154,24 @@ def test_balls_prune_and_write_no_vectors(spark, monkeypatch):
     assert {n for n, c in written if "_v" in c} == {"vectors", "pivots"}
     assert "_cell" in counts[0].columns
     assert counts[0].selectExpr("sum(_q_rows * _e_rows)").first()[0] <= 600 * 600 / 10
+
+
+def test_small_tiles_do_not_copy_rows_with_the_square(spark):
+    """Copies of a row are the tiles of the other side; they grow only once tiles are full."""
+    rows = spark.createDataFrame([(n,) for n in (0, 1, 64, 300, 500, 25_000, 131_072, 10_000_000)], "n long")
+    got = [tuple(r) for r in rows.select(vj.tile_count(F.col("n"), 64), vj.tile_count(F.col("n"), 16_384)).collect()]
+    assert got == [(0, 0), (1, 1), (1, 1), (5, 1), (8, 1), (8, 2), (8, 8), (611, 611)]
+
+
+def test_candidates_hold_the_smallest_of_every_row():
+    """Also where all of them stand in one slice of the columns, and with ties."""
+    r = np.random.default_rng(5)
+    for cols in (3, 700, 1024, 1500, 4001):
+        cost = r.integers(0, 40, (20, cols)).astype(np.float32)
+        cost[0] = 7
+        cost[1, ::256] -= 100
+        for k in (1, 3, 20):
+            at, col = vj._candidates(cost, k, 0.0)
+            for i in range(len(cost)):
+                found = np.sort(cost[i, col[at == i]])[:k]
+                assert len(set(col[at == i])) == (at == i).sum() and list(found) == list(np.sort(cost[i])[:k])
