@@ -11,16 +11,17 @@ vectors are joined by tiles of rows without pivots. Either way rows are those of
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerlake.operators.vector_join import TILE_ROWS, _by_dim, tile_matches
-from answerlake.runtime import few_rows, cut_lineage, salted_join, top_n
+from answerlake.runtime import broadcast_if_small, few_rows, cut_lineage, salted_join, top_n
 
 PIVOTS = 256
 REACH = 0.5
 SAMPLE = 1 << 30
+SALTS, SALT_ROWS = 64, 1000
 GROUP = ["_dim"]  # vectors of different dimensions are never near
 
 
@@ -36,6 +37,11 @@ def _distinct(vectors: DataFrame, by: list, out: str) -> DataFrame:
     return vectors.groupBy(*by, *GROUP, "_h", "_g", "_v").agg(F.min("_id").alias(out), F.count(F.lit(1)).alias("copies"))
 
 
+def _salts(copies: Column) -> Column:
+    """Partitions over which the requests of one vector are spread."""
+    return F.least(F.lit(SALTS), F.ceil(copies / F.lit(SALT_ROWS))).cast("int")
+
+
 def _pivots(stored: DataFrame, sizes: DataFrame, by: list, most: int) -> DataFrame:
     """About the root of a group's distinct vectors, at most ``most``: those of least hash, drawn
     from the few whose hash lies in the share of its range that holds twice as many."""
@@ -158,13 +164,18 @@ def range_join(requests: DataFrame, entries: DataFrame, radius: float, by=("mode
     by = list(by)
     q = _vectors(requests, by, request_id, vector)
     stored = cut_lineage(_distinct(_vectors(entries, by, entry_id, vector), by, "_e"), "stored-vectors")
-    asked = cut_lineage(_distinct(q, by, "_q").drop("copies"), "asked-vectors")
+    asked = cut_lineage(_distinct(q, by, "_q").withColumn("_salts", _salts(F.col("copies"))).drop("copies"), "asked-vectors")
     found = _matches(asked, stored, by, radius, pivots, tile_rows, reach).drop("_dim")
     keys = [*by, *GROUP, "_h", "_g"]
     # the written side has a key once, so adaptive execution may split a hot vector of the other
-    members = q.select(*keys, F.col("_id").alias(request_id)).join(asked.select(*keys, "_q"), keys)
+    members = q.select(*keys, F.col("_id").alias(request_id)).join(asked.select(*keys, "_q", "_salts"), keys)
+    members = members.withColumn("_salt", F.pmod(F.xxhash64(request_id), F.col("_salts")).cast("int"))
     per_entry = salted_join(found, stored.select(*by, "_e", "copies"), [*by, "_e"], "inner", spread=["_q"])
-    return (salted_join(members.select(*by, "_q", request_id), per_entry, [*by, "_q"], "inner", spread=[request_id])
+    # matches of a request are repeated only where many requests have its vector
+    hot = cut_lineage(asked.where(F.col("_salts") > 1).select(*by, "_q", "_salts"), "hot-requests")
+    salts = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    per_entry = per_entry.join(broadcast_if_small(hot), [*by, "_q"], "left").withColumn("_salt", F.explode(salts)).drop("_salts")
+    return (members.select(*by, "_q", "_salt", request_id).join(per_entry, [*by, "_q", "_salt"])
             .select(*by, request_id, F.col("_e").alias(entry_id), "copies", "score"))
 
 

@@ -175,3 +175,18 @@ def test_candidates_hold_the_smallest_of_every_row():
             for i in range(len(cost)):
                 found = np.sort(cost[i, col[at == i]])[:k]
                 assert len(set(col[at == i])) == (at == i).sum() and list(found) == list(np.sort(cost[i])[:k])
+
+
+def test_range_matches_are_repeated_only_for_hot_requests(spark, monkeypatch):
+    """Matches of a vector that few requests have are not copied, and rows stay those of brute force."""
+    from answerlake.operators import range_join as R
+    copies = spark.createDataFrame([(n,) for n in (1, 1000, 1001, 10**9)], "n long")
+    assert [r[0] for r in copies.select(R._salts(F.col("n"))).collect()] == [1, 1, 2, 64]
+    monkeypatch.setattr(R, "SALT_ROWS", 3)
+    e, q = data(seed=11, entries=60, requests=20)
+    q += [(f"c{i:03d}", *q[i % 2][1:]) for i in range(30)]
+    near = lambda v, w: sum((a - b) ** 2 for a, b in zip(v, w)) <= 4.0
+    pairs = [(a, m) for a, m, v in q for _, t, w in e if t == m and near(v, w)]
+    got = range_join(spark.createDataFrame(q, REQUEST), spark.createDataFrame(e, ENTRY), 4.0).collect()
+    assert {(r.request_id, r.model) for r in got} == set(pairs) and sum(r.copies for r in got) == len(pairs)
+    assert len({(r.request_id, r.id) for r in got}) == len(got)
