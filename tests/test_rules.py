@@ -519,3 +519,22 @@ def test_only_a_local_session_may_use_a_local_folder():
         else:
             with pytest.raises(RuntimeError):
                 shared_dir(session, "x")
+
+
+def test_large_token_table_holds_the_frequent_and_joins_the_rest(spark, monkeypatch):
+    """Means are those of a table that every task holds, and only tokens not held leave their text."""
+    from answerlake.operators import embed as E
+    from answerlake.functions.text import tokens
+    texts = ["a b a c", "z z a", "", None, "unknown", "a b c d e f g h a b", "q " + "a " * 40]
+    docs = spark.createDataFrame([(i % 6, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    table = spark.createDataFrame([(w, [float(ord(w)), 1.0, -0.5 * ord(w)]) for w in "abcdefghqz"], "token string, vec array<double>")
+    rows = lambda df: sorted((r[0], None if r[1] is None else [round(x, 9) for x in r[1]]) for r in df.collect())
+    once = docs.where("doc_id > 0")
+    want = rows(E.embed_token_mean(once, "doc_id", "text", table, 3)), rows(E.embed_long_windowed(once, "doc_id", "text", table, 3, 4))
+    monkeypatch.setattr(E, "few_rows", lambda *a: False)
+    for held in (1, 3, 100):
+        monkeypatch.setattr(E, "HELD_ROWS", held)
+        monkeypatch.setattr(E, "HELD_SHARE", 1)
+        assert (rows(E.embed_token_mean(once, "doc_id", "text", table, 3)), rows(E.embed_long_windowed(once, "doc_id", "text", table, 3, 4))) == want
+        left = E._token_sums(docs, "doc_id", tokens(F.col("text")), table, 3).groupBy("id").count().agg(F.sum("count")).first()[0]
+        assert left == {1: 7 + 2 + 1 + 7 + 1, 3: 7 + 1 + 5 + 1, 100: 7}[held]
