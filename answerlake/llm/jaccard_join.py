@@ -38,13 +38,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlake.llm import query
-from answerlake.llm.common import LOWER, col, per_text, table, utf8
+from answerlake.llm.common import LOWER, col, per_text, slices, table, utf8
 from answerlake.runtime import broadcast_if_small, cut_lineage, remove_folder, shared_dir
 
 WIDTH, THRESHOLD = 3, 90
 FREQUENT, MAX_FREQUENT, CHUNK = 8, 500_000, 1 << 21
 MIN_BITS, MAX_BITS = 256, 1 << 16
 WORD_CACHE = 200_000
+ROWS = 500  # documents that a task turns into n-grams at once
 
 
 class Shingler:
@@ -111,7 +112,7 @@ def _first_pass(width):
             none = [None] * int(often.sum())
             return rows(pa.array(none, kind), none, none, none, _signed(grams[often]), n[often])
 
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             kind, n, nodes, parity = batch.column(0).type, [], [], []
             for text in utf8(batch.column(1)):
                 grams = shingle(text)
@@ -139,7 +140,7 @@ def _prefixes(width, threshold, frequent):
     def work(batches):
         shingle, seen = Shingler(width), set()
         known, rank = frequent.value
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             grams, nodes, sizes, places = [], [], [], []
             for text in utf8(batch.column(0)):
                 own = shingle(text)
@@ -213,7 +214,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text:
     wanted = cut_lineage(nodes.join(used, "node").select("doc").distinct(), "wanted", folder)
     given = docs.select(col(key).alias("doc"), col(text).alias("text"))
     found = per_text(given.join(broadcast_if_small(wanted), given["doc"].eqNullSafe(wanted["doc"]), "left_semi"),
-                     "text", _sets(width), "node binary, grams array<long>")
+                     "text", _sets(width), "node binary, grams array<long>", rows=ROWS)
     sets = cut_lineage(found.join(broadcast_if_small(cut_lineage(used, "used", folder)), "node", "left_semi")
                        .dropDuplicates(["node"]), "sets", folder)
     both = (near.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")

@@ -239,3 +239,14 @@ def test_scores_beyond_64_bits(spark):
     assert got == 10 ** 6 * 9 // 20
     assert rows.select(collocations._score("a", "l", "r").alias("s")).schema["s"].dataType == T.LongType()
     assert rows.select(F.col("a")).count() == 1
+
+
+def test_ngram_tasks_work_on_small_pieces():
+    """What a task holds and returns at once does not grow with the rows of a batch."""
+    import pyarrow as pa
+    from answerlake.llm import jaccard_join as J
+    n = 2 * J.ROWS + 7
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([f"a b c{i}" for i in range(n)])], names=["doc", "text"])
+    out = [b for b in J._first_pass(3)([batch]) if b.num_rows and b.column("doc").null_count == 0]
+    assert [b.num_rows for b in out] == [J.ROWS, J.ROWS, 7]
+    assert [x for b in out for x in b.column("doc").to_pylist()] == list(range(n))
