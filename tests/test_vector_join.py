@@ -1,7 +1,10 @@
 """Searches against brute force on small tables with copies, hot tenants, ties,
 mixed dimensions and missing vectors."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +193,35 @@ def test_range_matches_are_repeated_only_for_hot_requests(spark, monkeypatch):
     got = range_join(spark.createDataFrame(q, REQUEST), spark.createDataFrame(e, ENTRY), 4.0).collect()
     assert {(r.request_id, r.model) for r in got} == set(pairs) and sum(r.copies for r in got) == len(pairs)
     assert len({(r.request_id, r.id) for r in got}) == len(got)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_a_full_tile_holds_its_vectors_once(metric):
+    """A task of knn_lsh, stream_lookup and rank_distance works on at most a full tile; beside its
+    two matrices (16 MB) it needs little. Four tasks share an executor's memory for Python."""
+    rng, n, dim = np.random.default_rng(3), vj.TILE_ROWS, 64
+    stored = rng.normal(size=(n, dim)).astype(np.float32)
+    asked = stored[rng.permutation(n)] + rng.normal(scale=0.1, size=(n, dim))
+    lists = lambda m: pa.chunked_array([pa.array(list(part)) for part in np.array_split(m, 2)])
+    ids = lambda c: pa.chunked_array([pa.array([f"{c}{i}" for i in range(n)])])
+    left, right = (ids("r"), lists(asked)), (ids("e"), lists(stored))
+    tracemalloc.start()
+    (qids, eids, score), = vj._reduce(left, right, "nearest", (2, None), metric)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(qids) == len(eids) == len(score) == 2 * n
+    assert peak < (40 if metric == "l2" else 56) << 20
+
+
+def test_equal_rows_are_found_by_checked_hashes(monkeypatch):
+    rng = np.random.default_rng(4)
+    m = rng.integers(0, 3, size=(3000, 4)).astype(float)
+    group, first = vj._groups_of_copies(m)
+    assert len(first) == len(np.unique(m, axis=0)) and (m[first][group] == m).all()
+    order = {tuple(r): i for i, r in reversed(list(enumerate(m.tolist())))}
+    assert all(order[tuple(m[i])] == i for i in first)
+    # rows of one hash that differ are still told apart
+    unique = np.unique
+    monkeypatch.setattr(vj.np, "unique", lambda a, **b: unique(a * 0 if a.dtype == np.uint64 else a, **b))
+    group, first = vj._groups_of_copies(m)
+    assert len(first) == 81 and (m[first][group] == m).all()
