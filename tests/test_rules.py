@@ -12,7 +12,7 @@ from answerlake.functions import vectors as V
 from answerlake.functions.ranking import COSINE, Gate, scale_threshold
 from answerlake.operators import embed as E
 from answerlake.operators import maintain as M
-from answerlake.runtime import cut_lineage
+from answerlake.runtime import cut_lineage, few_rows
 from answerlake.operators.shaping import blacklist_filter, mm_key, validate_requests
 from answerlake.plans.cache_lookup import cache_lookup
 from answerlake.plans.requests import handle_requests
@@ -538,3 +538,40 @@ def test_large_token_table_holds_the_frequent_and_joins_the_rest(spark, monkeypa
         assert (rows(E.embed_token_mean(once, "doc_id", "text", table, 3)), rows(E.embed_long_windowed(once, "doc_id", "text", table, 3, 4))) == want
         left = E._token_sums(docs, "doc_id", tokens(F.col("text")), table, 3).groupBy("id").count().agg(F.sum("count")).first()[0]
         assert left == {1: 7 + 2 + 1 + 7 + 1, 3: 7 + 1 + 5 + 1, 100: 7}[held]
+
+
+def test_batch_writes_payloads_of_their_verb_only(spark, monkeypatch):
+    """Every line carries a query, pairs and ids; only what its verb reads is written."""
+    from answerlake.plans import requests as plan
+    written, cut = {}, plan.cut_lineage
+    monkeypatch.setattr(plan, "cut_lineage", lambda df, name, *a: written.setdefault(name, cut(df, name, *a)))
+    said = [{"role": "user", "content": "hello"}]
+    load = {"query": said, "chat_info": [{"query": said, "answer": "a"}], "id_list": ["i"], "remove_type": "delete_by_id"}
+    lines = [json.dumps({"requestId": verb, "type": verb, "scope": {"model": model}, **load})
+             for model, verb in [("m", "query"), ("m", "insert"), ("m", "remove"), ("m", "register"), ("m", "bogus"),
+                                 (S.BLACKLIST[0], "query")]]
+    requests = Q.parse_requests(spark.createDataFrame([(x,) for x in lines], "value string"))
+    stored = M.new_entries(spark.createDataFrame([("m", "user: hello", "b", [1.0, 0.0])], "model string, question string, "
+                                                 "answer string, embedding array<double>"))
+    known = spark.createDataFrame([("m", None, 2, "l2")], "model string, mm_type string, dim int, metric string")
+    out = handle_requests(requests, stored, known, lambda r: r.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0))), 2)
+    assert sorted((r.request_id, r.error_code, r.answer) for r in out.responses.collect()) == [
+        ("bogus", 102, ""), ("insert", 0, ""), ("query", 0, "b"), ("query", 105, ""), ("register", 0, ""), ("remove", 0, "")]
+    assert sorted(r.answer for r in out.entries.collect()) == ["a", "b"]
+    held = {(r._given_id, r.model): tuple(r[c] is not None for c in ("query", "chat_info", "id_list"))
+            for r in written["requests"].collect()}
+    assert {k[0]: v for k, v in held.items() if any(v)} == {
+        "query": (True, False, False), "insert": (False, True, False), "remove": (False, False, True)}
+    assert sum(map(any, held.values())) == 3 and len(held) == len(lines)
+
+
+def test_measuring_a_frame_moves_sizes_only(spark, monkeypatch):
+    """What a limit lets through is shuffled to one task."""
+    df = spark.range(40).select("id", F.array_repeat(F.lit(0.5), 8).alias("vec"), F.repeat(F.lit("x"), 100).alias("text"))
+    seen, limit = [], type(df).limit
+    monkeypatch.setattr(type(df), "limit", lambda self, n: seen.append([t for _, t in self.dtypes]) or limit(self, n))
+    size = 16 + 8 + (64 + 8) + (100 + 8)
+    assert few_rows(df, 40, 40 * size) and not few_rows(df, 39, 40 * size) and not few_rows(df, 40, 40 * size - 1)
+    assert few_rows(df.limit(0), 0, 0)
+    # the wide one is the empty frame's own
+    assert [t for t in seen if set(t) != {"bigint"}] == [["bigint", "array<double>", "string"]]
